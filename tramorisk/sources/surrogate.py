@@ -108,8 +108,8 @@ def probabilities(spark: SparkSession, folder: str) -> DataFrame:
         "(o_orderkey * 37) % 101 + 1 AS a", "(o_orderkey * 53) % 97 + 1 AS b", "(o_orderkey * 71) % 89 + 1 AS c")
     return base.selectExpr(
         "id", "tramo_id", "periodo", "mes_idx", "turno_idx",
-        "round(a / CAST(a + b + c AS DOUBLE), 2) AS p0", "round(b / CAST(a + b + c AS DOUBLE), 2) AS p1",
-        "round(c / CAST(a + b + c AS DOUBLE), 2) AS p2",
+        "(100 - (b * 100) div (a + b + c) - (c * 100) div (a + b + c)) / 100.0D AS p0",
+        "((b * 100) div (a + b + c)) / 100.0D AS p1", "((c * 100) div (a + b + c)) / 100.0D AS p2",
         "CASE WHEN c * 2 > a + b - 20 + (o_custkey % 60) THEN 2 WHEN b > a - (o_custkey % 40) THEN 1 ELSE 0 END AS y")
 
 
