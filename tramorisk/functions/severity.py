@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tramorisk.functions.text import ascii_fold, normalize_text
+from tramorisk.functions.text import ascii_fold, literal_map, normalize_text
 
 # Severity of each exact modality.
 MODALITY_SEVERITY = {
@@ -69,7 +69,7 @@ class SeverityRules:
 
 
 def _lookup(table: dict[str, int], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+    return literal_map(table)[key].cast("int")
 
 
 def _text_severity(normal: Column) -> Column:
@@ -79,15 +79,28 @@ def _text_severity(normal: Column) -> Column:
     return F.coalesce(_lookup(MODALITY_SEVERITY, normal), ladder)
 
 
-def severity(modality: Column, subtype: Column) -> Column:
-    """Severity 1-5; the subtype speaks only where the modality is unknown."""
-    modality, subtype = normalize_text(modality, None), normalize_text(subtype, None)
+def severity_of_normal(modality: Column, subtype: Column) -> Column:
+    """Severity 1-5 of normalised texts; the subtype speaks only where the
+    modality is unknown."""
     known = _lookup(MODALITY_SEVERITY, modality).isNotNull()
     for word in RECOGNISED_WORDS:
         known = known | modality.contains(word)
     return F.when(known, _text_severity(modality)).otherwise(_text_severity(subtype)).cast("int")
 
 
+def severity(modality: Column, subtype: Column) -> Column:
+    """Severity of raw texts; for whole tables ``score_incidents`` is cheaper."""
+    return severity_of_normal(normalize_text(modality, None), normalize_text(subtype, None))
+
+
+def score_incidents(df: DataFrame, modality: str = "modalidad", subtype: str = "subtipo", plural: bool = False) -> DataFrame:
+    """Add peso, categoria and grave; each text is normalised once per row."""
+    normal = df.withColumn("_m", normalize_text(F.col(modality), None)).withColumn("_s", normalize_text(F.col(subtype), None))
+    scored = normal.withColumn("peso", severity_of_normal(F.col("_m"), F.col("_s"))).withColumn(
+        "categoria", category_of_normal(F.concat_ws(" ", "_s", "_m"), plural))
+    return scored.withColumn("grave", is_severe(F.col("peso"))).drop("_m", "_s")
+
+
 def configured_severity(subtype_code: Column, modality_code: Column, subtype: Column, modality: Column,
                         rules: SeverityRules | None = None) -> Column:
     """Largest severity among text, code and phrase rules."""
@@ -101,14 +114,17 @@ def configured_severity(subtype_code: Column, modality_code: Column, subtype: Co
     return F.greatest(*parts).cast("int")
 
 
-def category(subtype: Column, modality: Column, plural: bool = False) -> Column:
-    """Category by word priority over subtype and modality together."""
-    text = normalize_text(F.concat_ws(" ", subtype, modality), None)
+def category_of_normal(text: Column, plural: bool = False) -> Column:
     label = F.lit("otros" if plural else "otro")
     for word, name in reversed(CATEGORY_PLURAL if plural else CATEGORY_SINGULAR):
         label = F.when(text.contains(word), F.lit(name)).otherwise(label)
     return label
 
 
+def category(subtype: Column, modality: Column, plural: bool = False) -> Column:
+    """Category by word priority over subtype and modality together."""
+    return category_of_normal(normalize_text(F.concat_ws(" ", subtype, modality), None), plural)
+
+
 def is_severe(weight: Column) -> Column:
     return (weight >= SEVERE_FROM).cast("int")

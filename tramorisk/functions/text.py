@@ -27,16 +27,26 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one_from), "".join(one_to), many
 
 
+def literal_map(entries: dict[str, object]) -> Column:
+    """Constant text map from one literal; Catalyst folds it once per plan."""
+    packed = "\x02".join(f"{k}\x01{v}" for k, v in entries.items())
+    return F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x01"))
+
+
 def ascii_fold(column: Column) -> Column:
-    """Drop accents and everything that has no ASCII form."""
+    """Drop accents and everything that has no ASCII form.
+
+    Plain texts pass through; single letters are translated; only texts with
+    characters that spell out as several letters are walked one by one.
+    """
     one_from, one_to, many = _fold_tables()
-    rare = "[" + "".join(many) + "]"
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    spelled = F.array_join(
-        F.transform(F.split(column, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
-    )
-    widened = F.when(column.rlike(rare), spelled).otherwise(column)
-    return F.regexp_replace(F.translate(widened, one_from, one_to), r"[^\x00-\x7F]", "")
+    table = literal_map(many)
+    letter = lambda c: F.when(c < F.lit("\x80"), c).otherwise(F.coalesce(F.element_at(table, c), c))
+    spelled = F.array_join(F.transform(F.split(column, ""), letter), "")
+    rare = F.length(F.translate(column, "".join(many), "")) < F.length(column)
+    fold = lambda c: F.regexp_replace(F.translate(c, one_from, one_to), r"[^\x00-\x7F]", "")
+    plain = F.octet_length(column) == F.length(column)
+    return F.when(plain, column).when(~rare, fold(column)).otherwise(fold(spelled))
 
 
 def collapse_spaces(column: Column) -> Column:

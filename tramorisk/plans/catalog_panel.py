@@ -3,9 +3,7 @@
 from pyspark.sql import functions as F
 
 from tramorisk.functions import risk
-from tramorisk.functions.calendar import SHIFTS
-from tramorisk.functions.severity import severity
-from tramorisk.functions.calendar import shift_name, shift_of_hour
+from tramorisk.functions.calendar import shift_of_hour
 from tramorisk.operators import ordered, panel, sampling, surface, windows
 from tramorisk.plans.oracle import (COVER, CUBE, DENSE, DENSE_MONTHS, FORECAST, INC, KX, KY, MEASURES, MONTHLY, PROBA, SEG, level)
 from tramorisk.plans.registry import query

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tramorisk.functions.calendar import Calendar, shift_name
-from tramorisk.functions.severity import category, is_severe, severity
+from tramorisk.functions.severity import score_incidents
 
 CALENDAR = Calendar("1995-01", "2001-12")
 # Texts taken in turn by the surrogate incidents.
@@ -80,11 +80,7 @@ def raw_incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 def incidents(spark: SparkSession, folder: str) -> DataFrame:
     """Scored incidents with shift names."""
-    raw = raw_incidents(spark, folder)
-    scored = raw.withColumn("turno", shift_name(F.col("turno_idx"))).withColumn(
-        "peso", severity(F.col("modalidad"), F.col("subtipo")))
-    return scored.withColumn("categoria", category(F.col("subtipo"), F.col("modalidad"))).withColumn(
-        "grave", is_severe(F.col("peso")))
+    return score_incidents(raw_incidents(spark, folder).withColumn("turno", shift_name(F.col("turno_idx"))))
 
 
 def lights(spark: SparkSession, folder: str) -> DataFrame:
