@@ -292,3 +292,23 @@ def mismatched_ids(left: DataFrame, right: DataFrame, key: str = "tramo_id") ->
     a, b = left.select(key), right.select(key)
     return a.exceptAll(b).withColumn("lado", F.lit("solo_izquierda")).unionByName(
         b.exceptAll(a).withColumn("lado", F.lit("solo_derecha")))
+
+
+def count_in_boxes(boxes: DataFrame, incidents: DataFrame, key: str, pad: float, cell_deg: float = 0.01) -> DataFrame:
+    """Incidents inside each padded box ``s, n, w, e`` (degrees).
+
+    Incidents meet boxes through degree cells and travel as places with their
+    number; cells wholly inside a box are added without their places.
+    """
+    cell = lambda c: F.floor(c / cell_deg).cast("long")
+    wide = boxes.select(key, (F.col("s") - pad).alias("s"), (F.col("n") + pad).alias("n"), (F.col("w") - pad).alias("w"), (F.col("e") + pad).alias("e"))
+    grid = wide.withColumn("_cy", F.explode(F.sequence(cell(F.col("s")), cell(F.col("n"))))).withColumn(
+        "_cx", F.explode(F.sequence(cell(F.col("w")), cell(F.col("e")))))
+    whole = ((F.col("_cy") > cell(F.col("s"))) & (F.col("_cy") < cell(F.col("n"))) & (F.col("_cx") > cell(F.col("w"))) & (F.col("_cx") < cell(F.col("e"))))
+    places = incidents.groupBy("latitud", "longitud").agg(F.count(F.lit(1)).alias("_k")).withColumn("_cy", cell(F.col("latitud"))).withColumn("_cx", cell(F.col("longitud")))
+    cells = places.groupBy("_cx", "_cy").agg(F.sum("_k").alias("_k"))
+    full = grid.filter(whole).join(cells, ["_cx", "_cy"]).select(key, "_k")
+    edge = salted_join(places, grid.filter(~whole), ["_cx", "_cy"]).filter(
+        F.col("latitud").between(F.col("s"), F.col("n")) & F.col("longitud").between(F.col("w"), F.col("e"))).select(key, "_k")
+    hits = full.unionByName(edge).groupBy(key).agg(F.sum("_k").alias("delitos"))
+    return boxes.select(key).join(hits, key, "left").fillna(0, ["delitos"])
