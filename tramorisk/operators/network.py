@@ -18,7 +18,8 @@ from tramorisk.session import settle
 # Kernel reach in metres and the search factors.
 BANDWIDTHS = (100, 250, 500)
 DETOUR_FACTOR = 1.5
-ROUNDS_PER_STORE = 4
+ROUNDS_PER_STORE = 6
+BROADCAST_ROWS = 1_000_000
 
 
 def adjacency(segments: DataFrame) -> DataFrame:
@@ -35,17 +36,41 @@ def incident_segments(segments: DataFrame) -> DataFrame:
     return segments.select("tramo_id", half, F.explode(F.array_distinct(F.array("u", "v"))).alias("nodo"))
 
 
+def _sized(stored: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Stored table with a broadcast hint if it has at most ``limit`` rows.
+
+    A larger table joins by shuffle, with AQE splitting its crowded nodes.
+    """
+    return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
+
+
+def _spread(state: DataFrame, key: str) -> DataFrame:
+    """Cluster a search by its key over a fixed number of tasks.
+
+    The first frontier is tiny and grows a thousandfold, so the number must
+    not follow its size.
+    """
+    spark = state.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return state.repartition(tasks, key)
+
+
 def midpoint_distances(segments: DataFrame, active: DataFrame, limit: float) -> DataFrame:
     """Network distance between midpoints, strictly below ``limit``.
 
     ``active`` lists the source segments; a source is at distance 0 of itself.
+    Every step table holds a zero step from each node to itself, so a round is
+    one join and one minimum. Rows stay clustered by source: with a small step
+    table a round moves no data.
     """
-    steps = settle(adjacency(segments))
+    stay = incident_segments(segments).select(F.col("nodo").alias("desde"), F.col("nodo").alias("hasta"), F.lit(0.0).alias("largo")).distinct()
+    steps = _sized(settle(adjacency(segments).filter("desde <> hasta").unionByName(stay)))
     ends = incident_segments(segments)
     start = ends.join(active.select("tramo_id").distinct(), "tramo_id", "left_semi")
     state = start.filter(F.col("mitad") < limit).select(
         F.col("tramo_id").alias("origen"), "nodo", F.col("mitad").alias("dist"), F.lit(True).alias("nuevo"))
     while True:
+        state = _spread(state, "origen")
         for _ in range(ROUNDS_PER_STORE):
             state = _relax_distance(state, steps, limit)
         state = settle(state)
@@ -58,11 +83,11 @@ def midpoint_distances(segments: DataFrame, active: DataFrame, limit: float) ->
 
 
 def _relax_distance(state: DataFrame, steps: DataFrame, limit: float) -> DataFrame:
-    fresh = state.filter("nuevo").join(steps, F.col("nodo") == F.col("desde")).select(
-        "origen", F.col("hasta").alias("nodo"), (F.col("dist") + F.col("largo")).alias("dist"),
-        F.lit(None).cast("double").alias("antes")).filter(F.col("dist") < limit)
-    known = state.select("origen", "nodo", "dist", F.col("dist").alias("antes"))
-    best = fresh.unionByName(known).groupBy("origen", "nodo").agg(F.min("dist").alias("dist"), F.min("antes").alias("antes"))
+    stays = F.col("desde") == F.col("hasta")
+    moved = state.join(steps, (F.col("nodo") == F.col("desde")) & (F.col("nuevo") | stays))
+    moved = moved.select("origen", F.col("hasta").alias("nodo"), (F.col("dist") + F.col("largo")).alias("dist"),
+                         F.when(stays, F.col("dist")).alias("antes")).filter(F.col("dist") < limit)
+    best = moved.groupBy("origen", "nodo").agg(F.min("dist").alias("dist"), F.min("antes").alias("antes"))
     return best.select("origen", "nodo", "dist", (F.col("antes").isNull() | (F.col("dist") < F.col("antes"))).alias("nuevo"))
 
 
@@ -114,62 +139,67 @@ def directed_edges(segments: DataFrame, two_way: bool = True) -> DataFrame:
     return there.unionByName(back)
 
 
-def with_costs(edges: DataFrame, costs: dict[str, Column]) -> DataFrame:
-    """One row per edge and cost name; ``costo`` is what the search minimises."""
-    rows = F.array(*[F.struct(F.lit(n).alias("variante"), c.cast("double").alias("costo")) for n, c in costs.items()])
-    return edges.withColumn("_c", F.explode(rows)).select("*", "_c.variante", "_c.costo").drop("_c")
-
-
-def shortest_paths(requests: DataFrame, edges: DataFrame, allowed: DataFrame | None = None,
+def shortest_paths(requests: DataFrame, edges: DataFrame, costs: dict[str, Column], allowed: DataFrame | None = None,
                    blocked: Column | None = None) -> DataFrame:
-    """Cheapest path of every request and cost variant.
+    """Cheapest path of every request under every named cost.
 
     ``requests``: ruta, origen, destino (and whatever ``blocked`` reads).
-    ``edges``: variante, desde, hasta, tramo_id, largo, riesgo, costo.
+    ``edges``: desde, hasta, tramo_id, largo, riesgo and optional ``zonas_*``
+    arrays; ``costs`` are expressions over them.
     ``allowed``: optional pairs (ruta, nodo) the search may enter.
-    Ties on cost fall to exposure and then to the path itself. A path dearer
-    than the best arrival of its request is dropped.
+    Ties on cost fall to exposure, length and then the path itself. A path
+    dearer than the best arrival of its request is not extended.
     """
+    names = list(costs)
     carried = [c for c in requests.columns if c not in ("ruta", "origen", "destino")]
-    kinds = edges.select("variante").distinct()
-    kinds = [r["variante"] for r in kinds.collect()]  # one name per cost
+    zones = [c for c in edges.columns if c.startswith("zonas_")]
+    moves = edges.select("desde", "hasta", "tramo_id", F.col("riesgo").alias("_riesgo"), F.col("largo").cast("double").alias("_largo"),
+                         F.array(*[c.cast("double") for c in costs.values()]).alias("_costos"), *zones)
+    blank = [F.array().cast("array<string>").alias(z) for z in zones]
+    nodes = edges.select(F.explode(F.array("desde", "hasta")).alias("n")).distinct()
+    stay = nodes.select(F.col("n").alias("desde"), F.col("n").alias("hasta"), F.lit(None).cast("string").alias("tramo_id"), F.lit(0.0).alias("_riesgo"),
+                        F.lit(0.0).alias("_largo"), F.array(*[F.lit(0.0)] * len(names)).alias("_costos"), *blank)
+    steps = _sized(settle(moves.unionByName(stay)))
     empty = F.array().cast("array<string>")
-    best0 = F.struct(F.lit(0.0).alias("costo"), F.lit(0.0).alias("expo"), F.lit(0.0).alias("largo"), empty.alias("tramos"))
-    state = requests.select("ruta", "destino", *carried, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("variante"),
-                            F.col("origen").alias("nodo"), best0.alias("mejor"), F.lit(True).alias("nuevo"))
-    steps = settle(edges.groupBy("variante", "desde", "hasta", "tramo_id", *[c for c in edges.columns if c.startswith("zonas_")]).agg(
-        F.min(F.struct("costo", "riesgo", "largo")).alias("_e")).select(
-        F.col("variante").alias("_v"), "desde", "hasta", "tramo_id", F.col("_e.costo").alias("_costo"), F.col("_e.riesgo").alias("_riesgo"),
-        F.col("_e.largo").alias("_largo"), *[c for c in edges.columns if c.startswith("zonas_")]))
+    none = F.struct(F.lit(0.0).alias("costo"), F.lit(0.0).alias("expo"), F.lit(0.0).alias("largo"), empty.alias("tramos"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)])
+    state = requests.withColumn("_k", F.explode(kinds)).select(
+        "ruta", "destino", *carried, F.col("_k.i").alias("vi"), F.col("_k.n").alias("variante"), F.col("origen").alias("nodo"),
+        none.alias("mejor"), F.lit(True).alias("nuevo"))
+    if allowed is not None:
+        allowed = settle(allowed)
     while True:
+        state = _spread(state, "ruta")
         for _ in range(ROUNDS_PER_STORE):
             state = _relax_paths(state, steps, carried, allowed, blocked)
+        top = W.partitionBy("ruta", "vi")
+        reached = F.min(F.when(F.col("nodo") == F.col("destino"), F.col("mejor.costo"))).over(top)
+        state = state.withColumn("_tope", reached).withColumn(
+            "nuevo", F.col("nuevo") & (F.col("nodo") != F.col("destino")) & (F.col("_tope").isNull() | (F.col("mejor.costo") <= F.col("_tope")))).drop("_tope")
         state = settle(state)
-        arrived = state.filter("nodo = destino").select("ruta", "variante", F.col("mejor.costo").alias("_tope"))
-        pruned = state.join(arrived, ["ruta", "variante"], "left")
-        state = pruned.withColumn("nuevo", F.col("nuevo") & (F.col("_tope").isNull() | (F.col("mejor.costo") <= F.col("_tope")))).drop("_tope")
-        if state.filter("nuevo AND nodo <> destino").limit(1).count() == 0:
+        if state.filter("nuevo").limit(1).count() == 0:
             break
     return state.filter("nodo = destino").select("ruta", "variante", *carried, "mejor.costo", "mejor.expo", "mejor.largo", "mejor.tramos")
 
 
 def _relax_paths(state: DataFrame, steps: DataFrame, carried: Sequence[str], allowed: DataFrame | None, blocked: Column | None) -> DataFrame:
-    open_ = state.filter("nuevo AND nodo <> destino")
-    moved = open_.join(steps, (F.col("nodo") == F.col("desde")) & (F.col("variante") == F.col("_v")))
+    stays = F.col("tramo_id").isNull()
+    opens = F.col("nuevo") & (F.col("nodo") != F.col("destino"))
+    moved = state.join(steps, (F.col("nodo") == F.col("desde")) & (opens | stays))
     if blocked is not None:
-        moved = moved.filter(~blocked)
-    grown = F.struct((F.col("mejor.costo") + F.col("_costo")).alias("costo"),
+        moved = moved.filter(stays | ~blocked)
+    grown = F.struct((F.col("mejor.costo") + F.element_at("_costos", F.col("vi") + 1)).alias("costo"),
                      (F.col("mejor.expo") + F.col("_riesgo") * F.col("_largo")).alias("expo"),
                      (F.col("mejor.largo") + F.col("_largo")).alias("largo"),
                      F.concat(F.col("mejor.tramos"), F.array("tramo_id")).alias("tramos"))
-    fresh = moved.select("ruta", "destino", *carried, "variante", F.col("hasta").alias("nodo"), grown.alias("mejor"), F.lit(False).alias("visto"))
+    moved = moved.select("ruta", "destino", *carried, "vi", "variante", F.col("hasta").alias("nodo"),
+                         F.when(stays, F.col("mejor")).otherwise(grown).alias("mejor"), stays.alias("_queda"))
     if allowed is not None:
-        fresh = fresh.join(allowed, ["ruta", "nodo"], "left_semi")
-    known = state.select("ruta", "destino", *carried, "variante", "nodo", "mejor", F.lit(True).alias("visto"))
-    best = fresh.unionByName(known).groupBy("ruta", "variante", "nodo").agg(
-        F.min("mejor").alias("mejor"), F.min(F.when(F.col("visto"), F.col("mejor"))).alias("_antes"),
-        F.first("destino").alias("destino"), *[F.first(c).alias(c) for c in carried])
-    return best.select("ruta", "destino", *carried, "variante", "nodo", "mejor",
+        moved = moved.join(allowed, ["ruta", "nodo"], "left_semi")
+    best = moved.groupBy("ruta", "vi", "nodo").agg(
+        F.min("mejor").alias("mejor"), F.min(F.when(F.col("_queda"), F.col("mejor"))).alias("_antes"),
+        F.first("destino").alias("destino"), F.first("variante").alias("variante"), *[F.first(c).alias(c) for c in carried])
+    return best.select("ruta", "destino", *carried, "vi", "variante", "nodo", "mejor",
                        (F.col("_antes").isNull() | (F.col("mejor") < F.col("_antes"))).alias("nuevo"))
 
 

@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tramorisk.functions import geo, risk
+from tramorisk.functions import risk
 from tramorisk.operators import network as net, panel, spatial, surface, windows
-from tramorisk.plans.catalog_spatial import field_edges, _hotspots
-from tramorisk.plans.oracle import COVER, CUBE, DENSE, FORECAST, INC, KX, KY, SEG, haversine, lat, level, lon
+from tramorisk.plans.catalog_spatial import field_edges, foci
+from tramorisk.plans.oracle import COVER, CUBE, DENSE, FORECAST, INC, SEG, haversine, lat, lon
 from tramorisk.plans.registry import query
-from tramorisk.session import settle
 
 _LIMIT = 500.0
 _ADJ = """ady AS (SELECT desde, hasta, min(largo) AS largo FROM (SELECT u AS desde, v AS hasta, greatest(longitud_m, 1.0) AS largo FROM seg UNION ALL SELECT v, u, greatest(longitud_m, 1.0) FROM seg) GROUP BY desde, hasta),
@@ -20,7 +19,7 @@ _NET = f"WITH RECURSIVE {INC}, {SEG}, {_DIST}"
 
 
 def _distances(t):
-    return settle(net.midpoint_distances(t.segments(), t.segments().select("tramo_id"), _LIMIT))
+    return t.once("distancias", lambda: net.midpoint_distances(t.segments(), t.segments().select("tramo_id"), _LIMIT))
 
 
 @query("G01_adjacency", "desde:l hasta:l largo:d", f"WITH {SEG}, {_ADJ} SELECT * FROM ady")
@@ -86,17 +85,6 @@ def _(t):
 
 # ---------------------------------------------------------------- routes
 
-_STORED: dict = {}
-
-
-def _once(t, name, build):
-    """Build a shared route table once per session and input."""
-    key = (t.spark.sparkContext.applicationId, t.folder, name)
-    if key not in _STORED:
-        _STORED[key] = settle(build())
-    return _STORED[key]
-
-
 def _requests(t):
     """Distinct pairs of nodes that some trip asks for."""
     pairs = t.trips().select("origen", "destino").distinct().filter("origen <> destino")
@@ -118,9 +106,8 @@ def _cost_columns():
 
 def _paths(t):
     def build():
-        edges = net.with_costs(net.directed_edges(_edges(t)), _cost_columns())
-        return net.shortest_paths(_requests(t), edges)
-    return _once(t, "rutas", build)
+        return net.shortest_paths(_requests(t), net.directed_edges(_edges(t)), _cost_columns())
+    return t.once("rutas", build)
 
 
 _REQ = """req AS (SELECT DISTINCT c_custkey % n AS origen, (c_custkey * 17 + 5) % n AS destino FROM customer, (SELECT count(*) AS n FROM supplier) WHERE c_custkey % n <> (c_custkey * 17 + 5) % n),
@@ -175,7 +162,7 @@ _KEYS = ("ruta", "variante")
 
 
 def _totals(t):
-    return _once(t, "totales", lambda: net.route_totals(net.explode_route(_paths(t).select("ruta", "variante", "tramos")), _edges(t), _KEYS))
+    return t.once("totales", lambda: net.route_totals(net.explode_route(_paths(t).select("ruta", "variante", "tramos")), _edges(t), _KEYS))
 
 
 @query("A23_route_totals", "ruta:s variante:s distancia_km:d tiempo_min:d riesgo_total:d riesgo_promedio:d", f"""
@@ -233,16 +220,14 @@ def _(t):
 def _ladder(t):
     def build():
         edges = field_edges(t)
-        _, peaks = _hotspots(t)
-        discs = surface.zones(surface.separated_peaks(peaks))
+        discs = surface.zones(foci(t))
         req = _requests(t)
         ends = req.select("ruta", F.explode(F.array("origen", "destino")).alias("nodo")).join(t.nodes(), "nodo")
         free = surface.exempt_zones(spatial.with_xy(ends, lon="lon", lat="lat"), discs).groupBy("ruta").agg(F.collect_set("zona").alias("exentas"))
         none = F.array().cast("array<string>")
         asked = req.join(free, "ruta", "left").withColumn("exentas", F.coalesce("exentas", none))
-        cost = net.with_costs(net.directed_edges(edges), {k: F.col("largo") for k in net.LADDER})
-        return net.shortest_paths(asked, cost, blocked=net.ladder_block())
-    return _once(t, "escalera", build)
+        return net.shortest_paths(asked, net.directed_edges(edges), {k: F.col("largo") for k in net.LADDER}, blocked=net.ladder_block())
+    return t.once("escalera", build)
 
 
 @query("G10_avoidance_ladder", "ruta:s distancia_libre_km:d rojo:s naranja:s margen_aplicado:l variante_activa:s distancia_activa_km:d")

@@ -288,6 +288,11 @@ def _hotspots(t):
     return lines, peaks
 
 
+def foci(t):
+    """Separated hotspots, shared by the field queries."""
+    return t.once("focos", lambda: surface.separated_peaks(_hotspots(t)[1]))
+
+
 _SAMPLES = f"""{INC}, {SEG}, {PIECES}, {FORECAST}, l AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM pieces), s AS (SELECT tramo_id, sum(len) AS total, sum(len) FILTER (pieza = 1) AS l1 FROM l GROUP BY tramo_id),
 g AS (SELECT tramo_id, total, l1, n, unnest(range(n)) AS muestra FROM (SELECT *, greatest(1, ceil(total / {{step}}))::BIGINT AS n FROM s)), p AS (SELECT *, (muestra + 0.5::DOUBLE) / n * total AS pos FROM g),
 mu AS (SELECT p.tramo_id, muestra, q.x1 + (pos - CASE WHEN q.pieza = 1 THEN 0 ELSE l1 END) / q.len * (q.x2 - q.x1) AS x, q.y1 + (pos - CASE WHEN q.pieza = 1 THEN 0 ELSE l1 END) / q.len * (q.y2 - q.y1) AS y
@@ -324,7 +329,7 @@ _POW = "pow(least(greatest((pico - 0.6) / 0.4, 0), 1), 2)"
 i AS (SELECT tramo_id, {_POW} * k AS inf, pico * sqrt(k) AS s FROM d), b AS (SELECT tramo_id, max((inf, s)) AS m FROM (SELECT * FROM i WHERE inf > 0.025) GROUP BY tramo_id)
 SELECT q.tramo_id, coalesce(m[2], 0) AS campo, coalesce(m[1], 0) AS influencia FROM q LEFT JOIN b USING (tramo_id)""".replace("max((inf, s)) AS m", "arg_max(s, inf) AS m2, max(inf) AS m1").replace("m[2]", "m2").replace("m[1]", "m1"))
 def _(t):
-    return surface.field_at(_mid(t), surface.separated_peaks(_hotspots(t)[1]), ["tramo_id"])
+    return surface.field_at(_mid(t), foci(t), ["tramo_id"])
 
 
 _ZONES = f"""zn AS (SELECT color || ':' || cx || ':' || cy AS zona, color, x, y, pico, least(250.0::DOUBLE, 250 * sqrt(ln({_POW} / 0.025) / 4.5), 250 * sqrt(2 * ln(pico / corte) / 4.5)) AS radio
@@ -333,7 +338,7 @@ _ZONES = f"""zn AS (SELECT color || ':' || cx || ':' || cy AS zona, color, x, y,
 
 @query("H05_zones", "zona:s color:s pico:d radio:d4 radio_margen:d4", f"{_FOCI.format(step=20)}, {_ZONES} SELECT zona, color, pico, radio, radio + 20 AS radio_margen FROM zn")
 def _(t):
-    return surface.zones(surface.separated_peaks(_hotspots(t)[1]))
+    return surface.zones(foci(t))
 
 
 _CHORD = """ab AS (SELECT p.tramo_id, z.zona, z.color, pow(p.x2 - p.x1, 2) + pow(p.y2 - p.y1, 2) AS a, (p.x1 - z.x) * (p.x2 - p.x1) + (p.y1 - z.y) * (p.y2 - p.y1) AS b, pow(p.x1 - z.x, 2) + pow(p.y1 - z.y, 2) - radio * radio AS c, {dist} AS dd, radio + 20 AS rm FROM pieces p, zn z),
@@ -342,8 +347,8 @@ cu AS (SELECT tramo_id, zona, color, sum(CASE WHEN b * b - a * c > 0 THEN greate
 
 @query("J17_metres_in_zones", "tramo_id:s zona:s metros:d3 dist_m:d3", f"{_FOCI.format(step=20)}, {_ZONES}, {_CHORD} SELECT tramo_id, zona, metros, dist_m FROM cu WHERE dist_m <= rm")
 def _(t):
-    lines, peaks = _hotspots(t)
-    return surface.segments_in_zones(lines, surface.zones(surface.separated_peaks(peaks)))
+    lines = _hotspots(t)[0]
+    return surface.segments_in_zones(lines, surface.zones(foci(t)))
 
 
 @query("J16_strongest_influence", "tramo_id:s campo_medio:d campo_pico:d", f"""
@@ -353,16 +358,16 @@ i AS (SELECT tramo_id, m2, {_POW} * exp(-4.5 * (pow(px - x, 2) + pow(py - y, 2))
 b AS (SELECT tramo_id, m2, arg_max(sc, inf) AS c FROM i WHERE inf > 0.025 GROUP BY tramo_id, m2)
 SELECT mu2.tramo_id, avg(coalesce(c, 0)) AS campo_medio, max(coalesce(c, 0)) AS campo_pico FROM mu2 LEFT JOIN b USING (tramo_id, m2) GROUP BY mu2.tramo_id""")
 def _(t):
-    lines, peaks = _hotspots(t)
-    return surface.road_field(lines, surface.separated_peaks(peaks))
+    lines = _hotspots(t)[0]
+    return surface.road_field(lines, foci(t))
 
 
 @query("H06_road_zone_metres", "tramo_id:s rojo_m:d3 naranja_m:d3 rojas:l naranjas:l", f"""
 {_FOCI.format(step=20)}, {_ZONES}, {_CHORD} SELECT tramo_id, coalesce(sum(metros) FILTER (color = 'rojo'), 0) AS rojo_m, greatest(coalesce(sum(metros) FILTER (color = 'naranja'), 0) - coalesce(sum(metros) FILTER (color = 'rojo'), 0), 0) AS naranja_m,
  count(*) FILTER (color = 'rojo') AS rojas, count(*) FILTER (color = 'naranja') AS naranjas FROM cu WHERE dist_m <= rm GROUP BY tramo_id""")
 def _(t):
-    lines, peaks = _hotspots(t)
-    hits = surface.segments_in_zones(lines, surface.zones(surface.separated_peaks(peaks)))
+    lines = _hotspots(t)[0]
+    hits = surface.segments_in_zones(lines, surface.zones(foci(t)))
     return surface.zone_metres(hits).withColumn("rojas", F.size("zonas_rojo_margen")).withColumn("naranjas", F.size("zonas_naranja_margen"))
 
 
@@ -370,8 +375,7 @@ def _(t):
 {_FOCI.format(step=20)}, {_ZONES}, n AS (SELECT count(*) AS k FROM supplier), e AS (SELECT c_custkey AS od, c_custkey % k AS nodo FROM customer, n UNION SELECT c_custkey, (c_custkey * 17 + 5) % k FROM customer, n)
 SELECT DISTINCT od, zona FROM e JOIN zn ON pow({lon('nodo')} * {KX} - x, 2) + pow({lat('nodo')} * {KY} - y, 2) <= radio * radio""")
 def _(t):
-    _, peaks = _hotspots(t)
-    discs = surface.zones(surface.separated_peaks(peaks))
+    discs = surface.zones(foci(t))
     ends = t.trips().select(F.col("od").alias("ruta"), F.explode(F.array("origen", "destino")).alias("nodo")).join(t.nodes(), "nodo")
     return surface.exempt_zones(spatial.with_xy(ends, lon="lon", lat="lat"), discs).withColumnRenamed("ruta", "od")
 
@@ -383,10 +387,9 @@ def _(t):
 
 def field_edges(t):
     """Edges with field, zones and costs (used by the route queries)."""
-    lines, peaks = _hotspots(t)
-    foci = surface.settle(surface.separated_peaks(peaks))
-    hits = surface.segments_in_zones(lines, surface.zones(foci))
-    return surface.edge_field(lines, surface.road_field(lines, foci), surface.zone_metres(hits))
+    lines = _hotspots(t)[0]
+    hits = surface.segments_in_zones(lines, surface.zones(foci(t)))
+    return surface.edge_field(lines, surface.road_field(lines, foci(t)), surface.zone_metres(hits))
 
 
 _VIEW = (-12.2, -77.1, -12.196, -77.06)
@@ -405,7 +408,7 @@ def _(t):
 @query("H09_visible_hotspots", "cx:l cy:l pico:d", f"""
 {_FOCI.format(step=20)} SELECT cx, cy, pico FROM foco WHERE x BETWEEN -77.095 * {KX} - 350 AND -77.08 * {KX} + 350 AND y BETWEEN -12.2 * {KY} - 350 AND -12.198 * {KY} + 350""")
 def _(t):
-    return surface.visible_hotspots(surface.separated_peaks(_hotspots(t)[1]), -12.2, -77.095, -12.198, -77.08)
+    return surface.visible_hotspots(foci(t), -12.2, -77.095, -12.198, -77.08)
 
 
 @query("H10_raster", "px:l py:l campo:d influencia:d alfa:l", f"""
@@ -413,7 +416,7 @@ def _(t):
 k AS (SELECT px, py, pico, pow((px + 0.5) * 50 - x, 2) + pow((py + 0.5) * 50 - y, 2) AS d2 FROM c), v AS (SELECT px, py, {_POW} * exp(-4.5 * d2 / 62500.0) AS inf, pico * sqrt(exp(-4.5 * d2 / 62500.0)) AS sc FROM k WHERE d2 <= 62500),
 b AS (SELECT px, py, max(inf) AS influencia, arg_max(sc, inf) AS campo FROM v GROUP BY px, py) SELECT px, py, campo, influencia, round(sqrt(influencia) * least(1, (influencia - 0.025) / 0.065) * 255 * 0.76)::BIGINT AS alfa FROM b WHERE influencia > 0.025""")
 def _(t):
-    return surface.raster(surface.separated_peaks(_hotspots(t)[1]))
+    return surface.raster(foci(t))
 
 
 @query("A22_length_by_level", "nivel:s tramos:l metros:d muy_bajo:l", f"""

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tramorisk.functions.calendar import Calendar
 from tramorisk.operators import panel, spatial
+from tramorisk.session import settle
 from tramorisk.sources import surrogate
 
 _QUERIES: dict[str, tuple[str, Callable[["Tables"], DataFrame]]] = {}
 _ORACLES: dict[str, str] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 _SQL_TYPES = {"s": "VARCHAR", "l": "BIGINT"}
 
 
@@ -69,6 +71,13 @@ class Tables:
     def forecasts(self) -> DataFrame:
         return surrogate.forecasts(self.spark, self.folder)
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table several queries share, written once per session and input."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = settle(build())
+        return _STORED[key]
+
     def trips(self) -> DataFrame:
         return surrogate.trips(self.spark, self.folder)
 
