@@ -88,14 +88,23 @@ def distance_to_piece(x: Column, y: Column, piece: Column) -> Column:
     """Distance from a point to a straight piece, ends included."""
     dx, dy = piece["x2"] - piece["x1"], piece["y2"] - piece["y1"]
     norm = dx * dx + dy * dy
-    along = ((x - piece["x1"]) * dx + (y - piece["y1"]) * dy) / F.when(norm > 0, norm).otherwise(F.lit(1.0))
-    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    # a NULL piece (past the end of a short polyline) must stay NULL
+    along = ((x - piece["x1"]) * dx + (y - piece["y1"]) * dy) / F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+    t = F.when(along <= 0, F.lit(0.0)).when(along >= 1, F.lit(1.0)).otherwise(along)
     ex, ey = x - (piece["x1"] + t * dx), y - (piece["y1"] + t * dy)
     return F.sqrt(ex * ex + ey * ey)
 
 
-def distance_to_polyline(x: Column, y: Column, pieces: Column) -> Column:
-    return F.array_min(F.transform(pieces, lambda p: distance_to_piece(x, y, p)))
+def distance_to_polyline(x: Column, y: Column, pieces: Column, unrolled: int = 3) -> Column:
+    """Least distance to any piece.
+
+    The first pieces are spelled out, which compiles; only the rest of longer
+    polylines goes through an array function.
+    """
+    first = [distance_to_piece(x, y, F.get(pieces, F.lit(i))) for i in range(unrolled)]
+    rest = F.array_min(F.transform(F.slice(pieces, unrolled + 1, F.size(pieces)), lambda p: distance_to_piece(x, y, p)))
+    near = F.least(*first)
+    return F.when(F.size(pieces) <= unrolled, near).otherwise(F.least(near, rest))
 
 
 def chord_m(piece: Column, cx: Column, cy: Column, radius: Column) -> Column:

@@ -66,8 +66,8 @@ def _forest(spec: ModelSpec, label: str, weight: str | None, prefix: str) -> Ran
 
 def _boosted(spec: ModelSpec, label: str, weight: str | None, prefix: str) -> GBTClassifier:
     model = GBTClassifier(labelCol=label, featuresCol="vector", maxIter=spec.trees, maxDepth=spec.depth, minInstancesPerNode=spec.min_rows, stepSize=spec.step,
-                          subsamplingRate=0.85, seed=spec.seed, probabilityCol=f"{prefix}prob", rawPredictionCol=f"{prefix}raw", predictionCol=f"{prefix}pred",
-                          maxMemoryInMB=512)
+                          subsamplingRate=0.85, seed=spec.seed, predictionCol=f"{prefix}pred", maxMemoryInMB=512)
+    model = model.setProbabilityCol(f"{prefix}prob").setRawPredictionCol(f"{prefix}raw")
     return model.setWeightCol(weight) if weight else model
 
 
