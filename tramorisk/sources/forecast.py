@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tramorisk.functions.calendar import SHIFTS, shift_name
 from tramorisk.functions.risk import level, risk_score
@@ -24,7 +24,10 @@ def wide_forecast(scored: DataFrame) -> DataFrame:
 
 def repaired_forecast(raw: DataFrame) -> DataFrame:
     """Loaded forecasts: scores cut to [0, 1], levels filled, bad rows dropped."""
-    cut = lambda c: F.least(F.greatest(F.trim(F.col(c).cast("string")).try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    def cut(name: str) -> Column:
+        value = F.trim(F.col(name).cast("string")).try_cast("double")
+        return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+
     out = raw.withColumn("riesgo_score", cut("riesgo_score"))
     for c in ("latitud", "longitud"):
         out = out.withColumn(c, F.trim(F.col(c).cast("string")).try_cast("double"))
