@@ -127,19 +127,22 @@ def two_stage_cutoffs(df: DataFrame, medium: str = "p1", high: str = "p2", truth
 
 def cutoff_grids(df: DataFrame, truth: str = "y", scores: Sequence[str] = ("p1", "p2"), inner: int = 55, outer: int = 35) -> list[list[float]]:
     """Candidate cutoffs per score: quantiles of positives and of all rows."""
-    grids = []
-    for label, score in enumerate(scores, 1):
-        own = [i / (inner - 1) for i in range(inner)]
-        all_ = [0.9 + i * (0.9999 - 0.9) / (outer - 1) for i in range(outer)]
-        found = [r["valor"] for r in exact_quantiles(df.filter(F.col(truth) == label), [], score, own).collect()]
-        found += [r["valor"] for r in exact_quantiles(df, [], score, all_).collect()]
-        grids.append(sorted({0.0, 1.000001, *[v for v in found if v is not None]}))
-    return grids
-
-
-def _bin(score: Column, edges: Sequence[float]) -> Column:
-    """How many edges lie at or below the score."""
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= score))
+    own = [i / (inner - 1) for i in range(inner)]
+    every = [0.9 + i * (0.9999 - 0.9) / (outer - 1) for i in range(outer)]
+    tagged = [F.struct(F.lit(s).alias("serie"), F.col(s).alias("v")) for s in scores]
+    tagged += [F.when(F.col(truth) == k, F.struct(F.lit(f"{s}+").alias("serie"), F.col(s).alias("v"))) for k, s in enumerate(scores, 1)]
+    long = df.select(F.explode(F.array(*tagged)).alias("_r")).filter("_r IS NOT NULL").select("_r.*")
+    found = exact_quantiles(long, ["serie"], "v", [*own, *every]).collect()  # series x probabilities
+    pick = lambda serie, probs: {r["valor"] for r in found if r["serie"] == serie and r["prob"] in probs}
+    return [sorted({0.0, 1.000001} | pick(f"{s}+", set(own)) | pick(s, set(every))) for s in scores]
+
+
+def _bin(score: Column, edges: Sequence[float], below: int = 0) -> Column:
+    """How many edges lie at or below the score, as a balanced decision tree."""
+    if not edges:
+        return F.lit(below)
+    middle = len(edges) // 2
+    return F.when(score < edges[middle], _bin(score, edges[:middle], below)).otherwise(_bin(score, edges[middle + 1:], below + middle + 1))
 
 
 def joint_cutoffs(df: DataFrame, medium: Sequence[float], high: Sequence[float], truth: str = "y",
