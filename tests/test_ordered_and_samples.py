@@ -40,6 +40,12 @@ def test_keep_first_over_cuts(spark):
     assert {r["_tamano"] for r in kept} == {500, 3}
 
 
+def test_keep_first_with_a_quota_beyond_one_task(spark):
+    df = spark.createDataFrame([("a", i) for i in range(500)] + [("b", i) for i in range(30)], "g string, v int")
+    kept = ordered.keep_first(df, ["g"], [F.desc("v")], F.when(F.col("g") == "a", 200).otherwise(99), rows_per_cut=60).collect()
+    assert sorted(r["v"] for r in kept if r["g"] == "a") == list(range(300, 500)) and len(kept) == 230
+
+
 def test_two_stratum_invariants(spark):
     rows = [(f"s{i}", 1, 0, 0 if i < 1000 else (1 if i < 1020 else 2), i % 3 == 0) for i in range(1030)]
     df = spark.createDataFrame(rows, "tramo_id string, mes_idx int, turno_idx int, y int, activo boolean")

@@ -123,19 +123,26 @@ def keep_first(df: DataFrame, groups: Sequence[str], order: Sequence[Column], qu
                rows_per_cut: int = HOT_ROWS) -> DataFrame:
     """First ``quota`` rows of each group by a total ``order``.
 
-    Groups are cut by size: every cut keeps its own first ``quota`` rows, then
-    only those candidates are ranked together. ``quota`` may use ``_tamano``,
-    the size of the group, which stays in the result. The groups are strata
-    of closed domains (months, shifts, classes), which bounds their broadcast.
+    Groups within their quota pass unranked. The others are cut by size: every
+    cut keeps its own first ``quota`` rows, then only those are ranked
+    together; quotas too large for one task use the distributed rank instead.
+    ``quota`` may use ``_tamano``, the size of the group, which stays in the
+    result. The groups are strata of closed domains (months, shifts, classes),
+    which bounds their broadcast.
     """
     groups = list(groups)
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_tamano"))
-    quota = quota if isinstance(quota, Column) else F.lit(int(quota))
-    cut = (df.join(F.broadcast(sizes), groups)
-           .withColumn("_cupo", quota.cast("long"))
-           .withColumn("_corte", F.pmod(F.xxhash64(*df.columns),
-                                        F.ceil(F.col("_tamano") / rows_per_cut)).cast("int")))
+    wanted = quota if isinstance(quota, Column) else F.lit(int(quota))
+    sized = df.join(F.broadcast(sizes), groups).withColumn("_cupo", wanted.cast("long"))
+    whole = sized.filter(F.col("_cupo") >= F.col("_tamano"))
+    partial = sized.filter((F.col("_cupo") < F.col("_tamano")) & (F.col("_cupo") > 0))
+    largest = quota if isinstance(quota, int) else (partial.agg(F.max("_cupo")).first()[0] or 0)
+    if largest > rows_per_cut:
+        ranked = global_rank(partial, groups, order, "_rn").filter(F.col("_rn") <= F.col("_cupo"))
+        return whole.unionByName(ranked.drop("_rn")).drop("_cupo")
+    share = F.pmod(F.xxhash64(*df.columns), F.ceil(F.col("_tamano") / rows_per_cut)).cast("int")
     local = F.row_number().over(W.partitionBy(*groups, "_corte").orderBy(*order))
-    near = cut.withColumn("_rn", local).filter(F.col("_rn") <= F.col("_cupo"))
+    near = partial.withColumn("_corte", share).withColumn("_rn", local).filter(F.col("_rn") <= F.col("_cupo"))
     final = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
-    return near.withColumn("_rn", final).filter(F.col("_rn") <= F.col("_cupo")).drop("_rn", "_corte", "_cupo")
+    ranked = near.withColumn("_rn", final).filter(F.col("_rn") <= F.col("_cupo"))
+    return whole.unionByName(ranked.drop("_rn", "_corte")).drop("_cupo")
