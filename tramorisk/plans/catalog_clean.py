@@ -88,21 +88,22 @@ def _(t):
     return t.raw().groupBy("distrito").agg(panel.count_where(near).alias("dentro"), panel.count_where(wide).alias("amplio"), F.count(F.lit(1)).alias("total"))
 
 
-_ORDER = [F.col(c) for c in ("fecha", "l_partkey", "l_suppkey", "l_extendedprice")]
+def _order():
+    return [F.col(c) for c in ("fecha", "l_partkey", "l_suppkey", "l_extendedprice")]
 
 
 @query("P10_first_per_id", "id_hecho:l fila:s fecha:s", f"""
 WITH {INC} SELECT id_hecho, fila, strftime(fecha, '%Y-%m-%d') AS fecha FROM (SELECT *, row_number() OVER (PARTITION BY id_hecho
  ORDER BY fecha, l_partkey, l_suppkey, l_extendedprice) AS rn FROM inc0) WHERE rn = 1""")
 def _(t):
-    return clean.keep_first_by_id(t.raw(), "id_hecho", _ORDER).withColumn("fecha", F.date_format("fecha", "yyyy-MM-dd"))
+    return clean.keep_first_by_id(t.raw(), "id_hecho", _order()).withColumn("fecha", F.date_format("fecha", "yyyy-MM-dd"))
 
 
 @query("P10_last_per_id", "id_hecho:l fila:s", f"""
 WITH {INC} SELECT id_hecho, fila FROM (SELECT *, row_number() OVER (PARTITION BY id_hecho
  ORDER BY fecha DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM inc0) WHERE rn = 1""")
 def _(t):
-    return ordered.last_by(t.raw(), ["id_hecho"], _ORDER)
+    return ordered.last_by(t.raw(), ["id_hecho"], _order())
 
 
 @query("P10_first_per_content", "periodo:s distrito:s modalidad:s subtipo:s fila:s", f"""

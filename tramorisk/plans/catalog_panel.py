@@ -259,7 +259,8 @@ def _labelled(t):
     return t.dense_cube().withColumn("y", risk.risk_class(r, 3.0))
 
 
-_BY_ID = [F.col("tramo_id"), F.col("mes_idx"), F.col("turno_idx")]
+def _by_id():
+    return [F.col("tramo_id"), F.col("mes_idx"), F.col("turno_idx")]
 
 
 @query("T01_top_points", "tramo_id:s riesgo_score:d", f"WITH {INC}, {SEG}, {FORECAST} SELECT tramo_id, riesgo_score FROM pron WHERE riesgo_score >= 0.5 AND latitud >= -12.199 ORDER BY riesgo_score DESC, tramo_id LIMIT 25")
@@ -297,14 +298,14 @@ def _(t):
 WITH {INC}, {SEG}, {_LABELS}, c AS (SELECT count(*) FILTER (y > 0) AS m FROM et), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY tramo_id, mes_idx, turno_idx) AS rn FROM et)
 SELECT y, count(*) AS n, min(tramo_id) AS primero, max(tramo_id) AS ultimo FROM r, c WHERE y > 0 OR rn <= least(greatest(5000, 2 * m), 20000) GROUP BY y""")
 def _(t):
-    kept = sampling.cap_low_class(_labelled(t), _BY_ID, floor=5_000, ceiling=20_000)
+    kept = sampling.cap_low_class(_labelled(t), _by_id(), floor=5_000, ceiling=20_000)
     return kept.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("tramo_id").alias("primero"), F.max("tramo_id").alias("ultimo"))
 
 
 @query("T06_class_cap", "tramo_id:s mes_idx:l turno_idx:l y:l", f"""
 WITH {INC}, {SEG}, {_LABELS}, r AS (SELECT *, row_number() OVER (PARTITION BY mes_idx, turno_idx, y ORDER BY tramo_id) AS rn FROM et) SELECT tramo_id, mes_idx, turno_idx, y FROM r WHERE rn <= CASE WHEN y = 0 THEN 20 ELSE 10 END""")
 def _(t):
-    return sampling.cap_per_class(_labelled(t), ["mes_idx", "turno_idx"], 10, _BY_ID, low_factor=2)
+    return sampling.cap_per_class(_labelled(t), ["mes_idx", "turno_idx"], 10, _by_id(), low_factor=2)
 
 
 @query("T07_two_stratum_sample", "tramo_id:s mes_idx:l turno_idx:l y:l peso_inclusion:d", f"""
@@ -316,7 +317,7 @@ r AS (SELECT a.*, e.na, e.nq, e.ca, e.cq, row_number() OVER (PARTITION BY a.mes_
 SELECT tramo_id, mes_idx, turno_idx, y, CASE WHEN y > 0 THEN 1.0 WHEN activo THEN na / ca::DOUBLE ELSE nq / cq::DOUBLE END AS peso_inclusion FROM r WHERE y > 0 OR (activo AND rn <= ca) OR (NOT activo AND rn <= cq)""")
 def _(t):
     rows = _labelled(t).withColumn("activo", (F.col("mes_idx") % 5 < 3) & (F.length("tramo_id") % 2 == 0))
-    return sampling.two_stratum(rows, ["mes_idx", "turno_idx"], _BY_ID, ratio=1.5, minimum=40)
+    return sampling.two_stratum(rows, ["mes_idx", "turno_idx"], _by_id(), ratio=1.5, minimum=40)
 
 
 _CM = """z AS (SELECT mes_idx, y, count(*) AS n FROM et GROUP BY mes_idx, y), lim AS (SELECT least({cap}, {rows} // (3 * count(DISTINCT mes_idx))) AS l FROM z), tc AS (SELECT y, sum(n) AS nc FROM z GROUP BY y),
