@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +51,12 @@ def test_catalog_is_consistent():
     assert set(oracles) <= set(names) and len(names) > 150 and len(oracles) > 120
 
 
+def test_catalog_loads_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and e.oracle_sql()"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
