@@ -44,7 +44,8 @@ LOCAL = rf"[A-Za-z0-9._%+{MARK}-]"
 DETECTORS = {
     "email": Kind(rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9{MARK}-]++", r"@", 0.9, r"mail|contact|write|kontakt|correo", DOTS),
     "ip": Kind(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"\bip\b|address|server|host|adresse"),
-    "card": Kind(rf"[0-9][0-9{MARK}]++", r"[0-9]", 0.7, r"card|visa|credit|payment|karte|carte|tarjeta", GAPS),
+    # Runs are maximal, so those too short for a card need not be matches at all.
+    "card": Kind(rf"(?<![0-9{MARK}])[0-9][0-9{MARK}]{{12,}}+", r"[0-9](?:[\x20-]?[0-9]){12}", 0.7, r"card|visa|credit|payment|karte|carte|tarjeta", GAPS),
     "phone": Kind(r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, r"phone|tel|call|mobile|fax|telefon"),
     "iban": Kind(rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}[A-Z0-9{MARK}]{{11,38}}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8,
                  r"iban|bank|account|konto|compte|cuenta", r"(?<=[A-Z0-9])\x20(?=[A-Z0-9])"),
