@@ -112,7 +112,7 @@ def test_language_model_sums_to_one(spark):
     words = [f"w{i}" for i in range(40)]
     texts_ = [" ".join(np.random.default_rng(i).choice(words, 30)) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
-    weights = maxent.train(docs)
+    weights = maxent.train(docs, np.ones(maxent.CLASSES))
     bounds = np.array([0, 3])
     h, _ = maxent.tokens(np.frombuffer(b"w1 w2", np.uint8), np.array([0]), np.array([5]))
     z = maxent.class_logits(maxent.context(h, bounds)[:, 2:3], weights)[0]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tramorisk.llm.store import id_hash
-from tramorisk.llm.textbytes import STEP, annotate, mix, sums
+from tramorisk.llm.textbytes import STEP, annotate
 
 DIMENSIONS = 1 << 14
 ORDERS = (1, 2, 3, 4)
@@ -67,16 +67,18 @@ def kernel(seen: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 def fit(seen: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Model from the presence rows and languages of the sample, which come in a fixed order."""
     names = sorted(set(langs))
+    if not names:
+        return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((0, 0), np.float32))
     label = np.array([names.index(x) for x in langs])
-    each = max(1, landmarks // max(1, len(names)))
-    chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))]) if names else np.zeros(0, int)
+    each = max(1, landmarks // len(names))
+    chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))])
     unit = seen[chosen].astype(np.float32)
     unit /= np.sqrt(np.maximum(unit.sum(axis=1, keepdims=True), 1))
     values, vectors = np.linalg.eigh((unit @ unit.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # K^(-1/2) up to a rotation
     phi = kernel(seen, unit.T).astype(np.float64) @ root
     # Every language weighs the same, however often it occurs in the sample.
-    weight = (1.0 / np.bincount(label, minlength=len(names)))[label] * len(label) / max(1, len(names))
+    weight = (1.0 / np.bincount(label, minlength=len(names)))[label] * len(label) / len(names)
     target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     gram = (phi * weight[:, None]).T @ phi + ridge * len(label) * np.eye(phi.shape[1])
     solved = np.linalg.solve(gram, (phi * weight[:, None]).T @ target)

@@ -3,7 +3,7 @@
 P(word | context) = P(class | context) * P(word | class). The class of a word
 is a hash of its last two bytes; the end of a text has a class of its own. The
 class factor is a softmax over hashed features of the context: the word before,
-the two words before, and two skips. Tasks update the weights on their texts and
+the two words before, and the word before the last (a skip). Tasks update the weights on their texts and
 Spark averages the updates; a round takes in every training text. The word
 factor is the maximum-entropy solution with word features only: (c + 1) /
 (N_class + V_class + 1), where one place per class is for unknown words, so the
@@ -31,11 +31,11 @@ from tramorisk.llm.repeats import binaries, joined, row_counts, runs
 from tramorisk.llm.store import id_hash, power_of_two, stored
 from tramorisk.llm.textbytes import SPACED, STEP, annotate, byte_codes, groups, mix, owners, word_hashes, words
 
-CLASSES, SLOTS, FEATURES = 32, 1 << 13, 4
+CLASSES, SLOTS, FEATURES = 16, 1 << 11, 3
 CODES = byte_codes(SPACED)
 CLASS_BITS = np.uint64(CLASSES.bit_length() - 1)
 END = mix(np.array([1], dtype=np.uint64))[0] & ~np.uint64(CLASSES - 1)  # class 0
-ROUNDS, RATE, MINIBATCH = 1, 0.5, 1 << 14
+ROUNDS, RATE, MINIBATCH = 1, 0.5, 1 << 15
 BUCKET_BYTES, LEAST_BUCKETS, PACKED, BYTES_PER_WORD = 24 << 20, 32, 9, 8
 SHARDS = 16
 
@@ -58,14 +58,14 @@ def tokens(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 
 def context(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Feature slots of each token: word before, two words before, and skips over one and over two words."""
+    """Feature slots of each token: word before, two words before, and a skip over one word."""
     n, far = len(h), np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
     before = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         moved = np.zeros(n, dtype=np.uint64)
         moved[k:] = h[:n - k] if n > k else moved[k:]
         before.append(np.where(far >= k, moved, np.uint64(k)))
-    raw = [before[0], before[0] * STEP + before[1], before[1] + np.uint64(2), before[2] + np.uint64(3)]
+    raw = [before[0], before[0] * STEP + before[1], before[1]]
     shift = np.uint64(64 - (SLOTS.bit_length() - 1))
     return np.stack([(mix(x + np.uint64(k)) >> shift).astype(np.int64) + k * SLOTS for k, x in enumerate(raw)])
 
@@ -77,9 +77,11 @@ def class_logits(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return z + weights[-1]
 
 
-def new_weights() -> np.ndarray:
-    """Feature slots x classes, and a last row that every token has."""
-    return np.zeros((FEATURES * SLOTS + 1, CLASSES), dtype=np.float32)
+def new_weights(class_counts: np.ndarray) -> np.ndarray:
+    """Feature slots x classes, and a last row that every token has: at the start the log frequencies of the classes."""
+    weights = np.zeros((FEATURES * SLOTS + 1, CLASSES), dtype=np.float32)
+    weights[-1] = np.log((class_counts + 1.0) / (class_counts.sum() + len(class_counts)))
+    return weights
 
 
 def learn(slots: np.ndarray, target: np.ndarray, weights: np.ndarray, speed: np.ndarray) -> None:
@@ -93,14 +95,12 @@ def learn(slots: np.ndarray, target: np.ndarray, weights: np.ndarray, speed: np.
         np.negative(z, out=z)
         z[np.arange(len(label)), label] += 1.0
         for row in part:
-            order = np.argsort(row, kind="stable")
+            order = np.argsort((row % SLOTS).astype(np.uint16), kind="stable")  # a feature's slots are in one range, and 16 bits sort fastest
             first, length = runs(row[order])
             step = np.add.reduceat(z[order], first, axis=0)
             at = row[order][first]
             speed[at] += length
             weights[at] += step * (RATE / np.sqrt(speed[at] * length))[:, None].astype(np.float32)
-        speed[-1] += len(label)
-        weights[-1] += (z.sum(axis=0) * RATE / np.sqrt(speed[-1] * len(label))).astype(np.float32)
 
 
 def update(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -126,12 +126,12 @@ def averaged(groups_of: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     yield pa.RecordBatch.from_arrays([pa.array([groups_of[0].as_py()], pa.int32()), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], names=["shard", "delta"])
 
 
-def train(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` of distributed updates over all of ``texts``. Their size is fixed, about 4 MB."""
-    weights, context_ = new_weights(), texts.sparkSession.sparkContext
+def train(texts: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after ``rounds`` of distributed updates over all of ``texts``. Their size is fixed, about 400 KB."""
+    weights, context_ = new_weights(class_counts), texts.sparkSession.sparkContext
     for _ in range(rounds):
         shipped = context_.broadcast(weights)
-        sent = texts.select("text").mapInArrow(lambda b, s=shipped: update(b, s.value), "shard int, tokens long, delta binary")
+        sent = texts.select("text").mapInArrow(lambda b: update(b, shipped.value), "shard int, tokens long, delta binary")
         means = sent.groupBy("shard").applyInArrow(averaged, "shard int, delta binary").collect()
         shards = np.array_split(weights.copy(), SHARDS)
         for r in means:
@@ -230,7 +230,7 @@ def score_documents(docs: DataFrame, text: str = "text", row: str = "doc_id", ro
     parts = stored(sent.groupBy("bucket").applyInArrow(answer, "key long, class boolean, s double, known long, distinct long"))
     classes = {r["key"]: (r["n"], r["v"]) for r in parts.filter("class").groupBy("key").agg(F.sum("known").alias("n"), F.sum("distinct").alias("v")).collect()}
     n, v = sum(x[0] for x in classes.values()), sum(x[1] for x in classes.values())
-    weights = train(keyed.filter("train"), rounds)
+    weights = train(keyed.filter("train"), np.array([classes.get(k, (0, 0))[0] for k in range(CLASSES)]), rounds)
     base = F.log10(F.lit(float(n + v + 1)))
     norm = F.array(*[F.lit(float(np.log10(sum(classes.get(k, (0, 0))) + 1.0))) for k in range(CLASSES)])
     scored = model_part(keyed.select("doc_id", "key", "train", "text"), weights).select(
