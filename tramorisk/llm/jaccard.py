@@ -134,11 +134,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def set_links(sets: DataFrame) -> DataFrame:
     """Links (``a``, ``b``) that join the same classes as all pairs at the threshold."""
     postings = stored(sets.select("key", "n", F.posexplode("grams").alias("_i", "gram"), "skip")
-                      .select("gram", "key", "n", (F.col("skip") + F.col("_i")).alias("pos")))
-    pivots = postings.groupBy("gram").agg(F.min(F.struct("key", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("_many")).filter("_many > 1")
+                      .select("gram", "key", "n", (F.col("skip") + F.col("_i")).alias("pos"), "skip"))
+    # The pivot has the fewest shingles of its own: in a crowd of edited copies that is the text they were made from, or the least edited.
+    pivots = postings.groupBy("gram").agg(F.min(F.struct("skip", "key", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("_many")).filter("_many > 1")
     met = postings.join(pivots, "gram").filter((F.col("key") != F.col("p.key")) & may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
-    star = stored(met.select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct())
-    links = stored(verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
+    star = stored(met.groupBy(F.col("p.key").alias("a"), F.col("key").alias("b")).agg(F.min("p.skip").alias("skip")))
+    links = stored(verified(star.groupBy("b").agg(F.min(F.struct("skip", "a")).alias("m")).select("m.a", "b"), sets))
     classes = components(links)
     label = lambda df, key, out: df.join(classes.select(F.col("node").alias(key), F.col("label").alias(out)), key, "left").withColumn(out, F.coalesce(out, key))
     more = label(label(star, "a", "_ca"), "b", "_cb").filter("_ca <> _cb").select("a", "b")
