@@ -27,7 +27,7 @@ from tramorisk.operators.ordered import global_rank
 
 WORD = r"[^\x20\x09-\x0D]++"
 SHARE, WEIGHTS, MOST = 1.5, (5.0, 2.0, 1.0), 2.0
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 def text_size(text: str) -> Column:
@@ -90,7 +90,8 @@ def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     while True:
         counts = left.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_blocks"))
         cut = left.join(counts, "_group").withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(level)), F.col("_blocks")))
-        flown = stored(cut.select("_group", "_block", "_blocks", "_row", "size", "p")
+        # Dealt by block: the join above leaves a source together.
+        flown = stored(cut.select("_group", "_block", "_blocks", "_row", "size", "p").repartition("_group", "_block")
                        .groupBy("_group", "_block").applyInPandas(
                            lambda pdf: fly(pdf), "_group long, _block long, _blocks long, _row long, size long, p double"))
         fractional = (F.col("p") > 0) & (F.col("p") < 1)
