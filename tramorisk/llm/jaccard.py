@@ -149,11 +149,20 @@ def set_links(sets: DataFrame) -> DataFrame:
     own = stored(label(postings, "key", "class"))
     split = own.groupBy("gram").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).filter("_x <> _y").select("gram")
     own = stored(own.join(split, "gram"))
-    sides = own.select("gram", "class").distinct()
-    meet = sides.withColumnRenamed("class", "ca").join(sides.withColumnRenamed("class", "cb"), "gram").filter("ca < cb")
-    left = own.select("gram", F.col("class").alias("ca"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = own.select("gram", F.col("class").alias("cb"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    rest = meet.join(left, ["gram", "ca"]).join(right, ["gram", "cb"]).filter(may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
+    # Bounds of a class at a shingle prune before its members are made; for a class of one they are the filters themselves.
+    sides = own.groupBy("gram", "class").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    side = lambda x: sides.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "lo", "hi", "left")])
+
+    def possible(lo_a, hi_a, left_a, lo_b, hi_b, left_b) -> Column:
+        sizes = (hi_a * OF >= lo_b * SHARED) & (hi_b * OF >= lo_a * SHARED)
+        return sizes & (F.least(left_a, left_b) * (SHARED + OF) >= (lo_a + lo_b) * SHARED)
+
+    c = F.col
+    meet = side("a").join(side("b"), "gram").filter(
+        (c("class_a") < c("class_b")) & possible(*[c(f"{k}_{x}") for x in "ab" for k in ("lo", "hi", "left")]))
+    member = lambda x: own.select("gram", c("class").alias(f"class_{x}"), c("key").alias(x), c("n").alias(f"n{x}"), c("pos").alias(f"p{x}"))
+    half = meet.join(member("a"), ["gram", "class_a"]).filter(possible(c("na"), c("na"), c("na") - c("pa"), c("lo_b"), c("hi_b"), c("left_b")))
+    rest = half.select("gram", "class_b", "a", "na", "pa").join(member("b"), ["gram", "class_b"]).filter(may_link(c("na"), c("pa"), c("nb"), c("pb")))
     return links.unionByName(verified(rest.select("a", "b").distinct(), sets))
 
 
