@@ -93,9 +93,15 @@ def balanced_weights(df: DataFrame, label: str = "y", power: float = 1.0) -> Dat
     return df.withColumn("peso_clase", table[F.col(label)])
 
 
+def _require_positive(limit: int) -> None:
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+
+
 def top_points(df: DataFrame, minimum: float = 0.0, limit: int = 15_000, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Best-scored points above a minimum, inside optional bounds."""
-    minimum, limit = min(1.0, max(0.0, minimum)), min(25_000, max(1, limit))
+    _require_positive(limit)
+    minimum = min(1.0, max(0.0, minimum))
     if bounds:
         south, west, north, east = bounds
         df = df.filter(F.col("latitud").between(south, north) & F.col("longitud").between(west, east))
@@ -104,7 +110,7 @@ def top_points(df: DataFrame, minimum: float = 0.0, limit: int = 15_000, bounds:
 
 def balanced_points(df: DataFrame, minimum: float = 0.0, limit: int = 15_000) -> DataFrame:
     """Evenly spaced ranks per level when the rows exceed the limit."""
-    limit = min(25_000, max(1, limit))
+    _require_positive(limit)
     rows = df.filter((F.col("riesgo_score") >= minimum) & F.col("nivel").isin("bajo", "medio", "alto"))
     sizes = {r["nivel"]: r["count"] for r in rows.groupBy("nivel").count().collect()}  # three levels
     if sum(sizes.values()) <= limit:
@@ -125,7 +131,7 @@ def balanced_points(df: DataFrame, minimum: float = 0.0, limit: int = 15_000) ->
 
 def thin(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
     """Every n-th row in order, n = rows div limit, at most ``limit`` rows."""
-    limit = max(1, min(limit, 50_000))
+    _require_positive(limit)
     total = df.count()
     if total <= limit:
         return df

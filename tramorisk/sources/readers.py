@@ -71,11 +71,14 @@ def fingerprint(df: DataFrame, spec: dict) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored at ``path``; any other failure of the store is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def stored_fingerprint(spark: SparkSession, path: str) -> str | None:
-    try:
-        return spark.read.text(path).first()[0]
-    except Exception:  # noqa: BLE001 - a missing marker means nothing was stored
-        return None
+    return spark.read.text(path).first()[0] if exists(spark, path) else None
 
 
 def reusable(spark: SparkSession, path: str, expected: str, allow_replace: bool = True) -> bool:
@@ -103,11 +106,7 @@ def register_forecast(spark: SparkSession, forecast: DataFrame, path: str, perio
 
     A period already registered is an error, as a registered forecast is frozen.
     """
-    try:
-        taken = spark.read.parquet(path).filter(F.col("periodo") == period).limit(1).count() > 0
-    except Exception:  # noqa: BLE001 - first registration
-        taken = False
-    if taken:
+    if exists(spark, path) and not spark.read.parquet(path).filter(F.col("periodo") == period).isEmpty():
         raise ValueError(f"the forecast of {period} is already registered")
     digest = table_digest(forecast, columns).withColumn("periodo", F.lit(period)).withColumn("registrado", F.current_timestamp())
     digest.write.mode("append").parquet(path)
@@ -118,10 +117,10 @@ def model_catalog(spark: SparkSession, folder: str, names: dict[str, str], defau
     """Metrics and metadata of the exported models that exist in a folder."""
     rows = []
     for key, name in names.items():
-        try:
-            metrics = read_delimited(spark, f"{folder}/metricas_{key}.csv").first()
-        except Exception:  # noqa: BLE001 - absent model
+        path = f"{folder}/metricas_{key}.csv"
+        if not exists(spark, path):
             continue
+        metrics = read_delimited(spark, path).first()
         rows.append((key, name, key == default, json.dumps(metrics.asDict(), ensure_ascii=False)))
     return spark.createDataFrame(rows, "clave string, nombre string, por_defecto boolean, metricas string")
 
