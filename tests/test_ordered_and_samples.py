@@ -40,6 +40,23 @@ def test_keep_first_over_cuts(spark):
     assert {r["_tamano"] for r in kept} == {500, 3}
 
 
+def test_keep_first_keeps_null_groups_and_whole_groups_beside_cut_ones(spark):
+    rows = [(g, i) for g, n in ((None, 4), ("a", 150), ("b", 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    kept = ordered.keep_first(df, ["g"], [F.desc("v")], F.when(F.col("g") == "a", 12).otherwise(F.col("_tamano")), rows_per_cut=40).collect()
+    want = [(None, i) for i in range(4)] + [("a", i) for i in range(138, 150)] + [("b", i) for i in range(90)]
+    assert sorted(((r["g"] or "", r["v"]) for r in kept)) == [(g or "", v) for g, v in want]
+    assert {r["g"]: r["_tamano"] for r in kept} == {None: 4, "a": 150, "b": 90}
+
+
+def test_keep_first_with_many_cuts_and_a_quota_near_their_size(spark):
+    df = spark.createDataFrame([("a" if i % 10 else None, i) for i in range(1000)], "g string, v int")
+    kept = ordered.keep_first(df, ["g"], [F.desc("v")], 29, rows_per_cut=30).collect()
+    for g in ("a", None):
+        top = sorted((i for i in range(1000) if bool(i % 10) == bool(g)), reverse=True)[:29]
+        assert sorted((r["v"] for r in kept if r["g"] == g), reverse=True) == top
+
+
 def test_keep_first_with_a_quota_beyond_one_task(spark):
     df = spark.createDataFrame([("a", i) for i in range(500)] + [("b", i) for i in range(30)], "g string, v int")
     kept = ordered.keep_first(df, ["g"], [F.desc("v")], F.when(F.col("g") == "a", 200).otherwise(99), rows_per_cut=60).collect()

@@ -120,29 +120,34 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
 
 
 def keep_first(df: DataFrame, groups: Sequence[str], order: Sequence[Column], quota: Column | int,
-               rows_per_cut: int = HOT_ROWS) -> DataFrame:
-    """First ``quota`` rows of each group by a total ``order``.
-
-    Groups within their quota pass unranked. The others are cut by size: every
-    cut keeps its own first ``quota`` rows, then only those are ranked
-    together; quotas too large for one task use the distributed rank instead.
-    ``quota`` may use ``_tamano``, the size of the group, which stays in the
-    result. The groups are strata of closed domains (months, shifts, classes),
-    which bounds their broadcast.
+               rows_per_cut: int = HOT_ROWS, constant: Sequence[str] = ()) -> DataFrame:
+    """First ``quota`` rows of each group by a total ``order``; a null group is a group.
+
+    ``quota`` may use the groups, the columns in ``constant`` (one value per
+    group) and ``_tamano``, the size of the group, which stays in the result.
+    Sizes are counted once, from the columns they need; the rows are then read
+    once. Every cut of a crowded group keeps its own first rows and only those
+    are ranked together, while groups within their quota stay in their cuts.
+    Survivors too many for one task get the distributed rank. The groups are
+    strata of closed domains (months, shifts, classes), which bounds their
+    broadcast.
     """
     groups = list(groups)
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_tamano"))
     wanted = quota if isinstance(quota, Column) else F.lit(int(quota))
-    sized = df.join(F.broadcast(sizes), groups).withColumn("_cupo", wanted.cast("long"))
-    whole = sized.filter(F.col("_cupo") >= F.col("_tamano"))
-    partial = sized.filter((F.col("_cupo") < F.col("_tamano")) & (F.col("_cupo") > 0))
-    largest = quota if isinstance(quota, int) else (partial.agg(F.max("_cupo")).first()[0] or 0)
-    if largest > rows_per_cut:
-        ranked = global_rank(partial, groups, order, "_rn").filter(F.col("_rn") <= F.col("_cupo"))
-        return whole.unionByName(ranked.drop("_rn")).drop("_cupo")
-    share = F.pmod(F.xxhash64(*df.columns), F.ceil(F.col("_tamano") / rows_per_cut)).cast("int")
-    local = F.row_number().over(W.partitionBy(*groups, "_corte").orderBy(*order))
-    near = partial.withColumn("_corte", share).withColumn("_rn", local).filter(F.col("_rn") <= F.col("_cupo"))
-    final = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
-    ranked = near.withColumn("_rn", final).filter(F.col("_rn") <= F.col("_cupo"))
-    return whole.unionByName(ranked.drop("_rn", "_corte")).drop("_cupo")
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    sizes = settle(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_tamano"), *[F.first(c).alias(c) for c in constant])
+                   .select(*keys, "_tamano", wanted.cast("long").alias("_cupo")))
+    cuts, whole = F.ceil(F.col("_tamano") / rows_per_cut), F.col("_cupo") >= F.col("_tamano")
+    alive = sizes.agg(F.max(F.when(~whole, cuts * F.least("_cupo", F.lit(rows_per_cut)))).alias("n"), F.max("_tamano").alias("rows")).first()
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+    sized = df.join(F.broadcast(sizes), same).drop(*[f"_g{i}" for i in range(len(groups))]).filter("_cupo > 0")
+    if not alive["n"]:  # no group is cut down to some of its rows
+        return sized.filter(whole).drop("_cupo")
+    if alive["n"] > rows_per_cut:
+        return global_rank(sized, groups, order, "_rn").filter("_rn <= _cupo").drop("_rn", "_cupo")
+    cut = F.pmod(F.xxhash64(*df.columns), cuts).cast("int")
+    rank = lambda *by: F.row_number().over(W.partitionBy(*groups, *by).orderBy(*order))
+    near = sized.withColumn("_corte", cut).withColumn("_rn", rank("_corte")).filter("_rn <= _cupo")
+    if alive["rows"] > rows_per_cut:
+        near = near.withColumn("_corte", F.when(whole, F.col("_corte")).otherwise(0)).withColumn("_rn", rank("_corte")).filter("_rn <= _cupo")
+    return near.drop("_rn", "_corte", "_cupo")

@@ -50,8 +50,10 @@ def two_stratum(df: DataFrame, strata: Sequence[str], order: Sequence[Column], l
     quotas = sizes.select(*strata, "_p", loud.cast("long").alias("_ca"), quiet.cast("long").alias("_cq"))
     quota = F.when(F.col("_tipo") == 0, F.col("_p")).when(F.col("_tipo") == 1, F.col("_ca")).otherwise(F.col("_cq"))
     # strata are calendar months x shifts, which bounds the broadcast
-    joined = marked.join(F.broadcast(quotas), list(strata))
-    kept = keep_first(joined, [*strata, "_tipo"], order, quota)
+    named = quotas.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], "_p", "_ca", "_cq")
+    same = [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(strata)]
+    joined = marked.join(F.broadcast(named), same).drop(*[f"_s{i}" for i in range(len(strata))])
+    kept = keep_first(joined, [*strata, "_tipo"], order, quota, constant=("_p", "_ca", "_cq"))
     weight = F.when(F.col("_tipo") == 0, F.lit(1.0)).when(F.col("_tipo") == 1, F.col("_tamano") / F.col("_ca")).otherwise(
         F.col("_tamano") / F.col("_cq"))
     return kept.withColumn("peso_inclusion", weight).drop("_tipo", "_p", "_ca", "_cq", "_tamano")
