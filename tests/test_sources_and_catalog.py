@@ -1,3 +1,4 @@
+from datetime import datetime, timezone
 import os
 import subprocess
 import sys
@@ -36,6 +37,11 @@ def test_forecast_is_registered_once(spark, tmp_path):
     readers.register_forecast(spark, df, str(tmp_path / "r"), "2026-01", ["id"])
     with pytest.raises(ValueError, match="already registered"):
         readers.register_forecast(spark, df, str(tmp_path / "r"), "2026-01", ["id"])
+    assert spark.read.parquet(str(tmp_path / "r/filas")).filter("periodo = '2026-01'").count() == 4
+    with pytest.raises(ValueError, match="late"):
+        readers.register_forecast(spark, df, str(tmp_path / "r"), "2026-02", ["id"], now=datetime(2026, 2, 1, 6, tzinfo=timezone.utc))
+    readers.register_forecast(spark, df, str(tmp_path / "r"), "2026-02", ["id"], now=datetime(2026, 2, 1, 4, tzinfo=timezone.utc))
+    assert {(r["periodo"], r["filas"]) for r in readers.registered_forecasts(spark, str(tmp_path / "r")).collect()} == {("2026-01", 4), ("2026-02", 4)}
 
 
 def test_forecast_load_repairs_rows(spark):

@@ -168,4 +168,4 @@ def _(t):
         refused = 0
     except ValueError:
         refused = 1
-    return t.spark.read.parquet(path).select("periodo", "filas", F.lit(refused).alias("repetido"))
+    return readers.registered_forecasts(t.spark, path).select("periodo", "filas", F.lit(refused).alias("repetido"))

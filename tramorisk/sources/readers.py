@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -101,16 +102,31 @@ def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("filas"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("huella"))
 
 
-def register_forecast(spark: SparkSession, forecast: DataFrame, path: str, period: str, columns: Sequence[str]) -> DataFrame:
-    """Append a forecast once per period, with its content digest.
+def register_forecast(spark: SparkSession, forecast: DataFrame, path: str, period: str, columns: Sequence[str],
+                      now: datetime | None = None, offset_hours: int = 5) -> DataFrame:
+    """Store a forecast once per period, then its content digest, which marks it as registered.
 
-    A period already registered is an error, as a registered forecast is frozen.
+    A period already registered is an error, as a registered forecast is frozen,
+    and so is one that has begun by ``now`` (first moment of the month, UTC, plus
+    ``offset_hours``). Rows without a digest were left by a failed run and are
+    replaced. Two runs at once cannot both write the digest.
     """
-    if exists(spark, path) and not spark.read.parquet(path).filter(F.col("periodo") == period).isEmpty():
+    mark = f"{path}/registro/periodo={period}"
+    if exists(spark, mark):
         raise ValueError(f"the forecast of {period} is already registered")
-    digest = table_digest(forecast, columns).withColumn("periodo", F.lit(period)).withColumn("registrado", F.current_timestamp())
-    digest.write.mode("append").parquet(path)
-    return digest
+    begins = datetime.strptime(period, "%Y-%m").replace(tzinfo=timezone.utc) + timedelta(hours=offset_hours)
+    if now is not None and now >= begins:
+        raise ValueError(f"{period} has begun; its forecast is late")
+    rows = f"{path}/filas/periodo={period}"
+    forecast.write.mode("overwrite").parquet(rows)
+    stored = spark.read.schema(forecast.schema).parquet(rows)
+    table_digest(stored, columns).withColumn("registrado", F.current_timestamp()).write.mode("errorifexists").parquet(mark)
+    return registered_forecasts(spark, path).filter(F.col("periodo") == period)
+
+
+def registered_forecasts(spark: SparkSession, path: str) -> DataFrame:
+    """Periods with their number of rows, digest and time of registration."""
+    return spark.read.schema("filas long, huella string, registrado timestamp, periodo string").parquet(f"{path}/registro")
 
 
 def model_catalog(spark: SparkSession, folder: str, names: dict[str, str], default: str) -> DataFrame:
