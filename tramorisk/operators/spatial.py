@@ -247,6 +247,15 @@ def unique_lights(lights: DataFrame) -> DataFrame:
     return known.unionByName(rest)
 
 
+def edge_samples(segments: DataFrame, fractions: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """``edge``, ``longitud``, ``latitud``, ``x``, ``y``: both ends of each polyline and points at fractions of its length in degrees."""
+    pieces = geo.metric_pieces(F.col("puntos"), lambda lon, lat: (lon, lat))
+    ends = [F.struct(p["lon"].alias("x"), p["lat"].alias("y")) for p in (F.element_at("puntos", 1), F.element_at("puntos", -1))]
+    between = [geo.point_along(pieces, F.lit(f)) for f in fractions]
+    rows = segments.select(F.col("tramo_id").alias("edge"), F.explode(F.array(ends[0], *between, ends[1])).alias("p"))
+    return with_xy(rows.select("edge", F.col("p.x").alias("longitud"), F.col("p.y").alias("latitud")))
+
+
 def crimes_near_edges(samples: DataFrame, incidents: DataFrame, radius: float) -> DataFrame:
     """Distinct incidents near any sample point of an edge: number, sum, mean.
 

@@ -208,8 +208,7 @@ def _(t):
 def _(t):
     from tramorisk.operators.ordered import quantile_values
 
-    at = t.segments().select(F.col("tramo_id").alias("edge"), F.explode("puntos").alias("p")).select("edge", F.col("p.lon").alias("longitud"), F.col("p.lat").alias("latitud"))
-    near = spatial.crimes_near_edges(spatial.with_xy(at), t.placed(), 200.0).withColumnRenamed("edge", "tramo_id")
+    near = spatial.crimes_near_edges(spatial.edge_samples(t.segments()), t.placed(), 200.0).withColumnRenamed("edge", "tramo_id")
     rows = t.forecasts().join(near, "tramo_id", "left").fillna(0, ["cantidad", "suma_peso"]).withColumn("bruto", F.col("suma_peso") / risk.length_factor(F.col("longitud_m")))
     p95 = quantile_values(rows.filter("bruto > 0"), "bruto", [0.95])[0] or 1.0
     hist = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("bruto") / p95))

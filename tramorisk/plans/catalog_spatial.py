@@ -258,13 +258,24 @@ def _(t):
     return far.withColumn("g", turned).select("tramo_id", F.size("g").alias("vertices"), F.col("g")[0]["lat"].alias("lat0"), F.col("g")[2]["lon"].alias("lon2"))
 
 
+_QUARTERS = f"""qp AS (SELECT *, sqrt(pow(lon_c - lon_u, 2) + pow(lat_c - lat_u, 2)) AS d1, sqrt(pow(lon_v - lon_c, 2) + pow(lat_v - lat_c, 2)) AS d2, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS f FROM seg),
+mu AS (SELECT tramo_id AS edge, 0.0::DOUBLE AS f, lon_u * {KX} AS sx, lat_u * {KY} AS sy FROM seg UNION ALL SELECT tramo_id, 1.0::DOUBLE, lon_v * {KX}, lat_v * {KY} FROM seg
+ UNION ALL SELECT tramo_id, f, (CASE WHEN f * (d1 + d2) <= d1 THEN lon_u + f * (d1 + d2) / d1 * (lon_c - lon_u) ELSE lon_c + (f * (d1 + d2) - d1) / d2 * (lon_v - lon_c) END) * {KX},
+ (CASE WHEN f * (d1 + d2) <= d1 THEN lat_u + f * (d1 + d2) / d1 * (lat_c - lat_u) ELSE lat_c + (f * (d1 + d2) - d1) / d2 * (lat_v - lat_c) END) * {KY} FROM qp)"""
+
+
+@query("P23_edge_samples", "edge:s x:d3 y:d3", f"""
+WITH {SEG}, {_QUARTERS} SELECT edge, sx AS x, sy AS y FROM mu""")
+def _(t):
+    return spatial.edge_samples(t.segments())
+
+
 @query("J15_edge_incidents", "edge:s cantidad:l suma_peso:d peso_medio:d", f"""
-WITH {_GEO}, mu AS (SELECT tramo_id AS edge, lon_u * {KX} AS sx, lat_u * {KY} AS sy FROM seg UNION ALL SELECT tramo_id, lon_c * {KX}, lat_c * {KY} FROM seg UNION ALL SELECT tramo_id, lon_v * {KX}, lat_v * {KY} FROM seg),
+WITH {_GEO}, {_QUARTERS},
 {_PLACES}, h AS (SELECT DISTINCT edge, loc.x, loc.y FROM mu JOIN loc ON loc.x BETWEEN sx - 80 AND sx + 80 AND loc.y BETWEEN sy - 80 AND sy + 80 WHERE sqrt(pow(loc.x - sx, 2) + pow(loc.y - sy, 2)) <= 80)
 SELECT edge, count(*) AS cantidad, sum(peso)::DOUBLE AS suma_peso, avg(peso) AS peso_medio FROM h JOIN pto USING (x, y) WHERE turno_idx = 3 GROUP BY edge""")
 def _(t):
-    at = t.segments().select(F.col("tramo_id").alias("edge"), F.explode("puntos").alias("p")).select("edge", F.col("p.lon").alias("longitud"), F.col("p.lat").alias("latitud"))
-    return spatial.crimes_near_edges(spatial.with_xy(at), t.placed().filter("turno = 'noche'"), 80.0)
+    return spatial.crimes_near_edges(spatial.edge_samples(t.segments()), t.placed().filter("turno = 'noche'"), 80.0)
 
 
 @query("J18_viewport_clip", "tramo_id:s metros_visibles:d3", None)
