@@ -131,7 +131,7 @@ _MID = f"pt AS (SELECT tramo_id, longitud * {KX} AS x, latitud * {KY} AS y FROM
 
 
 def _knn(k: int, where: str = "true") -> str:
-    return f"""{_MID}, vec AS (SELECT * FROM (SELECT a.tramo_id, b.tramo_id AS vecino_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist_m,
+    return f"""{_MID}, vec AS MATERIALIZED (SELECT * FROM (SELECT a.tramo_id, b.tramo_id AS vecino_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist_m,
  row_number() OVER (PARTITION BY a.tramo_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.tramo_id) AS puesto FROM pt a JOIN pt b ON a.tramo_id <> b.tramo_id) WHERE puesto <= {k} AND {where})"""
 
 
@@ -161,7 +161,7 @@ def _(t):
 
 @query("W10_shift_context", "tramo_id:s mes_idx:l turno_idx:l turno_es_2:d turno_lag1:d turno_lag3:d turno_media3:d5 turno_std3:d5 turno_max3:d turno_activos3:d turno_altos3:d turno_conteo3:d turno_cuota3:d5 vecinos8_turno_lag1:d5 vecinos8_turno_media3:d5", f"""
 WITH {_SHIFT}, {_knn(8)}, r AS (SELECT *, peso / factor AS r FROM denso), r2 AS (SELECT *, sum(r) OVER (PARTITION BY tramo_id, mes_idx) AS tr FROM r),
-f AS (SELECT tramo_id, mes_idx, turno_idx, (turno_idx = 2)::INTEGER AS turno_es_2, lag(r, 1) {_over('', _T)} AS turno_lag1, lag(r, 3) {_over('', _T)} AS turno_lag3, avg(r) {_over(_rows(3), _T)} AS turno_media3,
+f AS MATERIALIZED (SELECT tramo_id, mes_idx, turno_idx, (turno_idx = 2)::INTEGER AS turno_es_2, lag(r, 1) {_over('', _T)} AS turno_lag1, lag(r, 3) {_over('', _T)} AS turno_lag3, avg(r) {_over(_rows(3), _T)} AS turno_media3,
  stddev_pop(r) {_over(_rows(3), _T)} AS turno_std3, max(r) {_over(_rows(3), _T)} AS turno_max3, avg((r > 0)::INTEGER) {_over(_rows(3), _T)} AS turno_activos3, avg((r >= {_H})::INTEGER) {_over(_rows(3), _T)} AS turno_altos3,
  avg(n) {_over(_rows(3), _T)} / factor AS turno_conteo3, avg(r) {_over(_rows(3), _T)} / (avg(tr) {_over(_rows(3), _T)} + 0.05::DOUBLE) AS turno_cuota3 FROM r2),
 v AS (SELECT vec.tramo_id, mes_idx, turno_idx, avg(turno_lag1) AS vecinos8_turno_lag1, avg(turno_media3) AS vecinos8_turno_media3 FROM vec JOIN f ON f.tramo_id = vec.vecino_id WHERE mes_idx >= 3 GROUP BY vec.tramo_id, mes_idx, turno_idx)
