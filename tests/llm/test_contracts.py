@@ -135,6 +135,20 @@ def test_language_model_learns_from_context(given):
     assert out[0] > out[1]
 
 
+def test_language_model_context_reaches_the_word(spark):
+    """After a word that fixes the next one, the score separates words of one class; without context both are equal."""
+    ends = [f"{x}zz" for x in "abcdefghijkl"]
+    docs = spark.createDataFrame([(i, " ".join(f"k{j} {ends[j]}" for j in np.random.default_rng(i).integers(0, 12, 40))) for i in range(400)]
+                                 + [(1000 + i, f"k{j} {ends[j if i % 2 else (j + 5) % 12]}") for i, j in enumerate(np.arange(400) // 2 % 12)], "doc_id long, text string")
+    held = maxent.score_documents(docs).filter("held_out AND doc_id >= 1000").groupBy((F.col("doc_id") % 2).alias("fits")).agg(F.avg("score").alias("s"))
+    mean = {r["fits"]: r["s"] for r in held.collect()}
+    assert mean[1] > mean[0] + 0.15
+
+
+def test_language_model_grows_with_the_corpus():
+    assert maxent.FEATURES == 4 and maxent.depth(1e6, 32) < maxent.depth(1e8, 32) < maxent.depth(1e11, 1024)
+
+
 @pytest.mark.parametrize("name", ["awkward", "given", "empty"])
 def test_decontamination(request, spark, name):
     docs = request.getfixturevalue(name)

@@ -1,17 +1,26 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The class of a word
-is a hash of its last two bytes; the end of a text has a class of its own. The
-class factor is a softmax over hashed features of the context: the word before,
-the two words before, and the word before the last (a skip). Tasks update the weights on their texts and
-Spark averages the updates; a round takes in every training text. The word
-factor is the maximum-entropy solution with word features only: (c + 1) /
-(N_class + V_class + 1), where one place per class is for unknown words, so the
+A word's path is a class, a hash of its last two bytes, and then digits of its
+own hash; the end of a text has a class of its own. P(word | context) is the
+product of one softmax per digit of the path and of P(word | path). Every softmax
+takes the context's features: the word before, the two words before, and two
+skips. The number of digits grows with the logarithm of the training tokens, so
+that the leaves grow about as their root does, as a vocabulary does.
+
+Tokens are dealt by the word before to models, whose number grows with the
+training tokens; a model holds ``WIDE_SLOTS`` slots per feature and digit, learns
+from all its training tokens and answers with one sum per text. A crowded word
+(and the start of a text) has so many tokens that they are dealt over all models
+by text. Beneath the first digit lies a small model shared by all: tasks update it on
+their texts and Spark averages the updates; a round takes in every training text.
+
+The last factor is the maximum-entropy solution with word features only: (c + 1) /
+(N_leaf + V_leaf + 1), where one place per leaf is for unknown words, so the
 probabilities of known and unknown words sum to 1.
 
 Counts never travel whole. Texts send their distinct words, packed, to buckets
-by hash; a bucket knows the counts of its words and answers with one partial
-sum per text, which serves the base score and the word factor alike.
+by hash; a bucket knows the counts of its words and whole leaves, and answers with
+one partial sum per text, which serves the base score and the last factor alike.
 
 Defined results: null and empty texts are one end token. Repeated rows are
 separate training texts with equal scores. A null id counts as the empty text
@@ -27,15 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tramorisk.llm.repeats import binaries, joined, row_counts, runs
+from tramorisk.llm.repeats import binaries, joined, runs
 from tramorisk.llm.store import id_hash, power_of_two, stored
-from tramorisk.llm.textbytes import SPACED, STEP, annotate, byte_codes, groups, mix, owners, word_hashes, words
+from tramorisk.llm.textbytes import SPACED, STEP, byte_codes, groups, mix, owners, word_hashes, words
 
-CLASSES, SLOTS, FEATURES = 16, 1 << 11, 3
+CLASSES, SLOTS, FEATURES = 16, 1 << 13, 4
+WIDE_SLOTS, MODEL_TOKENS, LEAST_MODELS = 1 << 16, 1 << 20, 2
 CODES = byte_codes(SPACED)
-CLASS_BITS = np.uint64(CLASSES.bit_length() - 1)
+DIGIT = CLASSES.bit_length() - 1
 END = mix(np.array([1], dtype=np.uint64))[0] & ~np.uint64(CLASSES - 1)  # class 0
-ROUNDS, RATE, MINIBATCH = 1, 0.5, 1 << 15
+ROUNDS, RATE, MINIBATCH, MODEL_BATCH = 1, 0.5, 1 << 15, 1 << 11
 BUCKET_BYTES, LEAST_BUCKETS, PACKED, BYTES_PER_WORD = 24 << 20, 32, 9, 8
 SHARDS = 16
 
@@ -57,17 +67,21 @@ def tokens(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return out, wide
 
 
-def context(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Feature slots of each token: word before, two words before, and a skip over one word."""
+def hashed_context(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature hashes of each token: word before, two words before, and skips over one and over two words; the word before; and whether there is none."""
     n, far = len(h), np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
     before = []
-    for k in (1, 2):
+    for k in (1, 2, 3):
         moved = np.zeros(n, dtype=np.uint64)
         moved[k:] = h[:n - k] if n > k else moved[k:]
         before.append(np.where(far >= k, moved, np.uint64(k)))
-    raw = [before[0], before[0] * STEP + before[1], before[1]]
-    shift = np.uint64(64 - (SLOTS.bit_length() - 1))
-    return np.stack([(mix(x + np.uint64(k)) >> shift).astype(np.int64) + k * SLOTS for k, x in enumerate(raw)])
+    raw = [before[0], before[0] * STEP + before[1], before[1], before[2]]
+    return np.stack([mix(x + np.uint64(k)) for k, x in enumerate(raw)]), before[0], far == 0
+
+
+def context(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Feature slots of each token in the shared model."""
+    return (hashed_context(h, bounds)[0] >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64) + np.arange(FEATURES)[:, None] * SLOTS
 
 
 def class_logits(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -84,18 +98,23 @@ def new_weights(class_counts: np.ndarray) -> np.ndarray:
     return weights
 
 
-def learn(slots: np.ndarray, target: np.ndarray, weights: np.ndarray, speed: np.ndarray) -> None:
-    """Gradient steps on the weights in place; a feature seen more often moves less at a time."""
-    for a in range(0, len(target), MINIBATCH):
-        part, label = slots[:, a:a + MINIBATCH], target[a:a + MINIBATCH]
+def shares(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def learn(slots: np.ndarray, target: np.ndarray, weights: np.ndarray, speed: np.ndarray, start: np.ndarray | None = None, step_rows: int = MINIBATCH) -> None:
+    """Gradient steps on the weights in place, over logits ``start``; a feature seen more often moves less at a time."""
+    for a in range(0, len(target), step_rows):
+        part, label = slots[:, a:a + step_rows], target[a:a + step_rows]
         z = class_logits(part, weights)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z = shares(z if start is None else z + start[a:a + step_rows])
         np.negative(z, out=z)
         z[np.arange(len(label)), label] += 1.0
         for row in part:
-            order = np.argsort((row % SLOTS).astype(np.uint16), kind="stable")  # a feature's slots are in one range, and 16 bits sort fastest
+            order = np.argsort(row.astype(np.uint16), kind="stable")  # a feature's slots are in one range of at most 16 bits, which sort fastest
             first, length = runs(row[order])
             step = np.add.reduceat(z[order], first, axis=0)
             at = row[order][first]
@@ -127,7 +146,7 @@ def averaged(groups_of: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def train(texts: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` of distributed updates over all of ``texts``. Their size is fixed, about 400 KB."""
+    """Weights of the shared model after ``rounds`` of distributed updates over all of ``texts``. Their size is fixed, about 2 MB: what grows are the models above them."""
     weights, context_ = new_weights(class_counts), texts.sparkSession.sparkContext
     for _ in range(rounds):
         shipped = context_.broadcast(weights)
@@ -174,49 +193,116 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
                 names=["bucket", "keys", "train", "lengths", "words", "numbers"])
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """Per text: sum of number * log10(c + 1) and the known tokens; per class: tokens and distinct tokens of the training texts."""
+def depth(tokens_: float, buckets: int) -> int:
+    """Digits of a path: about a leaf for each root of the tokens, and no leaf in two buckets."""
+    return max(2, int(np.ceil(np.log2(max(tokens_, 1.0)) / 2 / DIGIT)), 1 + -(-(buckets.bit_length() - 1) // DIGIT))
+
+
+def paths(h: np.ndarray, levels: int) -> np.ndarray:
+    rest = np.uint64(DIGIT * (levels - 1))
+    return (h & np.uint64(CLASSES - 1)) << rest | h >> (np.uint64(64) - rest)
+
+
+def answer(table: pa.Table, levels: int) -> pa.Table:
+    """Per text (kind 0): sums of number * log10(c + 1) and of number * log10(N_leaf + V_leaf + 1), tokens and known tokens;
+    per class (1): tokens and distinct tokens of the training texts; crowded words (2) with their tokens."""
     keys, trains, lengths = joined(table.column("keys"), "<i8"), joined(table.column("train"), "u1"), joined(table.column("lengths"), "<u4").astype(np.int64)
     h, number = joined(table.column("words"), "<u8"), joined(table.column("numbers"), "u1").astype(np.int64)
     cell = np.repeat(np.arange(len(keys)), lengths)
     order = np.argsort(h)
     first, size = runs(h[order])
+    word = h[order][first]
     count = np.add.reduceat((number * trains[cell])[order], first) if len(first) else np.zeros(0, np.int64)
-    c = np.empty(len(h), dtype=np.int64)
-    c[order] = np.repeat(count, size)
-    s1 = np.bincount(cell, number * np.log10(c + 1.0), len(keys))
-    known = np.bincount(cell, number * (c > 0), len(keys)).astype(np.int64)
-    group = (h[order][first] & np.uint64(CLASSES - 1)).astype(np.int64)
-    n_class, v_class = np.bincount(group, count, CLASSES).astype(np.int64), np.bincount(group[count > 0], minlength=CLASSES)
+    every = np.add.reduceat(number[order], first) if len(first) else np.zeros(0, np.int64)
+    leaves, leaf = np.unique(paths(word, levels), return_inverse=True)
+    places = (np.bincount(leaf, count, len(leaves)) + np.bincount(leaf[count > 0], minlength=len(leaves)) + 1.0)[leaf]
+    c, wide = np.empty(len(h), dtype=np.int64), np.empty(len(h))
+    c[order], wide[order] = np.repeat(count, size), np.repeat(places, size)
     names, place = np.unique(keys, return_inverse=True)  # copies of a row and its cells in one bucket are summed here
-    some = np.zeros(len(names), dtype=np.int64)
+    per_text = lambda x: np.bincount(place, np.bincount(cell, x, len(keys)), len(names))
+    group = (word & np.uint64(CLASSES - 1)).astype(np.int64)
+    hot = every >= MODEL_TOKENS // 4
+    none, some = np.zeros(CLASSES), np.zeros(int(hot.sum()))
+    column = lambda texts_, classes, crowded, kind: pa.array(np.concatenate([texts_, classes, crowded]).astype(kind))
     return pa.table({
-        "key": pa.array(np.concatenate([names, np.arange(CLASSES)])),
-        "class": pa.array(np.concatenate([some.astype(bool), np.ones(CLASSES, dtype=bool)])),
-        "s": pa.array(np.concatenate([np.bincount(place, s1, len(names)), np.zeros(CLASSES)])),
-        "known": pa.array(np.concatenate([np.bincount(place, known, len(names)).astype(np.int64), n_class])),
-        "distinct": pa.array(np.concatenate([some, v_class]))})
-
-
-def model_part(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Add ``_lm``: log10 of the class factor, tokens, and tokens by class, in sparse numpy batches."""
-    shipped = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def run(rows, buf, starts, ends):
-        h, bounds = tokens(buf, starts, ends)
-        slots, target = context(h, bounds), (h & np.uint64(CLASSES - 1)).astype(np.int64)
-        log = np.empty(len(h))
-        for a in range(0, len(h), MINIBATCH):
-            z = class_logits(slots[:, a:a + MINIBATCH], shipped.value)
-            top = z.max(axis=1)
-            log[a:a + MINIBATCH] = z[np.arange(len(z)), target[a:a + MINIBATCH]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-        per_class = np.bincount(owners(bounds) * CLASSES + target, minlength=len(starts) * CLASSES).reshape(len(starts), CLASSES)
-        logs = np.add.reduceat(log, bounds[:-1]) / np.log(10.0)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * CLASSES), pa.array(per_class.ravel().astype(np.int64)))
-        return pa.StructArray.from_arrays([pa.array(logs), pa.array(np.diff(bounds)), lists],
-                                          fields=[pa.field("log", pa.float64()), pa.field("n", pa.int64()), pa.field("by_class", lists.type)])
-
-    return annotate(docs, "text", "_lm", "struct<log:double,n:bigint,by_class:array<bigint>>", run)
+        "key": pa.array(np.concatenate([names, np.arange(CLASSES), word[hot].view(np.int64)])),
+        "kind": column(np.full(len(names), 0), none + 1, some + 2, np.int32),
+        "s": column(per_text(number * np.log10(c + 1.0)), none, some, np.float64),
+        "norm": column(per_text(number * np.log10(wide)), none, some, np.float64),
+        "tokens": column(per_text(number), none, every[hot], np.int64),
+        "known": column(per_text(number * (c > 0)), np.bincount(group, count, CLASSES), some, np.int64),
+        "distinct": column(np.zeros(len(names)), np.bincount(group[count > 0], minlength=CLASSES), some, np.int64)})
+
+
+def deal(batches: Iterator[pa.RecordBatch], models: int, levels: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Tokens of each text with their features and paths, packed by model: by the word before, and by text too where that word is crowded."""
+    shift = np.uint64(64 - models.bit_length() + 1)
+    for batch in batches:
+        for rows, buf, starts, ends in groups(batch, "text"):
+            keys = rows.column("key").to_numpy(zero_copy_only=False)
+            trains = np.array(rows.column("train").to_pylist(), dtype=np.uint8)
+            h, bounds = tokens(buf, starts, ends)
+            owner = owners(bounds)
+            features, before, bare = hashed_context(h, bounds)
+            crowded = bare if not len(hot) else bare | (hot[np.minimum(np.searchsorted(hot, before), len(hot) - 1)] == before)
+            model = (mix(np.where(crowded, before * STEP + keys[owner].view(np.uint64), before) + np.uint64(9)) >> shift).astype(np.int32)
+            order = np.argsort(model.astype(np.uint16) if models <= 1 << 16 else model, kind="stable")
+            start, length = runs((model.astype(np.int64) << 32 | owner)[order])
+            at, per = runs(model[order][start])
+            ends_ = np.concatenate([[0], np.cumsum(length)])
+            elements = ends_[at + per] - ends_[at]
+            narrow = (features >> np.uint64(48)).astype("<u2").T[order]
+            cells = owner[order][start]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(model[order][start][at], pa.int32()), binaries(keys[cells], per), binaries(trains[cells], per), binaries(length.astype(np.uint32), per),
+                binaries(narrow.ravel(), elements * FEATURES), binaries(paths(h, levels)[order].astype("<u4" if levels * DIGIT <= 32 else "<u8"), elements)],
+                names=["model", "keys", "train", "lengths", "features", "paths"])
+
+
+def digit_logs(features: np.ndarray, prefix: np.ndarray, digit: np.ndarray, known: np.ndarray, shared: np.ndarray | None) -> np.ndarray:
+    """Natural log of the probability of each token's ``digit`` after its ``prefix``, learned from the ``known`` tokens of one model."""
+    names, place = np.unique(prefix, return_inverse=True)
+    counts = np.bincount(place[known] * CLASSES + digit[known], minlength=len(names) * CLASSES).reshape(-1, CLASSES) + 0.5
+    usual = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    range_ = np.arange(FEATURES)[:, None]
+    wide = features.T.astype(np.uint64)
+    slots = (wide if shared is not None else mix(wide | prefix << np.uint64(16)) >> np.uint64(48)).astype(np.int64) + range_ * WIDE_SLOTS
+    narrow = WIDE_SLOTS // SLOTS
+
+    def start(rows):
+        return usual[place[rows]] if shared is None else class_logits((features[rows].T // narrow).astype(np.int64) + range_ * SLOTS, shared)
+
+    weights, speed = np.zeros((FEATURES * WIDE_SLOTS + 1, CLASSES), dtype=np.float32), np.ones(FEATURES * WIDE_SLOTS + 1)
+    rows = np.flatnonzero(known)
+    for a in range(0, len(rows), MINIBATCH):
+        some = rows[a:a + MINIBATCH]
+        learn(slots[:, some], digit[some], weights, speed, start(some), MODEL_BATCH)
+    log = np.empty(len(digit))
+    for a in range(0, len(digit), MINIBATCH):
+        some = np.arange(a, min(a + MINIBATCH, len(digit)))
+        z = class_logits(slots[:, some], weights) + start(some)
+        top = z.max(axis=1)
+        log[some] = z[np.arange(len(z)), digit[some]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    return log
+
+
+def path_logs(table: pa.Table, shared: np.ndarray, levels: int) -> pa.Table:
+    """One model: learn from its training tokens, and answer with the log10 of the path factors per text."""
+    keys, lengths = joined(table.column("keys"), "<i8"), joined(table.column("lengths"), "<u4").astype(np.int64)
+    trains = joined(table.column("train"), "u1")
+    # Texts in the order of their keys, so that a rerun learns in the same order.
+    order = np.argsort(keys, kind="stable")
+    begin, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    features = joined(table.column("features"), "<u2").reshape(-1, FEATURES)[place]
+    path = joined(table.column("paths"), "<u4" if levels * DIGIT <= 32 else "<u8").astype(np.uint64)[place]
+    known, log = np.repeat(trains[order], size).astype(bool), np.zeros(len(path))
+    for level in range(levels):
+        prefix = path >> np.uint64(DIGIT * (levels - level))
+        digit = (path >> np.uint64(DIGIT * (levels - level - 1)) & np.uint64(CLASSES - 1)).astype(np.int64)
+        log += digit_logs(features, prefix, digit, known, shared if level == 0 else None)
+    first, number = runs(np.repeat(keys[order], size))
+    return pa.table({"key": pa.array(np.repeat(keys[order], size)[first]), "log": pa.array(np.add.reduceat(log, first) / np.log(10.0))})
 
 
 def score_documents(docs: DataFrame, text: str = "text", row: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
@@ -226,21 +312,23 @@ def score_documents(docs: DataFrame, text: str = "text", row: str = "doc_id", ro
     keyed = docs.select(F.col(row).alias("doc_id"), body.alias("text"), (~held).alias("train"), F.xxhash64(row, body).alias("key"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = power_of_two(LEAST_BUCKETS, total / BYTES_PER_WORD * PACKED / BUCKET_BYTES)
+    levels = depth(total / BYTES_PER_WORD, buckets)
     sent = keyed.select("key", "train", "text").mapInArrow(lambda b: send(b, buckets), "bucket int, keys binary, train binary, lengths binary, words binary, numbers binary")
-    parts = stored(sent.groupBy("bucket").applyInArrow(answer, "key long, class boolean, s double, known long, distinct long"))
-    classes = {r["key"]: (r["n"], r["v"]) for r in parts.filter("class").groupBy("key").agg(F.sum("known").alias("n"), F.sum("distinct").alias("v")).collect()}
+    parts = stored(sent.groupBy("bucket").applyInArrow(lambda t: answer(t, levels), "key long, kind int, s double, norm double, tokens long, known long, distinct long"))
+    classes = {r["key"]: (r["n"], r["v"]) for r in parts.filter("kind = 1").groupBy("key").agg(F.sum("known").alias("n"), F.sum("distinct").alias("v")).collect()}
     n, v = sum(x[0] for x in classes.values()), sum(x[1] for x in classes.values())
     weights = train(keyed.filter("train"), np.array([classes.get(k, (0, 0))[0] for k in range(CLASSES)]), rounds)
-    base = F.log10(F.lit(float(n + v + 1)))
-    norm = F.array(*[F.lit(float(np.log10(sum(classes.get(k, (0, 0))) + 1.0))) for k in range(CLASSES)])
-    scored = model_part(keyed.select("doc_id", "key", "train", "text"), weights).select(
-        "doc_id", "key", "train", "_lm.log", "_lm.n",
-        F.aggregate(F.zip_with("_lm.by_class", norm, lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x).alias("norm"))
-    sums = parts.filter("not class").groupBy("key").agg(F.sum("s").alias("s"), F.sum("known").alias("known"))
+    # At most one crowded word for every MODEL_TOKENS / 4 tokens.
+    hot = np.sort(np.array([r["key"] for r in parts.filter("kind = 2").select("key").collect()], dtype=np.int64).view(np.uint64))
+    models, context_ = power_of_two(LEAST_MODELS, n / MODEL_TOKENS), docs.sparkSession.sparkContext
+    shared, crowded = context_.broadcast(weights), context_.broadcast(hot)
+    dealt = keyed.select("key", "train", "text").mapInArrow(lambda b: deal(b, models, levels, crowded.value), "model int, keys binary, train binary, lengths binary, features binary, paths binary")
+    logs = dealt.groupBy("model").applyInArrow(lambda t: path_logs(t, shared.value, levels), "key long, log double").groupBy("key").agg(F.sum("log").alias("log"))
+    sums = parts.filter("kind = 0").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("s", "norm", "tokens", "known")])
     # Copies of one row share a key and the sums of all of them.
     times = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    out = scored.join(sums.join(times, "key"), "key")
-    s = F.col("s") / F.col("times")
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") / F.col("times")).cast("long").alias("n_known"),
-                      F.lit(int(n)).cast("long").alias("train_tokens"), (s - F.col("n") * base).alias("base_score"),
-                      (s + F.col("log") - F.col("norm")).alias("score"))
+    out = keyed.select("doc_id", "key", "train").join(sums.join(logs, "key").join(times, "key"), "key")
+    s, tokens_ = F.col("s") / F.col("times"), (F.col("tokens") / F.col("times")).cast("long")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), tokens_.alias("n_tokens"), (F.col("known") / F.col("times")).cast("long").alias("n_known"),
+                      F.lit(int(n)).cast("long").alias("train_tokens"), (s - tokens_ * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
+                      (s + (F.col("log") - F.col("norm")) / F.col("times")).alias("score"))
