@@ -74,3 +74,14 @@ def test_oracle_agrees_on_the_small_tables(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = sorted(tuple(map(str, r)) for r in entry.queries()[name](spark, SF).collect())
     assert got and got == sorted(tuple(map(str, r)) for r in con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_model_queries_use_the_published_settings(spark):
+    import inspect
+
+    from tramorisk.operators import models
+    from tramorisk.plans import catalog_models as cm
+
+    assert {cm._RF, cm._RF_WINDOWS, cm._RF_MONTHLY} <= set(models.FOREST_SPECS) and {cm._GBT, cm._GBT_MONTHLY, cm._HURDLE, cm._ORDINAL} <= set(models.BOOSTED_SPECS)
+    assert cm._SPLIT.train[0] == 3 and len(cm.window_candidates()) == 16 and len(cm._SPANS) == 5
+    assert not any(small in inspect.getsource(cm) for small in ("capped(60)", "rows=6_000", "minimum=60", "2_000, 20_000"))

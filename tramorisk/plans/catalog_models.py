@@ -1,4 +1,6 @@
-"""Model operators and the experiment jobs, on small settings of the specs."""
+"""Model operators and the experiment jobs, on the published settings and all labelled months."""
+
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from tramorisk.plans.registry import query
 from tramorisk.sources.forecast import wide_forecast
 from tramorisk.sources.readers import table_digest
 
-_RF = models.ModelSpec("bosque", trees=8, depth=5, min_rows=2)
-_GBT = models.ModelSpec("impulso", "impulso", trees=3, depth=3, min_rows=5, step=0.3)
-_HURDLE = models.ModelSpec("valla", "valla", trees=3, depth=3, min_rows=5, step=0.3)
-_ORDINAL = models.ModelSpec("ordinal", "ordinal", trees=3, depth=3, min_rows=5, step=0.3)
-_SPLIT = jobs.Split((40, 63), (64, 69), (70, 81))
+_RF, _RF_WINDOWS, _RF_MONTHLY, _ = models.FOREST_SPECS
+_GBT, _GBT_MONTHLY, _HURDLE, _ORDINAL = models.BOOSTED_SPECS
+_FIRST, _LAST = 3, 82
+_SPLIT = jobs.Split((_FIRST, 63), (64, 69), (70, _LAST))
+_SPANS = {"3m": 3, "6m": 6, "12m": 12, "24m": 24, "todo": None}
 _G = windows.feature_groups()
 _ROWS = "nombre:s n:l accuracy:d f1_macro:d f1_medio_alto:d recall_alto:d average_precision:d"
 
@@ -51,14 +53,14 @@ _TEMPORAL = _G["temporal"]
 
 @query("M01_imputed_pipeline", "columna:s media:d")
 def _(t):
-    rows = jobs.months(_context(t), (4, 40))
+    rows = jobs.months(_context(t), (_FIRST, _LAST))
     ready = models.Pipeline(stages=models._assembled(["riesgo_lag6", "riesgo_lag12"])).fit(models._numeric(rows, ["riesgo_lag6", "riesgo_lag12"])).transform(models._numeric(rows, ["riesgo_lag6", "riesgo_lag12"]))
     means = ready.agg(F.avg("riesgo_lag6__lleno").alias("a"), F.avg("riesgo_lag12__lleno").alias("b"))
     return means.select(F.explode(F.array(F.struct(F.lit("riesgo_lag6").alias("columna"), F.col("a").alias("media")), F.struct(F.lit("riesgo_lag12").alias("columna"), F.col("b").alias("media")))).alias("r")).select("r.*")
 
 
 def _score_query(t, spec, sampler=None):
-    arm = jobs.run_arm(spec.name, _shift_rows(t), _G["legacy"], spec, _SPLIT, sampler or jobs.capped(60))
+    arm = jobs.run_arm(spec.name, _shift_rows(t), _G["legacy"], spec, _SPLIT, sampler or jobs.capped())
     return arm.test
 
 
@@ -89,7 +91,7 @@ def _(t):
 def _(t):
     rows = _shift_rows(t)
     base = t.once("bosque_prueba", lambda: _score_query(t, _RF))
-    train = jobs.capped(60)(jobs.months(rows, _SPLIT.train))
+    train = jobs.capped()(jobs.months(rows, _SPLIT.train))
     full = base.join(rows.select("tramo_id", "mes_idx", "turno_idx", *_G["legacy"]), ["tramo_id", "mes_idx", "turno_idx"])
     return models.high_specialist(full, train, _G["legacy"], _GBT, "peso_muestra")
 
@@ -97,8 +99,8 @@ def _(t):
 @query("M07_sequence_network", "tramo_id:s mes_idx:l y:l p0:d p1:d p2:d")
 def _(t):
     seq = windows.sequences(t.dense_months(), ["frecuencia", "suma_pesos"]).join(_context(t).select("tramo_id", "mes_idx", "y", "mes_sin", "mes_cos"), ["tramo_id", "mes_idx"])
-    train = sampling.cap_per_class(jobs.months(seq, (48, 63)), ["mes_idx"], 60, sampling.hash_order(keys=("tramo_id", "mes_idx")))
-    return models.sequence_network(train, jobs.months(seq, (70, 75)), "secuencia", ["mes_sin", "mes_cos"], hidden=8, iterations=10).select("tramo_id", "mes_idx", "y", "p0", "p1", "p2")
+    train = sampling.cap_per_class(jobs.months(seq, _SPLIT.train), ["mes_idx"], 450, sampling.hash_order(keys=("tramo_id", "mes_idx")))
+    return models.sequence_network(train, jobs.months(seq, _SPLIT.test), "secuencia", ["mes_sin", "mes_cos"]).select("tramo_id", "mes_idx", "y", "p0", "p1", "p2")
 
 
 @query("M08_probability_invariants", "filas:l fallas:l")
@@ -109,9 +111,9 @@ def _(t):
 @query("P32_class_expansion", "filas:l fallas:l sin_alto:l")
 def _(t):
     rows = _shift_rows(t)
-    low = jobs.months(rows, (60, 63)).filter("y < 2")
-    model = models.fit(_RF, low, _G["legacy"][:9])
-    scored = model.score(jobs.months(rows, (64, 65)))
+    low = jobs.months(rows, _SPLIT.train).filter("y < 2")
+    model = models.fit(_RF, low, _G["legacy"])
+    scored = model.score(jobs.months(rows, (64, _LAST)))
     return models.probability_faults(scored).join(scored.agg(F.count(F.when(F.col("p2") == 0, 1)).alias("sin_alto")))
 
 
@@ -123,7 +125,7 @@ def _(t):
 
 @query("M10_importances", "variable:s importancia:d")
 def _(t):
-    arm_train = jobs.capped(60)(jobs.months(_shift_rows(t), _SPLIT.train))
+    arm_train = jobs.capped()(jobs.months(_shift_rows(t), _SPLIT.train))
     model = models.fit(_RF, arm_train, _G["legacy"], weight="peso_muestra")
     return t.spark.createDataFrame(model.importances()[:15], "variable string, importancia double")
 
@@ -133,18 +135,18 @@ def _(t):
     from tramorisk.session import ensure_checkpoint_dir
 
     rows = _shift_rows(t)
-    model = models.fit(_RF, jobs.capped(60)(jobs.months(rows, (60, 63))), _G["legacy"], weight="peso_muestra")
+    model = models.fit(_RF, jobs.capped()(jobs.months(rows, _SPLIT.train)), _G["legacy"], weight="peso_muestra")
     path = f"{ensure_checkpoint_dir(t.spark)}/modelos/{t.spark.sparkContext.applicationId}"
     model.save(path)
     again = models.RiskClassifier.load(path, _RF, _G["legacy"])
-    probe = jobs.months(rows, (64, 64))
-    a, b = (m.score(probe).select("tramo_id", "turno_idx", "p0", "p1", "p2") for m in (model, again))
+    probe = jobs.months(rows, (64, _LAST))
+    a, b = (m.score(probe).select("tramo_id", "mes_idx", "turno_idx", "p0", "p1", "p2") for m in (model, again))
     return a.exceptAll(b).agg(F.count(F.lit(1)).alias("distintas")).withColumn("filas", F.lit(probe.count()))
 
 
 @query("M12_next_month_forecast", "tramo_id:s riesgo_score:d nivel_riesgo:s riesgo_score_noche:d nivel_riesgo_noche:s")
 def _(t):
-    scored = jobs.refit_and_forecast(_shift_rows(t), _G["legacy"], _RF, (40, 82), 83, jobs.capped(60), {"medio": 0.34, "alto": 0.4})
+    scored = jobs.refit_and_forecast(_shift_rows(t), _G["legacy"], _RF, (_FIRST, _LAST), _LAST + 1, jobs.capped(), {"medio": 0.34, "alto": 0.4})
     return wide_forecast(scored)
 
 
@@ -164,23 +166,41 @@ def _(t):
         dense = _buffer_dense(t, radius)
         train_risk = jobs.months(dense, split.train).withColumn("r", F.col("suma_pesos") / length_factor(F.col("longitud_m"))).filter("r > 0")
         high = max(ordered.quantile_values(train_risk, "r", [0.75])[0], 1e-9)
-        arms.append(jobs.run_arm(f"radio_{radius:.0f}", _legacy_rows(dense, high), _G["mensual_legacy"], _RF, split, jobs.minority_bound(2_000, 20_000)))
+        arms.append(jobs.run_arm(f"radio_{radius:.0f}", _legacy_rows(dense, high), _G["mensual_legacy"], _RF_MONTHLY, split, jobs.minority_bound()))
     return jobs.compare_arms(arms).orderBy(F.desc("f1_macro"), F.desc("recall_alto"), F.desc("average_precision"), F.desc("balanced_accuracy"))
 
 
 @query("X02_shift_pipeline", _ROWS)
 def _(t):
-    eligible = panel.eligible_months(t.months(), 3, 0.8, {"train": ("1998-05", "2000-04"), "validation": ("2000-05", "2000-10"), "test": ("2000-11", "2001-10")})
+    eligible = panel.eligible_months(t.months(), 3, 0.8, {"train": ("1995-04", "2000-04"), "validation": ("2000-05", "2000-10"), "test": ("2000-11", "2001-11")})
     rows = _shift_rows(t).join(F.broadcast(eligible), "mes_idx")  # calendar rows only
-    arms = [jobs.run_arm(s.name, rows, _G["legacy"], s, _SPLIT, jobs.capped(60)) for s in (_RF, _GBT)]
+    arms = [jobs.run_arm(s.name, rows, _G["legacy"], s, _SPLIT, jobs.capped()) for s in (_RF, _GBT)]
     return jobs.compare_arms(arms, jobs.two_stage_decision)
 
 
+def _recent(half_life):
+    """Strata at the power 0.5, halved in weight for every ``half_life`` months before the last training month."""
+    age = F.lit(_SPLIT.train[1]) - F.col("mes_idx")
+    return lambda df: jobs.two_strata(0.5)(df).withColumn("peso_muestra", F.col("peso_muestra") * F.pow(F.lit(0.5), age / half_life))
+
+
+def window_candidates():
+    """Name, features, settings and sampler of the 16 published candidates."""
+    boosted = lambda trees, depth: replace(_GBT, trees=trees, depth=depth)
+    forest = replace(_RF_WINDOWS, trees=120, depth=16)
+    return [("base_rf", "legacy", _RF, jobs.capped()), ("base_xgb", "legacy", _GBT, jobs.capped()),
+            *[(f"xgb_{w}", w, boosted(240, 4), jobs.two_strata()) for w in ("1m", "3m", "6m", "12m")],
+            *[(f"rf_{w}", w, forest, jobs.two_strata()) for w in ("1m", "3m", "6m", "12m")],
+            ("xgb_multi", "multi", boosted(360, 4), jobs.two_strata()), ("xgb_multi_depth6", "multi", boosted(260, 6), jobs.two_strata()),
+            ("xgb_multi_weighted", "multi", boosted(360, 4), jobs.two_strata(0.5)), ("xgb_multi_recent", "multi", boosted(360, 4), _recent(24)),
+            ("rf_multi", "multi", replace(forest, subset="sqrt"), jobs.two_strata()), ("hurdle_multi", "multi", replace(_HURDLE, trees=300, depth=4), jobs.two_strata())]
+
+
 @query("X03_window_candidates", _ROWS)
 def _(t):
-    rows = _window_rows(t)
-    arms = [jobs.run_arm("bosque_multi", rows, _G["multi"], _RF, _SPLIT, jobs.two_strata(minimum=60)),
-            jobs.run_arm("valla_3m", rows, _G["3m"], _HURDLE, _SPLIT, jobs.two_strata(minimum=60))]
+    keys = ["tramo_id", "mes_idx", "turno_idx"]
+    rows = t.once("rasgos_candidatos", lambda: _window_rows(t).join(_shift_rows(t).select(*keys, *_G["legacy"][7:]), keys))
+    arms = [jobs.run_arm(name, rows, _G[group], spec, _SPLIT, sampler) for name, group, spec, sampler in window_candidates()]
     return jobs.compare_arms(arms + [jobs.with_calibration(a) for a in arms], jobs.joint_decision).orderBy(F.desc("f1_medio_alto"))
 
 
@@ -193,7 +213,7 @@ def _(t):
     density = net.project(t.cube(), net.triangular_kernel(_distances(t), t.segments(), 250), "peso")
     history = windows.density_history(panel.dense(density, t.segments(), t.calendar, shifts=True), t.months(), "nkde_250m")
     rows = _window_rows(t).join(history, ["tramo_id", "mes_idx", "turno_idx"])
-    arms = [jobs.run_arm(g, rows, _G[g], _RF, _SPLIT, jobs.two_strata(minimum=60)) for g in ("multi_base", "multi_nkde_250m")]
+    arms = [jobs.run_arm(g, rows, _G[g], _RF_WINDOWS, _SPLIT, jobs.two_strata()) for g in ("multi_base", "multi_nkde_250m")]
     return jobs.compare_arms(arms, jobs.joint_decision)
 
 
@@ -207,7 +227,7 @@ def _(t):
     full, seen = measure(snapped), measure(snapped.filter("origen_ubi = 'OBSERVADA'"))
     truth = jobs.swap_targets(full.select("tramo_id", "mes_idx", F.col("suma_pesos").alias("peso")), seen.select("tramo_id", "mes_idx", F.col("suma_pesos").alias("peso")), t.segments(), 64, HIGH_FROM_SHIFT)
     rows = windows.panel_history(full).filter("mes_idx >= 3").join(truth.select("tramo_id", "mes_idx", "y"), ["tramo_id", "mes_idx"])
-    arm = jobs.run_arm("escenario", t.once("rasgos_completo", lambda: rows), _G["mensual_legacy"], _RF, _SPLIT, jobs.per_class_month(rows=6_000))
+    arm = jobs.run_arm("escenario", t.once("rasgos_completo", lambda: rows), _G["mensual_legacy"], _RF_MONTHLY, _SPLIT, jobs.per_class_month())
     return jobs.compare_arms([arm]).withColumn("completados", F.lit(snapped.filter("origen_ubi <> 'OBSERVADA'").count()))
 
 
@@ -217,8 +237,8 @@ def _(t):
     near = spatial.exponential_neighbors(spatial.with_xy(t.segments()).select("tramo_id", "x", "y"))
     sums = windows.neighbor_sums(base, near, _G["legacy"][7:11])
     rows = t.once("rasgos_vecinos", lambda: base.join(sums, ["tramo_id", "mes_idx", "turno_idx"], "left").fillna(0.0, [f"vecinos_{c}" for c in _G["legacy"][7:11]]))
-    arms = [jobs.run_arm("base", rows, _G["legacy"], _RF, _SPLIT, jobs.capped(60)), jobs.run_arm("vecindad", rows, _G["vecindad"], _RF, _SPLIT, jobs.capped(60))]
-    train = jobs.capped(60)(jobs.months(rows, _SPLIT.train))
+    arms = [jobs.run_arm("base", rows, _G["legacy"], _RF, _SPLIT, jobs.capped()), jobs.run_arm("vecindad", rows, _G["vecindad"], _RF, _SPLIT, jobs.capped())]
+    train = jobs.capped()(jobs.months(rows, _SPLIT.train))
     keyed = lambda df: df.join(rows.select("tramo_id", "mes_idx", "turno_idx", *_G["legacy"]), ["tramo_id", "mes_idx", "turno_idx"])
     boost = lambda df: jobs.settle(models.high_specialist(keyed(df), train, _G["legacy"], _GBT, "peso_muestra").select("tramo_id", "mes_idx", "turno_idx", "y", "p0", "p1", "p2"))
     arms.append(jobs.Arm("especialista", arms[1].model, boost(arms[1].validation), boost(arms[1].test)))
@@ -228,25 +248,30 @@ def _(t):
 @query("X07_guarded_search", _ROWS)
 def _(t):
     rows = _context(t)
-    arms = [jobs.run_arm(s.name, rows, _TEMPORAL, s, _SPLIT, jobs.per_class_month(0.5, rows=6_000)) for s in (_RF, _ORDINAL)]
+    arms = [jobs.run_arm(s.name, rows, _TEMPORAL, s, _SPLIT, jobs.per_class_month(0.5)) for s in (_RF_MONTHLY, _ORDINAL)]
     arms.append(jobs.with_prior(arms[0], jobs.months(rows, _SPLIT.train), 0.5))
     table = jobs.compare_arms(arms, jobs.multiplier_decision)
-    return ev.guarded_choice(table, table.filter(F.col("nombre") == _RF.name))
+    return ev.guarded_choice(table, table.filter(F.col("nombre") == _RF_MONTHLY.name))
 
 
 @query("X08_monthly_retraining", "nombre:s origen:l n:l accuracy:d f1_macro:d")
 def _(t):
-    return jobs.retrain_monthly(_context(t), _TEMPORAL, _RF, (78, 80), {"3m": 3, "12m": 12}, jobs.per_class_month(rows=6_000))
+    return jobs.retrain_monthly(_context(t), _TEMPORAL, _RF_MONTHLY, range(60, _LAST + 1), _SPANS, jobs.per_class_month())
 
 
 @query("X09_registered_phases", "nombre:s fase:s n:l accuracy:d f1_macro:d huella:s")
 def _(t):
-    rows, spans = _context(t), {"3m": 3, "6m": 6}
-    phase_b = jobs.retrain_monthly(rows, _TEMPORAL, _RF, (76,), spans, jobs.per_class_month(rows=6_000))
+    # 12 origins for the choice, 20 for the test of the chosen pair, and the last month registered before it.
+    rows, first_b, first_c = _context(t), _LAST - 32, _LAST - 20
+    pairs = {f"{s.family}_{w}": (s, w) for s in (_RF_MONTHLY, _GBT_MONTHLY) for w in ("3m", "6m", "12m")}
+    runs = lambda names, origins: jobs.union_all([
+        jobs.retrain_monthly(rows, _TEMPORAL, pairs[n][0], origins, {n: _SPANS[pairs[n][1]]}, jobs.per_class_month()) for n in names])
+    phase_b = runs(pairs, range(first_b, first_c))
     chosen = phase_b.groupBy("nombre").agg(F.avg("puntaje").alias("p")).orderBy(F.desc("p"), "nombre").first()["nombre"]
-    phase_c = jobs.retrain_monthly(rows, _TEMPORAL, _RF, (80,), {chosen: spans[chosen]}, jobs.per_class_month(rows=6_000))
-    model = models.fit(_RF, jobs.per_class_month(rows=6_000)(jobs.months(rows, (82 - spans[chosen], 81))), _TEMPORAL, weight="peso_muestra")
-    digest = table_digest(model.score(rows.filter("mes_idx = 82")), ["tramo_id", "p0", "p1", "p2"]).first()["huella"]
+    phase_c = runs([chosen], range(first_c, _LAST))
+    spec, window = pairs[chosen]
+    model = models.fit(spec, jobs.per_class_month()(jobs.months(rows, (_LAST - _SPANS[window], _LAST - 1))), _TEMPORAL, weight="peso_muestra")
+    digest = table_digest(model.score(rows.filter(F.col("mes_idx") == _LAST)), ["tramo_id", "p0", "p1", "p2"]).first()["huella"]
     both = phase_b.withColumn("fase", F.lit("B")).unionByName(phase_c.withColumn("fase", F.lit("C")))
     return both.withColumn("huella", F.when(F.col("fase") == "C", F.lit(digest)))
 
@@ -256,7 +281,7 @@ def _(t):
     light = spatial.light_exposure_by_month(cs._mid(t), cs._lights(t), "1995-01", t.calendar.size).withColumn("luz_30m", F.col("luz_30m").cast("double"))
     rows = t.once("rasgos_luz", lambda: spatial.night_lighting(light, _shift_rows(t)))
     extra = [c for n in ("luz_log50", "luz_log100", "luz_log_dist", "luz_30m") for c in (n, f"{n}_noche")]
-    arms = [jobs.run_arm("sin_alumbrado", rows, _G["legacy"], _RF, _SPLIT, jobs.capped(60)), jobs.run_arm("con_alumbrado", rows, _G["legacy"] + extra, _RF, _SPLIT, jobs.capped(60))]
+    arms = [jobs.run_arm("sin_alumbrado", rows, _G["legacy"], _RF, _SPLIT, jobs.capped()), jobs.run_arm("con_alumbrado", rows, _G["legacy"] + extra, _RF, _SPLIT, jobs.capped())]
     return ev.metric_deltas(jobs.compare_arms(arms), "nombre", "sin_alumbrado", ["accuracy", "f1_medio_alto"])
 
 
@@ -264,7 +289,7 @@ def _(t):
 def _(t):
     snap = _legacy_rows(t.dense_months(), HIGH_FROM_BUFFER)
     near = _legacy_rows(_buffer_dense(t, 150.0), HIGH_FROM_BUFFER)
-    return jobs.compare_arms([jobs.run_arm(n, r, _G["mensual_legacy"], _RF, _SPLIT, jobs.per_class_month(rows=6_000)) for n, r in (("asignacion", snap), ("buffer_150", near))])
+    return jobs.compare_arms([jobs.run_arm(n, r, _G["mensual_legacy"], _RF_MONTHLY, _SPLIT, jobs.per_class_month()) for n, r in (("asignacion", snap), ("buffer_150", near))])
 
 
 @query("X12_network_kernel_arms", _ROWS)
@@ -275,18 +300,18 @@ def _(t):
         cells = cells.select("tramo_id", "mes_idx", F.col("n").alias("frecuencia"), F.col("peso").alias("suma_pesos"), F.col("grave").alias("graves"), F.col("hurto").alias("hurtos"), F.col("robo").alias("robos"),
                              F.col("extorsion").alias("extorsiones"), F.col("homicidio").alias("homicidios"), "manana", "tarde", "noche", "madrugada")
         dense = panel.dense(cells, t.segments(), t.calendar, keep=("latitud", "longitud", "longitud_m"))
-        arms.append(jobs.run_arm(f"red_{radius}", _legacy_rows(dense, HIGH_FROM_BUFFER), _G["mensual_legacy"], _RF, _SPLIT, jobs.per_class_month(rows=6_000)))
+        arms.append(jobs.run_arm(f"red_{radius}", _legacy_rows(dense, HIGH_FROM_BUFFER), _G["mensual_legacy"], _RF_MONTHLY, _SPLIT, jobs.per_class_month()))
     return jobs.compare_arms(arms)
 
 
 @query("X13_original_places", _ROWS)
 def _(t):
     rows = _legacy_rows(_buffer_dense(t, 200.0, 100.0), HIGH_FROM_BUFFER)
-    return jobs.compare_arms([jobs.run_arm(s.name, rows, _G["mensual_legacy"], s, _SPLIT, jobs.per_class_month(rows=6_000)) for s in (_RF, _GBT)])
+    return jobs.compare_arms([jobs.run_arm(s.name, rows, _G["mensual_legacy"], s, _SPLIT, jobs.per_class_month()) for s in (_RF_MONTHLY, _GBT_MONTHLY)])
 
 
 @query("X14_external_evaluation", _ROWS)
 def _(t):
     rows = _legacy_rows(_buffer_dense(t, 150.0), HIGH_FROM_BUFFER)
-    arm = jobs.run_arm(_RF.name, rows, _G["mensual_legacy"], _RF, _SPLIT, jobs.minority_bound(2_000, 20_000))
+    arm = jobs.run_arm(_RF_MONTHLY.name, rows, _G["mensual_legacy"], _RF_MONTHLY, _SPLIT, jobs.minority_bound())
     return jobs.union_all([jobs.arm_metrics("argmax", arm.test, jobs.by_argmax()), jobs.arm_metrics("regla", arm.test, jobs.rule_decision(arm))])
