@@ -236,6 +236,15 @@ def test_cube_in_many_blocks(spark):
         assert abs(r["words"] - 0.3 * 1500 * 19) < 150
 
 
+def test_cube_with_one_very_long_unit(spark):
+    """Groups whose words are for a tenth in one unit miss their target by a few median units only."""
+    draw = np.random.default_rng(3)
+    rows = [(1000 * g + i, g, int(x), 0.4) for g in range(12) for i, x in enumerate([20_000, *draw.integers(40, 900, 400)])]
+    out = mixing.cube_sample(spark.createDataFrame(rows, "_row long, _group long, size long, p double"))
+    got = out.groupBy("_group").agg(F.sum(F.col("p") * F.col("size")).alias("words"), F.sum("size").alias("all"), F.percentile_approx("size", 0.5).alias("median"), F.count("*").alias("n")).collect()
+    assert len(got) == 12 and all(r["n"] == 401 and abs(r["words"] - 0.4 * r["all"]) <= 3 * r["median"] for r in got)
+
+
 @pytest.mark.parametrize("name", ["awkward", "given", "empty"])
 def test_jaccard(request, name):
     docs = request.getfixturevalue(name)

@@ -4,8 +4,8 @@ A source's share beyond whole repeats is a fractional inclusion probability.
 The flight phase moves three units of one source at a time along the null
 space of the two balancing constraints (words and documents) until one of
 them reaches 0 or 1; every block of a source leaves at most two fractional
-units, which meet again in fewer blocks. The last two units of a source land
-on the side of a fixed draw. Blocks hold a bounded number of narrow rows, so a
+units, which meet again in fewer blocks. The last two units of a size class land
+on the side of a fixed draw; smaller classes make up for them. Blocks hold a bounded number of narrow rows, so a
 source with a third of all rows is many blocks.
 
 Defined results: a null or empty text has size 0 and is never taken. A null
@@ -28,6 +28,7 @@ from tramorisk.operators.ordered import global_rank
 WORD = r"[^\x20\x09-\x0D]++"
 SHARE, WEIGHTS, MOST = 1.5, (5.0, 2.0, 1.0), 2.0
 BLOCK_ROWS = 2_000
+SIZE_CLASSES = (16, 4, 1)  # times the median of a group
 
 
 def text_size(text: str) -> Column:
@@ -57,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 def flight(sizes: np.ndarray, probs: np.ndarray, draw: np.random.Generator) -> np.ndarray:
     """Move probabilities to 0 or 1, keeping sums of sizes and of counts, until at most two are fractional."""
     p, out, queue = probs.astype(float), probs.astype(float), []
-    for k in range(len(p)):
+    for k in np.flatnonzero((p > 0) & (p < 1)):
         queue.append(k)
         while len(queue) == 3:
             a, b, c = queue
@@ -82,11 +83,9 @@ def fly(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(p=flight(rows["size"].to_numpy(), rows["p"].to_numpy(), np.random.default_rng(seed)))
 
 
-def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Units (``_row``, ``_group``, ``size``, ``p``) with ``p`` moved to 0 or 1, balanced on sizes and counts in each group."""
-    schema, done, level = units.select("_row", "_group", "size", "p"), None, 0
-    sure = schema.filter((F.col("p") <= 0) | (F.col("p") >= 1))
-    left = schema.filter((F.col("p") > 0) & (F.col("p") < 1))
+def land(left: DataFrame, block_rows: int) -> DataFrame:
+    """Fractional units with ``p`` moved to 0 or 1: flights by blocks, and a draw for the last two of each group."""
+    done, level = None, 0
     while True:
         counts = left.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_blocks"))
         cut = left.join(counts, "_group").withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(level)), F.col("_blocks")))
@@ -100,7 +99,55 @@ def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         done = ready if done is None else done.unionByName(ready)
         left, level = flown.filter(fractional & (F.col("_blocks") > 1)).select("_row", "_group", "size", "p"), level + 1
         if left.isEmpty():
-            return sure.unionByName(done.select("_row", "_group", "size", "p"))
+            return done.select("_row", "_group", "size", "p")
+
+
+def balances(wanted: DataFrame, done: DataFrame, rest: DataFrame) -> DataFrame:
+    """Per group ``_a`` and ``_b``: adding ``_a + _b * size`` to each p of the rest makes up for the words and units that landing has missed.
+
+    Where that would leave 0 to 1, only the words are made up for, by one shift.
+    """
+    size = F.col("size").cast("double")
+    landed = done.groupBy("_group").agg(F.sum(F.col("p") * size).alias("_dw"), F.sum("p").alias("_dr"))
+    table = rest.groupBy("_group").agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(size).alias("_s1"), F.sum(size * size).alias("_s2"), F.sum(F.col("p") * size).alias("_rw"), F.sum("p").alias("_rr"),
+                                       F.min(size).alias("_lo"), F.max(size).alias("_hi"), F.min("p").alias("_plo"), F.max("p").alias("_phi"))
+    words = F.col("_words") - F.coalesce("_dw", F.lit(0.0)) - F.col("_rw")
+    units = F.col("_units") - F.coalesce("_dr", F.lit(0.0)) - F.col("_rr")
+    det = F.col("_n") * F.col("_s2") - F.col("_s1") * F.col("_s1")
+    slope = F.when(F.col("_hi") > F.col("_lo"), (F.col("_n") * words - F.col("_s1") * units) / det)
+    base = (units - slope * F.col("_s1")) / F.col("_n")
+    ends = [base + slope * F.col(c) for c in ("_lo", "_hi")]
+    both = F.coalesce((F.col("_plo") + F.least(*ends) >= 0) & (F.col("_phi") + F.greatest(*ends) <= 1), F.lit(False))
+    return table.join(wanted, "_group").join(landed, "_group", "left").select(
+        "_group", F.when(both, base).otherwise(words / F.col("_s1")).alias("_a"), F.when(both, slope).otherwise(0.0).alias("_b"))
+
+
+def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Units (``_row``, ``_group``, ``size``, ``p``) with ``p`` moved to 0 or 1, balanced on sizes and counts in each group.
+
+    The largest units of a group land first, by classes of size against its
+    median; the smaller ones take over what landing has missed, so that the last
+    to land are at most of median size.
+    """
+    schema = units.select("_row", "_group", "size", "p")
+    sure = schema.filter((F.col("p") <= 0) | (F.col("p") >= 1))
+    left = schema.filter((F.col("p") > 0) & (F.col("p") < 1))
+    wanted = stored(left.groupBy("_group").agg(F.percentile_approx("size", 0.5).alias("_median"), F.sum(F.col("p") * F.col("size")).alias("_words"), F.sum("p").alias("_units")))
+    class_ = F.when(F.col("size") > F.col("_median") * SIZE_CLASSES[0], 0)
+    for k, times in enumerate(SIZE_CLASSES[1:], 1):
+        class_ = class_.when(F.col("size") > F.col("_median") * times, k)
+    left = stored(left.join(wanted.select("_group", "_median"), "_group").select("_row", "_group", "size", "p", class_.otherwise(len(SIZE_CLASSES)).alias("_class")))
+    done = None
+    for k in range(len(SIZE_CLASSES) + 1):
+        rows = left.filter(F.col("_class") == k)
+        if rows.isEmpty():
+            continue
+        if done is not None:
+            shift = stored(balances(wanted, done, left.filter(F.col("_class") >= k)))
+            rows = rows.join(shift, "_group").withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.col("_a") + F.col("_b") * F.col("size"))))
+        landed = land(rows.select("_row", "_group", "size", "p"), block_rows)
+        done = landed if done is None else done.unionByName(landed)
+    return sure if done is None else sure.unionByName(done)
 
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row: str = "doc_id") -> DataFrame:
