@@ -245,6 +245,14 @@ def test_cube_with_one_very_long_unit(spark):
     assert len(got) == 12 and all(r["n"] == 401 and abs(r["words"] - 0.4 * r["all"]) <= 3 * r["median"] for r in got)
 
 
+def test_mix_keeps_sources_apart(spark):
+    """Null and repeated ids of equal size in two sources: every taken row has the figures of its own source."""
+    docs = spark.createDataFrame([(i % 7 or None, " ".join(["w"] * (i % 3 + 1)), s) for s, n in (("a", 60), ("b", 9), (None, 30)) for i in range(n)], "doc_id long, text string, source string")
+    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(mixing.text_size("text")).alias("n")).collect()}
+    out = mixing.mix_documents(docs).collect()
+    assert out and all(r["source_size"] == sizes[r["source"]] for r in out)
+
+
 @pytest.mark.parametrize("name", ["awkward", "given", "empty"])
 def test_jaccard(request, name):
     docs = request.getfixturevalue(name)

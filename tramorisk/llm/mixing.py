@@ -150,14 +150,14 @@ def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return sure if done is None else sure.unionByName(done)
 
 
-def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row: str = "doc_id") -> DataFrame:
+def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row: str = "doc_id", keep_source: bool = False) -> DataFrame:
     """Per document: ``row``, ``size``, ``source_size``, ``target`` of its source, ``taken`` words and ``copies``."""
     sized = stored(docs.select(F.col(row).alias("doc_id"), F.col(source).cast("string").alias("source"), text_size(text).alias("size")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
     targets = stored(targets.withColumn("_group", F.xxhash64(F.col("source").isNull(), "source")))
     # One row per source: the join leaves the side of the documents to AQE, which splits a crowded source.
     with_target = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        "d.doc_id", "d.size", "t._group", "t.source_size", "t.target")
+        "d.doc_id", "d.source", "d.size", "t._group", "t.source_size", "t.target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + 1e-12)
     planned = stored(with_target.withColumn("_whole", whole.cast("long")).withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("_whole")))
@@ -167,11 +167,13 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", row
     chosen = cube_sample(units).select("_row", F.col("p").alias("_more"))
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.coalesce(F.col("_more"), F.lit(0.0)).cast("long")).otherwise(F.lit(0)).cast("long")
     return planned.join(chosen, "_row", "left").withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        "doc_id", *["source"] * keep_source, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: documents that it takes, each with ``copies`` and ``taken`` beside its columns."""
-    mixed = mix_sources(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "taken", "copies").dropDuplicates(["_id", "size"])
+    # By source too: rows of equal id and size in two sources are two decisions, and rows of one identity are one.
+    mixed = mix_sources(docs, keep_source=True).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target", "taken", "copies").dropDuplicates(["_id", "_source", "size"])
     kept = docs.drop("size", "source_size", "target", "taken", "copies").withColumn("_size", text_size("text"))
-    return kept.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size"))).drop("_id", "_size")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size"))
+    return kept.join(mixed, same).drop("_id", "_source", "_size")
