@@ -1,4 +1,4 @@
-"""Plain Python versions of the ten contracts, for small inputs."""
+"""Plain Python versions of the contracts, for small inputs."""
 
 from __future__ import annotations
 
@@ -158,3 +158,47 @@ def similar(docs):
         if docs[i][0] is not None:
             ids[c].append(docs[i][0])
     return [(d, len(sets[i]), min(ids[label[i]], default=None) if sets[i] else d) for i, (d, _) in enumerate(docs)]
+
+
+def remainder(a, b):
+    """The remainder with the sign of ``a``, as in SQL."""
+    return abs(a) % b * (1 if a >= 0 else -1)
+
+
+def conversation_trie(rows):
+    """(conv_id, turn, role, text) rows to one tuple for each node."""
+    def turn_id(role, text):
+        role, text = role or "", text or ""
+        return hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest(), len(text.encode())
+
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, turn_id(role, text)))
+    own = {c: [t for *_, t in sorted(v)] for c, v in own.items()}
+    built = {c: tuple(own.get(c - remainder(c, 5), [])[:crc(c) % 9] + ts[crc(c) % 9:]) for c, ts in own.items()}
+    members, children, leaves, saved = defaultdict(list), defaultdict(list), {}, {}
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members[ts[:d]].append(c)
+    for path in members:
+        if path:
+            children[path[:-1]].append(path)
+    for path in sorted(members, key=len, reverse=True):
+        leaves[path] = sum(leaves[k] for k in children[path]) or 1
+        saved[path] = (len(members[path]) - 1) * (path[-1][1] if path else 0) + sum(saved[k] for k in children[path])
+    return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children[p]), leaves[p], saved[p],
+             sha(",".join(str(c) for c in sorted(m) if len(built[c]) == len(p)))) for p, m in members.items()]
+
+
+def exact_copies(docs):
+    """(doc_id, text) rows, in input order, to (doc_id, keep_id, group_size, kept, text_sha256)."""
+    bodies = [re.sub("[\x20\x09-\x0D]+", " ", t or "") for _, t in docs]
+    groups = defaultdict(list)
+    for i, body in enumerate(bodies):
+        groups[body].append((docs[i][0] is None, docs[i][0], i))
+    out = []
+    for i, body in enumerate(bodies):
+        first = min(groups[body], key=lambda x: (x[0], x[1] or 0, x[2]))
+        out.append((docs[i][0], first[1], len(groups[body]), first[2] == i, sha(body)))
+    return out
