@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -52,6 +52,28 @@ BOOSTED_SPECS = (ModelSpec("impulso_turno", "impulso", trees=200, depth=6, step=
                  ModelSpec("valla", "valla", trees=300, depth=4, min_rows=8, step=0.05), ModelSpec("ordinal", "ordinal", trees=320, depth=5, min_rows=20, step=0.055))
 
 
+#: Binary fits of each boosted family: target and member rows by the class column.
+PARTS: dict[str, dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]]] = {
+    "impulso": {f"clase{i}": (lambda y, i=i: y == i, lambda y: F.lit(True)) for i in range(3)},
+    "valla": {"evento": (lambda y: y > 0, lambda y: F.lit(True)), "grave": (lambda y: y == 2, lambda y: y > 0)},
+    "ordinal": {"medio": (lambda y: y >= 1, lambda y: F.lit(True)), "alto": (lambda y: y >= 2, lambda y: F.lit(True))},
+    "alto": {"alto": (lambda y: y == 2, lambda y: F.lit(True))},
+}
+
+
+def blend(family: str, at: Callable[[str], Column]) -> tuple[Column, Column, Column]:
+    """Three class probabilities from those of a boosted family's parts."""
+    if family == "valla":
+        return hurdle(at("evento"), at("grave"))
+    if family == "ordinal":
+        return monotone_repair(at("medio"), at("alto"))
+    if family == "alto":
+        return 1 - at("alto"), F.lit(0.0), at("alto")
+    raw = [at(f"clase{i}") for i in range(3)]
+    total = F.greatest(raw[0] + raw[1] + raw[2], F.lit(1e-12))
+    return raw[0] / total, raw[1] / total, raw[2] / total
+
+
 def _assembled(features: Sequence[str]) -> list:
     filled = [f"{c}__lleno" for c in features]
     return [Imputer(strategy="median", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="vector", handleInvalid="keep")]
@@ -97,13 +119,7 @@ class RiskClassifier:
         at = lambda n, i: F.coalesce(F.try_element_at(F.col(f"_{n}"), F.lit(i + 1)), F.lit(0.0))
         if self.spec.family == "bosque":
             return at("m", 0), at("m", 1), at("m", 2)
-        if self.spec.family == "valla":
-            return hurdle(at("evento", 1), at("grave", 1))
-        if self.spec.family == "ordinal":
-            return monotone_repair(at("medio", 1), at("alto", 1))
-        raw = [at(f"clase{i}", 1) for i in range(3)]
-        total = F.greatest(raw[0] + raw[1] + raw[2], F.lit(1e-12))
-        return raw[0] / total, raw[1] / total, raw[2] / total
+        return blend(self.spec.family, lambda part: at(part, 1))
 
     def importances(self) -> list[tuple[str, float]]:
         """Mean importance of each feature over the fitted parts, best first."""
@@ -120,7 +136,7 @@ class RiskClassifier:
 
     @staticmethod
     def load(path: str, spec: ModelSpec, features: Sequence[str]) -> "RiskClassifier":
-        names = {"bosque": ("m",), "valla": ("evento", "grave"), "ordinal": ("medio", "alto"), "impulso": ("clase0", "clase1", "clase2")}[spec.family]
+        names = ["m"] if spec.family == "bosque" else list(PARTS[spec.family])
         kind = RandomForestClassificationModel if spec.family == "bosque" else GBTClassificationModel
         return RiskClassifier(spec, list(features), PipelineModel.load(f"{path}/prepara"), {n: kind.load(f"{path}/{n}") for n in names})
 
@@ -135,12 +151,8 @@ def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str =
     y = F.col(label)
     if spec.family == "bosque":
         parts = {"m": _forest(spec, label, weight, "m").fit(ready)}
-    elif spec.family == "valla":
-        parts = {"evento": _boosted(spec, "_y", weight, "evento").fit(flag(y > 0)), "grave": _boosted(spec, "_y", weight, "grave").fit(flag(y == 2).filter(y > 0))}
-    elif spec.family == "ordinal":
-        parts = {"medio": _boosted(spec, "_y", weight, "medio").fit(flag(y >= 1)), "alto": _boosted(spec, "_y", weight, "alto").fit(flag(y >= 2))}
-    elif spec.family == "impulso":
-        parts = {f"clase{i}": _boosted(spec, "_y", weight, f"clase{i}").fit(flag(y == i)) for i in range(3)}
+    elif spec.family in PARTS:
+        parts = {name: _boosted(spec, "_y", weight, name).fit(flag(target(y)).filter(member(y))) for name, (target, member) in PARTS[spec.family].items()}
     else:
         raise ValueError(f"unknown family {spec.family}")
     return RiskClassifier(spec, features, prepare, parts)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tramorisk.functions.risk import HIGH_FROM_BUFFER, HIGH_FROM_SHIFT, length_factor, risk_class
 from tramorisk.operators import evaluate as ev, impute, models, network as net, ordered, panel, sampling, spatial, windows
-from tramorisk.plans import catalog_spatial as cs, jobs
+from tramorisk.plans import catalog_spatial as cs, experiments as ex, jobs
 from tramorisk.plans.registry import query
 from tramorisk.sources.forecast import wide_forecast
 from tramorisk.sources.readers import table_digest
@@ -170,12 +170,30 @@ def _(t):
     return jobs.compare_arms(arms).orderBy(F.desc("f1_macro"), F.desc("recall_alto"), F.desc("average_precision"), F.desc("balanced_accuracy"))
 
 
-@query("X02_shift_pipeline", _ROWS)
+_STAGED = "nombre:s etapa:s variante:s n:l accuracy:d f1_macro:d f1_medio_alto:d recall_alto:d average_precision:d elegido:l"
+_LOOK = {"calibracion": (64, 66), "seleccion": (67, 69), "retrospectiva": (70, _LAST)}
+
+
+@query("X02_shift_pipeline", "nombre:s etapa:s n:l accuracy:d f1_macro:d f1_medio_alto:d recall_alto:d average_precision:d elegido:l pronosticados_medio:l pronosticados_alto:l")
 def _(t):
+    # Validation gives the cutoffs and the choice, the test months are read after it, and both models are then refitted on all months to forecast the next.
     eligible = panel.eligible_months(t.months(), 3, 0.8, {"train": ("1995-04", "2000-04"), "validation": ("2000-05", "2000-10"), "test": ("2000-11", "2001-11")})
-    rows = _shift_rows(t).join(F.broadcast(eligible), "mes_idx")  # calendar rows only
-    arms = [jobs.run_arm(s.name, rows, _G["legacy"], s, _SPLIT, jobs.capped()) for s in (_RF, _GBT)]
-    return jobs.compare_arms(arms, jobs.two_stage_decision)
+    specs = {s.name: s for s in (_RF, _GBT)}
+    store = ex.Store(t, "X02", (specs, _G["legacy"], _SPLIT, "450 y 2"))
+    known = _shift_rows(t).join(F.broadcast(eligible), "mes_idx")  # calendar rows only
+    rows = store.once("rasgos", lambda: known.unionByName(_shift_rows(t).filter(F.col("mes_idx") == _LAST + 1), True))
+    first = [ex.Candidate(n, rows, _G["legacy"], s, jobs.capped(), "capped", _SPLIT.train, {"validacion": _SPLIT.validation, "prueba": _SPLIT.test}) for n, s in specs.items()]
+    final = [ex.refit(c, f"{c.name}_final", (_FIRST, _LAST), {"pronostico": (_LAST + 1, _LAST + 1)}) for c in first]
+    store.run(first + final)
+    scored = store.scores(specs)
+    cuts = ex.cuts_of(scored.filter("etapa = 'validacion'"), list(specs), ex.two_stage_cuts)
+    table = jobs.settle(ex.metric_table(*ex.with_cuts(scored, cuts)))
+    best = table.filter("etapa = 'validacion'").orderBy(F.desc("f1_macro"), F.desc("recall_alto"), F.desc("average_precision"), "ajuste").first()["ajuste"]
+    ahead, decision = ex.with_cuts(store.scores(f"{n}_final" for n in specs), {f"{n}_final": c for n, c in cuts.items()})
+    counts = ahead.withColumn("_c", decision).groupBy("ajuste", "etapa").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_c") == 1, 1)).alias("pronosticados_medio"),
+                                                                            F.count(F.when(F.col("_c") == 2, 1)).alias("pronosticados_alto"))
+    both = table.unionByName(counts.withColumn("ajuste", F.regexp_replace("ajuste", "_final$", "")), True)
+    return both.withColumn("nombre", F.col("ajuste")).withColumn("elegido", (F.col("ajuste") == best).cast("int"))
 
 
 def _recent(half_life):
@@ -196,25 +214,42 @@ def window_candidates():
             ("rf_multi", "multi", replace(forest, subset="sqrt"), jobs.two_strata()), ("hurdle_multi", "multi", replace(_HURDLE, trees=300, depth=4), jobs.two_strata())]
 
 
-@query("X03_window_candidates", _ROWS)
-def _(t):
+def _wide_rows(t):
+    """Window features with the short ones of the first pipeline."""
     keys = ["tramo_id", "mes_idx", "turno_idx"]
-    rows = t.once("rasgos_candidatos", lambda: _window_rows(t).join(_shift_rows(t).select(*keys, *_G["legacy"][7:]), keys))
-    arms = [jobs.run_arm(name, rows, _G[group], spec, _SPLIT, sampler) for name, group, spec, sampler in window_candidates()]
-    return jobs.compare_arms(arms + [jobs.with_calibration(a) for a in arms], jobs.joint_decision).orderBy(F.desc("f1_medio_alto"))
+    return t.once("rasgos_candidatos", lambda: _window_rows(t).join(_shift_rows(t).select(*keys, *_G["legacy"][7:]), keys))
+
+
+@query("X03_window_candidates", _STAGED)
+def _(t):
+    plans = window_candidates()
+    store = ex.Store(t, "X03", ([(n, g, s) for n, g, s, _ in plans], _SPLIT.train, _LOOK))
+    rows = store.once("rasgos", lambda: _wide_rows(t))
+    candidates = [ex.Candidate(name, rows, _G[group], spec, sampler, name, _SPLIT.train, _LOOK) for name, group, spec, sampler in plans]
+    return ex.staged_comparison(store, candidates, ("base_rf", "base_xgb"))
 
 
 def _distances(t):
     return t.once("distancias", lambda: net.midpoint_distances(t.segments(), t.segments().select("tramo_id"), 500.0))
 
 
-@query("X04_network_density_ablation", _ROWS)
+@query("X04_network_density_ablation", _STAGED)
 def _(t):
-    density = net.project(t.cube(), net.triangular_kernel(_distances(t), t.segments(), 250), "peso")
-    history = windows.density_history(panel.dense(density, t.segments(), t.calendar, shifts=True), t.months(), "nkde_250m")
-    rows = _window_rows(t).join(history, ["tramo_id", "mes_idx", "turno_idx"])
-    arms = [jobs.run_arm(g, rows, _G[g], _RF_WINDOWS, _SPLIT, jobs.two_strata()) for g in ("multi_base", "multi_nkde_250m")]
-    return jobs.compare_arms(arms, jobs.joint_decision)
+    boosted = replace(_GBT, trees=360, depth=4)
+    plans = [(f"{kind}_{group}", group, spec) for group in ("multi_base", "multi_nkde_100m", "multi_nkde_250m", "multi_nkde_500m", "multi_nkde_all")
+             for kind, spec in (("xgb", boosted), ("rf", _RF_WINDOWS))]
+    store = ex.Store(t, "X04", (plans, _SPLIT.train, _LOOK, "semivida 24"))
+
+    def build():
+        rows = _wide_rows(t)
+        for band in (100, 250, 500):
+            density = net.project(t.cube(), net.triangular_kernel(_distances(t), t.segments(), band), "peso")
+            history = windows.density_history(panel.dense(density, t.segments(), t.calendar, shifts=True), t.months(), f"nkde_{band}m")
+            rows = rows.join(history, ["tramo_id", "mes_idx", "turno_idx"])
+        return rows
+
+    rows = store.once("rasgos", build)
+    return ex.staged_comparison(store, [ex.Candidate(n, rows, _G[g], s, _recent(24), "semivida 24", _SPLIT.train, _LOOK) for n, g, s in plans])
 
 
 @query("X05_completed_places", "nombre:s n:l accuracy:d f1_macro:d recall_alto:d completados:l")
@@ -231,18 +266,31 @@ def _(t):
     return jobs.compare_arms([arm]).withColumn("completados", F.lit(snapped.filter("origen_ubi <> 'OBSERVADA'").count()))
 
 
-@query("X06_neighbourhood_and_specialist", _ROWS)
+_SPECIALIST = models.ModelSpec("alto_binario", "alto", trees=450, depth=3, step=0.05, min_rows=5)
+
+
+@query("X06_neighbourhood_and_specialist", "nombre:s etapa:s n:l accuracy:d f1_macro:d f1_medio_alto:d f1_alto:d recall_alto:d average_precision:d")
 def _(t):
-    base = _shift_rows(t)
-    near = spatial.exponential_neighbors(spatial.with_xy(t.segments()).select("tramo_id", "x", "y"))
-    sums = windows.neighbor_sums(base, near, _G["legacy"][7:11])
-    rows = t.once("rasgos_vecinos", lambda: base.join(sums, ["tramo_id", "mes_idx", "turno_idx"], "left").fillna(0.0, [f"vecinos_{c}" for c in _G["legacy"][7:11]]))
-    arms = [jobs.run_arm("base", rows, _G["legacy"], _RF, _SPLIT, jobs.capped()), jobs.run_arm("vecindad", rows, _G["vecindad"], _RF, _SPLIT, jobs.capped())]
-    train = jobs.capped()(jobs.months(rows, _SPLIT.train))
-    keyed = lambda df: df.join(rows.select("tramo_id", "mes_idx", "turno_idx", *_G["legacy"]), ["tramo_id", "mes_idx", "turno_idx"])
-    boost = lambda df: jobs.settle(models.high_specialist(keyed(df), train, _G["legacy"], _GBT, "peso_muestra").select("tramo_id", "mes_idx", "turno_idx", "y", "p0", "p1", "p2"))
-    arms.append(jobs.Arm("especialista", arms[1].model, boost(arms[1].validation), boost(arms[1].test)))
-    return jobs.compare_arms(arms, jobs.two_stage_decision)
+    # Cutoffs come from the validation months; the last month is held out and judged by refits on all months before it.
+    keys, near_columns = ["tramo_id", "mes_idx", "turno_idx"], [f"vecinos_{c}" for c in _G["legacy"][7:11]]
+    plans = {"base": ("legacy", _RF), "base_xgb": ("legacy", _GBT), "vecindad": ("vecindad", _RF), "alto": ("legacy", _SPECIALIST)}
+    stages, held = {"validacion": _SPLIT.validation, "prueba": (_SPLIT.test[0], _LAST - 1)}, {"reserva": (_LAST, _LAST)}
+    store = ex.Store(t, "X06", (plans, _SPLIT.train, stages, held))
+
+    def build():
+        base = _shift_rows(t)
+        near = spatial.exponential_neighbors(spatial.with_xy(t.segments()).select("tramo_id", "x", "y"))
+        return base.join(windows.neighbor_sums(base, near, _G["legacy"][7:11]), keys, "left").fillna(0.0, near_columns)
+
+    rows = store.once("rasgos", build)
+    first = [ex.Candidate(n, rows, _G[g], s, jobs.capped(), "capped", _SPLIT.train, stages) for n, (g, s) in plans.items()]
+    store.run(first + [ex.refit(c, f"{c.name}_reserva", (_FIRST, _LAST - 1), held) for c in first])
+    scored = store.scores([f"{n}{end}" for n in plans for end in ("", "_reserva")]).withColumn("ajuste", F.regexp_replace("ajuste", "_reserva$", ""))
+    high = scored.filter("ajuste = 'alto'").select("etapa", *keys, F.col("p2").alias("_alto"))
+    special = scored.filter("ajuste = 'vecindad'").join(high, ["etapa", *keys]).withColumn("p2", F.col("_alto")).drop("_alto").withColumn("ajuste", F.lit("especialista"))
+    arms = store.once("brazos", lambda: scored.filter("ajuste <> 'alto'").unionByName(special))
+    cuts = ex.cuts_of(arms.filter("etapa = 'validacion'"), ["base", "base_xgb", "vecindad", "especialista"], ex.two_stage_cuts)
+    return ex.metric_table(*ex.with_cuts(arms, cuts)).withColumnRenamed("ajuste", "nombre")
 
 
 @query("X07_guarded_search", _ROWS)
@@ -256,24 +304,48 @@ def _(t):
 
 @query("X08_monthly_retraining", "nombre:s origen:l n:l accuracy:d f1_macro:d")
 def _(t):
-    return jobs.retrain_monthly(_context(t), _TEMPORAL, _RF_MONTHLY, range(60, _LAST + 1), _SPANS, jobs.per_class_month())
+    store = ex.Store(t, "X08", (_RF_MONTHLY, _TEMPORAL, _SPANS, _FIRST, _LAST))
+    rows = store.once("rasgos", lambda: _context(t))
+    fits = [ex.Candidate(f"{w}_{o}", rows, _TEMPORAL, _RF_MONTHLY, jobs.per_class_month(), "por clase y mes", (max(_FIRST, o - size) if size else _FIRST, o - 1), {"mes": (o, o)})
+            for o in range(60, _LAST + 1) for w, size in _SPANS.items()]
+    store.run(fits)
+    parts = F.split("ajuste", "_")
+    return ex.metric_table(store.scores(c.name for c in fits), ex.by_argmax()).withColumn("nombre", parts[0]).withColumn("origen", parts[1])
+
+
+def _full_context(t):
+    """Monthly features with those of the neighbours and of the whole network."""
+    feats = _context(t).withColumn("_act", F.when(F.col("_lag1") > 0, 1.0).otherwise(0.0))
+    near = spatial.nearest_neighbors(spatial.with_xy(t.segments()).select("tramo_id", "x", "y"), 32)
+    around = windows.neighbor_means(feats, near, {"riesgo_lag1": "_lag1", "riesgo_media3": "_media3", "activos_lag1": "_act"}, (8, 32))
+    network = windows.month_activity(t.dense_months(), HIGH_FROM_BUFFER)
+    return feats.join(around, ["tramo_id", "mes_idx"], "left").join(F.broadcast(network), "mes_idx")  # calendar rows only
+
+
+def monthly_protocol():
+    """Three windows and four origins a year over three years for the choice, then twenty months in a row, then one month ahead."""
+    return ex.Protocol({"bosque": _RF_MONTHLY, "impulso": _GBT_MONTHLY}, {"3m": 3, "12m": 12, "inicio": None},
+                       tuple(12 * (year - 1995) + month - 1 for year in range(1997, 2000) for month in (3, 6, 9, 12)), tuple(range(60, 80)), 81)
 
 
-@query("X09_registered_phases", "nombre:s fase:s n:l accuracy:d f1_macro:d huella:s")
+@query("X09_registered_phases", "nombre:s fase:s n:l accuracy:d f1_macro:d f1_medio_alto:d recall_alto:d puntaje:d elegido:l huella:s")
 def _(t):
-    # 12 origins for the choice, 20 for the test of the chosen pair, and the last month registered before it.
-    rows, first_b, first_c = _context(t), _LAST - 32, _LAST - 20
-    pairs = {f"{s.family}_{w}": (s, w) for s in (_RF_MONTHLY, _GBT_MONTHLY) for w in ("3m", "6m", "12m")}
-    runs = lambda names, origins: jobs.union_all([
-        jobs.retrain_monthly(rows, _TEMPORAL, pairs[n][0], origins, {n: _SPANS[pairs[n][1]]}, jobs.per_class_month()) for n in names])
-    phase_b = runs(pairs, range(first_b, first_c))
-    chosen = phase_b.groupBy("nombre").agg(F.avg("puntaje").alias("p")).orderBy(F.desc("p"), "nombre").first()["nombre"]
-    phase_c = runs([chosen], range(first_c, _LAST))
-    spec, window = pairs[chosen]
-    model = models.fit(spec, jobs.per_class_month()(jobs.months(rows, (_LAST - _SPANS[window], _LAST - 1))), _TEMPORAL, weight="peso_muestra")
-    digest = table_digest(model.score(rows.filter(F.col("mes_idx") == _LAST)), ["tramo_id", "p0", "p1", "p2"]).first()["huella"]
-    both = phase_b.withColumn("fase", F.lit("B")).unionByName(phase_c.withColumn("fase", F.lit("C")))
-    return both.withColumn("huella", F.when(F.col("fase") == "C", F.lit(digest)))
+    plan = monthly_protocol()
+    store = ex.Store(t, "X09", (plan, _G["contexto"], "por clase y mes 1.25"))
+    rows = store.once("rasgos", lambda: _full_context(t))
+    state = ex.MonthlyProtocol(store, plan, rows, _G["contexto"], jobs.per_class_month(), "por clase y mes")
+    window, period = state.frozen(), t.calendar.period(plan.month_d)
+    mark = F.lit(0)
+    for family, chosen in window.items():
+        mark = F.when((F.col("familia") == family) & (F.col("ventana") == chosen), 1).otherwise(mark)
+    phase_b = state.phase_b().withColumn("fase", F.lit("B")).withColumn("elegido", mark).withColumn("nombre", F.concat_ws("_", "familia", "ventana"))
+    months = state.phase_c()
+    year = F.when(F.col("mes_idx") < 72, "C primer año").otherwise("C segundo año")
+    periods = F.explode(F.array(F.lit("C"), year))
+    phase_c = ex.metric_table(months.withColumn("fase", periods), ex.by_argmax(), ("familia", "fase"))
+    phase_d = state.evaluation_d(period).withColumn("fase", F.lit("D"))
+    late = phase_c.unionByName(phase_d, True).withColumn("elegido", F.lit(1)).withColumn("nombre", F.col("familia"))
+    return phase_b.unionByName(late, True)
 
 
 @query("X10_lighting_ablation", "nombre:s delta_accuracy:d delta_f1_medio_alto:d")
