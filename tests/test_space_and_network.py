@@ -132,11 +132,11 @@ def test_avoidance_ladder(spark, red, detour, expected):
     full = spark.createDataFrame([(t, u, v, w, 0.1, z, [], z, []) for t, u, v, w, z in rows],
                                  "tramo_id string, u int, v int, largo double, riesgo double, zonas_rojo array<string>, zonas_naranja array<string>, zonas_rojo_margen array<string>, zonas_naranja_margen array<string>")
     req = spark.createDataFrame([("r", 0, 3, ["otra"])], "ruta string, origen int, destino int, exentas array<string>")
-    paths = net.shortest_paths(req, net.directed_edges(full), {k: F.col("largo") for k in net.LADDER}, blocked=net.ladder_block())
+    paths = net.shortest_paths(req, net.directed_edges(full), {k: F.col("largo") for k in net.LADDER}, blocked=net.ladder_block(), reads=net.ZONES)
     policy = net.ladder_policy(paths.select("ruta", "variante", F.round(F.col("largo") / 1000, 3).alias("distancia_km"))).first()
     assert policy["rojo"] == expected and policy["naranja"] == "avoided"
     exempt = req.withColumn("exentas", F.array(F.lit("z")))
-    free = net.shortest_paths(exempt, net.directed_edges(full), {k: F.col("largo") for k in net.LADDER}, blocked=net.ladder_block())
+    free = net.shortest_paths(exempt, net.directed_edges(full), {k: F.col("largo") for k in net.LADDER}, blocked=net.ladder_block(), reads=net.ZONES)
     assert free.filter("variante = 'sin_rojo'").first()["largo"] == pytest.approx(100.0)
 
 

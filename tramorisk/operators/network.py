@@ -19,7 +19,7 @@ from tramorisk.session import settle
 BANDWIDTHS = (100, 250, 500)
 DETOUR_FACTOR = 1.5
 ROUNDS_PER_STORE = 6
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def adjacency(segments: DataFrame) -> DataFrame:
@@ -36,23 +36,25 @@ def incident_segments(segments: DataFrame) -> DataFrame:
     return segments.select("tramo_id", half, F.explode(F.array_distinct(F.array("u", "v"))).alias("nodo"))
 
 
-def _sized(stored: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Stored table with a broadcast hint if it has at most ``limit`` rows.
+def _sized(stored: DataFrame, fixed_bytes: int = 48, lists: Sequence[str] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Stored table with a broadcast hint if its measured size is within ``limit`` bytes.
 
     A larger table joins by shuffle, with AQE splitting its crowded nodes.
     """
-    return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
+    entries = [F.sum(F.size(c)) for c in lists]
+    size = stored.agg(F.count(F.lit(1)) * fixed_bytes + sum((F.coalesce(e, F.lit(0)) * 40 for e in entries), F.lit(0))).first()[0]
+    return F.broadcast(stored) if size <= limit else stored
 
 
-def _spread(state: DataFrame, key: str) -> DataFrame:
-    """Cluster a search by its key over a fixed number of tasks.
+def _spread(state: DataFrame, *keys: str) -> DataFrame:
+    """Cluster a search by its keys over a fixed number of tasks.
 
     The first frontier is tiny and grows a thousandfold, so the number must
     not follow its size.
     """
     spark = state.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return state.repartition(tasks, key)
+    return state.repartition(tasks, *keys)
 
 
 def midpoint_distances(segments: DataFrame, active: DataFrame, limit: float) -> DataFrame:
@@ -139,68 +141,111 @@ def directed_edges(segments: DataFrame, two_way: bool = True) -> DataFrame:
     return there.unionByName(back)
 
 
-def shortest_paths(requests: DataFrame, edges: DataFrame, costs: dict[str, Column], allowed: DataFrame | None = None,
-                   blocked: Column | None = None) -> DataFrame:
-    """Cheapest path of every request under every named cost.
+def shortest_labels(requests: DataFrame, edges: DataFrame, costs: dict[str, Column], blocked: Column | None = None, reads: Sequence[str] = ()) -> DataFrame:
+    """Label of every node a search reaches: ``ruta``, ``variante``, ``nodo``, ``costo``, ``expo``, ``largo`` and the step before (``previo``, ``tramo_id``).
 
     ``requests``: ruta, origen, destino (and whatever ``blocked`` reads).
-    ``edges``: desde, hasta, tramo_id, largo, riesgo and optional ``zonas_*``
-    arrays; ``costs`` are expressions over them.
-    ``allowed``: optional pairs (ruta, nodo) the search may enter.
-    Ties on cost fall to exposure, length and then the path itself. A path
-    dearer than the best arrival of its request is not extended.
+    ``edges``: desde, hasta, tramo_id, largo, riesgo and the columns in
+    ``reads``; ``costs`` are expressions over them. A step that ``blocked`` holds
+    for is closed. Labels order by cost, exposure, length and then by the step
+    before, which therefore always belongs to a final label. A label dearer
+    than the best arrival of its request and variant is not extended. Rows are
+    clustered by request and variant, so a round moves no data while the
+    step table is small.
     """
     names = list(costs)
     carried = [c for c in requests.columns if c not in ("ruta", "origen", "destino")]
-    zones = [c for c in edges.columns if c.startswith("zonas_")]
     moves = edges.select("desde", "hasta", "tramo_id", F.col("riesgo").alias("_riesgo"), F.col("largo").cast("double").alias("_largo"),
-                         F.array(*[c.cast("double") for c in costs.values()]).alias("_costos"), *zones)
-    blank = [F.array().cast("array<string>").alias(z) for z in zones]
+                         F.array(*[c.cast("double") for c in costs.values()]).alias("_costos"), *reads)
     nodes = edges.select(F.explode(F.array("desde", "hasta")).alias("n")).distinct()
-    stay = nodes.select(F.col("n").alias("desde"), F.col("n").alias("hasta"), F.lit(None).cast("string").alias("tramo_id"), F.lit(0.0).alias("_riesgo"),
-                        F.lit(0.0).alias("_largo"), F.array(*[F.lit(0.0)] * len(names)).alias("_costos"), *blank)
-    steps = _sized(settle(moves.unionByName(stay)))
-    empty = F.array().cast("array<string>")
-    none = F.struct(F.lit(0.0).alias("costo"), F.lit(0.0).alias("expo"), F.lit(0.0).alias("largo"), empty.alias("tramos"))
+    stay = nodes.select(F.col("n").alias("desde"), F.col("n").alias("hasta"))
+    steps = settle(moves.unionByName(stay, True))
+    lists = [f.name for f in steps.schema.fields if f.name in reads and f.dataType.typeName() == "array"]
+    steps = _sized(steps, 64 + 8 * (len(names) + len(reads)), lists)
     kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)])
+    start = F.struct(F.lit(0.0).alias("costo"), F.lit(0.0).alias("expo"), F.lit(0.0).alias("largo"), F.lit(None).cast(edges.schema["desde"].dataType).alias("previo"),
+                     F.lit(None).cast("string").alias("tramo_id"))
     state = requests.withColumn("_k", F.explode(kinds)).select(
-        "ruta", "destino", *carried, F.col("_k.i").alias("vi"), F.col("_k.n").alias("variante"), F.col("origen").alias("nodo"),
-        none.alias("mejor"), F.lit(True).alias("nuevo"))
-    if allowed is not None:
-        allowed = settle(allowed)
+        "ruta", "destino", *carried, F.col("_k.i").alias("vi"), F.col("_k.n").alias("variante"), F.col("origen").alias("nodo"), start.alias("mejor"), F.lit(True).alias("nuevo"))
     while True:
-        state = _spread(state, "ruta")
+        state = _spread(state, "ruta", "vi")
         for _ in range(ROUNDS_PER_STORE):
-            state = _relax_paths(state, steps, carried, allowed, blocked)
-        top = W.partitionBy("ruta", "vi")
-        reached = F.min(F.when(F.col("nodo") == F.col("destino"), F.col("mejor.costo"))).over(top)
-        state = state.withColumn("_tope", reached).withColumn(
-            "nuevo", F.col("nuevo") & (F.col("nodo") != F.col("destino")) & (F.col("_tope").isNull() | (F.col("mejor.costo") <= F.col("_tope")))).drop("_tope")
+            state = _relax_labels(state, steps, carried, blocked)
         state = settle(state)
-        if state.filter("nuevo").limit(1).count() == 0:
+        arrived = state.filter("nodo = destino").select("ruta", "vi", F.col("mejor.costo").alias("_tope"))
+        state = settle(state.join(arrived, ["ruta", "vi"], "left").withColumn(
+            "nuevo", F.col("nuevo") & (F.col("nodo") != F.col("destino")) & (F.col("_tope").isNull() | (F.col("mejor.costo") <= F.col("_tope")))).drop("_tope"))
+        if state.filter("nuevo").isEmpty():
             break
-    return state.filter("nodo = destino").select("ruta", "variante", *carried, "mejor.costo", "mejor.expo", "mejor.largo", "mejor.tramos")
+    return state.select("ruta", "variante", *carried, "destino", "nodo", "mejor.*")
 
 
-def _relax_paths(state: DataFrame, steps: DataFrame, carried: Sequence[str], allowed: DataFrame | None, blocked: Column | None) -> DataFrame:
+def _relax_labels(state: DataFrame, steps: DataFrame, carried: Sequence[str], blocked: Column | None) -> DataFrame:
     stays = F.col("tramo_id").isNull()
     opens = F.col("nuevo") & (F.col("nodo") != F.col("destino"))
     moved = state.join(steps, (F.col("nodo") == F.col("desde")) & (opens | stays))
     if blocked is not None:
         moved = moved.filter(stays | ~blocked)
-    grown = F.struct((F.col("mejor.costo") + F.element_at("_costos", F.col("vi") + 1)).alias("costo"),
-                     (F.col("mejor.expo") + F.col("_riesgo") * F.col("_largo")).alias("expo"),
-                     (F.col("mejor.largo") + F.col("_largo")).alias("largo"),
-                     F.concat(F.col("mejor.tramos"), F.array("tramo_id")).alias("tramos"))
-    moved = moved.select("ruta", "destino", *carried, "vi", "variante", F.col("hasta").alias("nodo"),
-                         F.when(stays, F.col("mejor")).otherwise(grown).alias("mejor"), stays.alias("_queda"))
-    if allowed is not None:
-        moved = moved.join(allowed, ["ruta", "nodo"], "left_semi")
+    grown = F.struct((F.col("mejor.costo") + F.get("_costos", F.col("vi"))).alias("costo"), (F.col("mejor.expo") + F.col("_riesgo") * F.col("_largo")).alias("expo"),
+                     (F.col("mejor.largo") + F.col("_largo")).alias("largo"), F.col("nodo").alias("previo"), F.col("tramo_id"))
+    moved = moved.select("ruta", "destino", *carried, "vi", "variante", F.col("hasta").alias("nodo"), F.when(stays, F.col("mejor")).otherwise(grown).alias("mejor"),
+                         stays.alias("_queda"))
     best = moved.groupBy("ruta", "vi", "nodo").agg(
         F.min("mejor").alias("mejor"), F.min(F.when(F.col("_queda"), F.col("mejor"))).alias("_antes"),
         F.first("destino").alias("destino"), F.first("variante").alias("variante"), *[F.first(c).alias(c) for c in carried])
-    return best.select("ruta", "destino", *carried, "vi", "variante", "nodo", "mejor",
-                       (F.col("_antes").isNull() | (F.col("mejor") < F.col("_antes"))).alias("nuevo"))
+    size = lambda c: F.struct(f"{c}.costo", f"{c}.expo", f"{c}.largo")
+    return best.select("ruta", "destino", *carried, "vi", "variante", "nodo", "mejor", (F.col("_antes").isNull() | (size("mejor") < size("_antes"))).alias("nuevo"))
+
+
+def trace_back(labels: DataFrame) -> DataFrame:
+    """Steps of the path to each request's destination, from the step-before table: ``ruta``, ``variante``, ``atras`` (0 is the last step), ``tramo_id``.
+
+    Pointers double in length each round, and the path is then filled in from
+    the longest pointers down, so rounds go with the logarithm of its steps.
+    """
+    keys = ["ruta", "variante"]
+    hop = settle(labels.filter("previo is not null").select(*keys, "nodo", F.col("previo").alias("salto"), "tramo_id"))
+    jumps = [hop.select(*keys, "nodo", "salto")]
+    path = labels.filter("nodo = destino").select(*keys, "nodo", F.lit(0).cast("long").alias("atras"))
+    while True:
+        last = jumps[-1]
+        further = last.join(last.select(*keys, F.col("nodo").alias("salto"), F.col("salto").alias("_lejos")), [*keys, "salto"]).select(*keys, "nodo", F.col("_lejos").alias("salto"))
+        further = settle(further)
+        if further.isEmpty():
+            break
+        jumps.append(further)
+    for k in reversed(range(len(jumps))):
+        reached = path.join(jumps[k], [*keys, "nodo"]).select(*keys, F.col("salto").alias("nodo"), (F.col("atras") + (1 << k)).alias("atras"))
+        path = settle(path.unionByName(reached))
+    return path.join(hop.select(*keys, "nodo", "tramo_id"), [*keys, "nodo"]).select(*keys, "atras", "tramo_id")
+
+
+def shortest_paths(requests: DataFrame, edges: DataFrame, costs: dict[str, Column], blocked: Column | None = None, reads: Sequence[str] = ()) -> DataFrame:
+    """Cheapest path of every request under every named cost, with its segments in order; see ``shortest_labels``."""
+    carried = [c for c in requests.columns if c not in ("ruta", "origen", "destino")]
+    labels = shortest_labels(requests, edges, costs, blocked, reads)
+    steps = trace_back(labels).groupBy("ruta", "variante").agg(F.array_sort(F.collect_list(F.struct((-F.col("atras")).alias("o"), "tramo_id"))).alias("_t"))
+    ends = labels.filter("nodo = destino").join(steps, ["ruta", "variante"], "left")
+    return ends.select("ruta", "variante", *carried, "costo", "expo", "largo", F.coalesce(F.col("_t.tramo_id"), F.array().cast("array<string>")).alias("tramos"))
+
+
+def route_variants(requests: DataFrame, edges: DataFrame, costs: dict[str, Column], fast: str, factor: float = DETOUR_FACTOR) -> DataFrame:
+    """The fastest path of each request, and every other variant inside the ellipse that its detour budget leaves.
+
+    ``requests`` carries o_lat, o_lon, d_lat, d_lon and acceso_m; ``edges`` the
+    place (h_lat, h_lon) of the node a step leads to. A node is open if the ways
+    to both ends add up to no more than the budget of ``detour_budget``.
+    """
+    quick = settle(shortest_paths(requests.select("ruta", "origen", "destino"), edges, {fast: costs[fast]}))
+    asked = requests.join(quick.select("ruta", "largo"), "ruta").withColumn("tope", detour_budget(factor)).drop("largo", "acceso_m", "ox", "oy", "dx", "dy")
+    way = haversine_m(F.col("o_lat"), F.col("o_lon"), F.col("h_lat"), F.col("h_lon")) + haversine_m(F.col("h_lat"), F.col("h_lon"), F.col("d_lat"), F.col("d_lon"))
+    rest = shortest_paths(asked, edges, {k: v for k, v in costs.items() if k != fast}, way > F.col("tope"), ("h_lat", "h_lon"))
+    return quick.unionByName(rest.select(*quick.columns))
+
+
+def detour_budget(factor: float = DETOUR_FACTOR) -> Column:
+    """Metres a path may have between the ends, by its shortest length and the access to the network."""
+    return (F.col("largo") + F.col("acceso_m")) * factor - F.col("acceso_m") + 1.0
 
 
 def candidate_nodes(requests: DataFrame, nodes: DataFrame, shortest: DataFrame, factor: float = DETOUR_FACTOR) -> DataFrame:
@@ -209,8 +254,7 @@ def candidate_nodes(requests: DataFrame, nodes: DataFrame, shortest: DataFrame,
     ``requests`` carries the metric points ox, oy, dx, dy of both ends and
     access_m; the search box bounds the pairs, the ellipse decides.
     """
-    budget = (F.col("largo") + F.col("acceso_m")) * factor - F.col("acceso_m") + 1.0
-    asked = requests.join(shortest.select("ruta", "largo"), "ruta").withColumn("tope", budget)
+    asked = requests.join(shortest.select("ruta", "largo"), "ruta").withColumn("tope", detour_budget(factor))
     size = 1000.0
     mid_x, mid_y, reach = (F.col("ox") + F.col("dx")) / 2, (F.col("oy") + F.col("dy")) / 2, F.col("tope") / 2 + 50.0
     cells = F.flatten(F.transform(F.sequence(F.floor((mid_x - reach) / size), F.floor((mid_x + reach) / size)), lambda i: F.transform(
@@ -314,11 +358,14 @@ LADDER = {"libre": "", "sin_rojo": "R", "sin_naranja": "O", "sin_ambos": "RO",
           "sin_rojo_margen": "Rr", "sin_naranja_margen": "Oo", "sin_ambos_margen": "ROro"}
 
 
+ZONES = ("zonas_rojo", "zonas_naranja", "zonas_rojo_margen", "zonas_naranja_margen")
+
+
 def ladder_block() -> Column:
     """Edge closed for a request: a non-exempt zone of an excluded colour."""
     touches = lambda zones: F.size(F.array_except(zones, F.col("exentas"))) > 0
     closed = F.lit(False)
-    for flag, column in (("R", "zonas_rojo"), ("O", "zonas_naranja"), ("r", "zonas_rojo_margen"), ("o", "zonas_naranja_margen")):
+    for flag, column in zip("ROro", ZONES, strict=True):
         kinds = [k for k, flags in LADDER.items() if flag in flags]
         closed = closed | (F.col("variante").isin(*kinds) & touches(F.col(column)))
     return closed

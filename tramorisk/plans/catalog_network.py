@@ -104,9 +104,17 @@ def _cost_columns():
     return costs | {f"beta_{b:03d}": risk.safe_cost(d, r, b) for b in (1, 3, 5, 10, 20, 50, 100)}
 
 
+def _asked(t):
+    """Requests with the places of both ends."""
+    at = _node_xy(t)
+    end = lambda name, k: at.select(F.col("nodo").alias(name), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    return _requests(t).join(end("origen", "o"), "origen").join(end("destino", "d"), "destino").withColumn("acceso_m", F.lit(0.0))
+
+
 def _paths(t):
     def build():
-        return net.shortest_paths(_requests(t), net.directed_edges(_edges(t)), _cost_columns())
+        places = t.nodes().select(F.col("nodo").alias("hasta"), F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))
+        return net.route_variants(_asked(t), net.directed_edges(_edges(t)).join(places, "hasta"), _cost_columns(), "rapida")
     return t.once("rutas", build)
 
 
@@ -152,10 +160,7 @@ def _(t):
 
 
 def _candidates(t):
-    at = _node_xy(t)
-    ends = _requests(t).join(at.select(F.col("nodo").alias("origen"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("x").alias("ox"), F.col("y").alias("oy")), "origen")
-    ends = ends.join(at.select(F.col("nodo").alias("destino"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"), F.col("x").alias("dx"), F.col("y").alias("dy")), "destino")
-    return net.candidate_nodes(ends.withColumn("acceso_m", F.lit(0.0)), at, _paths(t).filter("variante = 'rapida'"))
+    return net.candidate_nodes(_asked(t), _node_xy(t), _paths(t).filter("variante = 'rapida'"))
 
 
 _KEYS = ("ruta", "variante")
@@ -225,7 +230,7 @@ def _ladder(t):
         free = surface.exempt_zones(spatial.with_xy(ends, lon="lon", lat="lat"), discs).groupBy("ruta").agg(F.collect_set("zona").alias("exentas"))
         none = F.array().cast("array<string>")
         asked = req.join(free, "ruta", "left").withColumn("exentas", F.coalesce("exentas", none))
-        return net.shortest_paths(asked, net.directed_edges(edges), {k: F.col("largo") for k in net.LADDER}, blocked=net.ladder_block())
+        return net.shortest_paths(asked, net.directed_edges(edges), {k: F.col("largo") for k in net.LADDER}, blocked=net.ladder_block(), reads=net.ZONES)
     return t.once("escalera", build)
 
 
