@@ -181,3 +181,27 @@ def test_box_counts_equal_brute_force(spark):
     for name, s, n, w, e in boxes:
         assert got[name] == sum(s - 0.002 <= a <= n + 0.002 and w - 0.002 <= b <= e + 0.002 for a, b in pts)
     assert len(list(itertools.chain(got))) == 12
+
+
+def test_paths_are_walked_back_in_order(spark):
+    """Every path starts at the origin, ends at the destination and adds up to its cost, also over many steps and for a request that stays where it is."""
+    edges = [(f"c{i}", i, i + 1, 10.0 + i % 3, 0.1) for i in range(70)] + [("atajo", 0, 69, 5000.0, 0.0)]
+    seg = spark.createDataFrame(edges, "tramo_id string, u int, v int, largo double, riesgo double")
+    req = spark.createDataFrame([("lejos", 0, 70), ("vuelta", 70, 3), ("quieto", 5, 5), ("nada", 0, 999)], "ruta string, origen int, destino int")
+    got = {(r["ruta"], r["variante"]): r for r in net.shortest_paths(req, net.directed_edges(seg), {"rapida": F.col("largo"), "exposicion": F.col("largo") * F.col("riesgo")}).collect()}
+    assert got["lejos", "rapida"]["tramos"] == [f"c{i}" for i in range(70)]
+    assert got["lejos", "exposicion"]["tramos"] == ["atajo", "c69"]
+    assert got["vuelta", "rapida"]["tramos"] == [f"c{i}" for i in range(69, 2, -1)]
+    assert got["quieto", "rapida"]["tramos"] == [] and ("nada", "rapida") not in got
+
+
+def test_variants_stay_inside_the_detour_ellipse(spark):
+    """A cheap way around that leaves the ellipse is not taken."""
+    edges = [("recto", 0, 1, 1000.0, 1.0), ("sale", 0, 2, 600.0, 0.0), ("vuelve", 2, 1, 600.0, 0.0), ("cerca", 0, 3, 520.0, 0.1), ("llega", 3, 1, 520.0, 0.1)]
+    seg = spark.createDataFrame(edges, "tramo_id string, u int, v int, largo double, riesgo double")
+    places = {0: (0.0, 0.0), 1: (0.0, 0.00895), 2: (0.02, 0.0045), 3: (0.001, 0.0045)}
+    at = spark.createDataFrame([(n, a, b) for n, (a, b) in places.items()], "hasta int, h_lat double, h_lon double")
+    req = spark.createDataFrame([("r", 0, 1, *places[0], *places[1], 0.0)], "ruta string, origen int, destino int, o_lat double, o_lon double, d_lat double, d_lon double, acceso_m double")
+    cost = {"rapida": F.col("largo"), "exposicion": F.col("largo") * F.col("riesgo")}
+    got = {r["variante"]: r["tramos"] for r in net.route_variants(req, net.directed_edges(seg).join(at, "hasta"), cost, "rapida").collect()}
+    assert got == {"rapida": ["recto"], "exposicion": ["cerca", "llega"]}

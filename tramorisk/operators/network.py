@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tramorisk.functions.geo import haversine_m
 from tramorisk.operators.ordered import salted_join
-from tramorisk.session import settle
+from tramorisk.session import settle, written
 
 # Kernel reach in metres and the search factors.
 BANDWIDTHS = (100, 250, 500)
@@ -159,7 +159,7 @@ def shortest_labels(requests: DataFrame, edges: DataFrame, costs: dict[str, Colu
                          F.array(*[c.cast("double") for c in costs.values()]).alias("_costos"), *reads)
     nodes = edges.select(F.explode(F.array("desde", "hasta")).alias("n")).distinct()
     stay = nodes.select(F.col("n").alias("desde"), F.col("n").alias("hasta"))
-    steps = settle(moves.unionByName(stay, True))
+    steps = written(moves.unionByName(stay, True))
     lists = [f.name for f in steps.schema.fields if f.name in reads and f.dataType.typeName() == "array"]
     steps = _sized(steps, 64 + 8 * (len(names) + len(reads)), lists)
     kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)])
@@ -171,9 +171,9 @@ def shortest_labels(requests: DataFrame, edges: DataFrame, costs: dict[str, Colu
         state = _spread(state, "ruta", "vi")
         for _ in range(ROUNDS_PER_STORE):
             state = _relax_labels(state, steps, carried, blocked)
-        state = settle(state)
+        state = written(state)
         arrived = state.filter("nodo = destino").select("ruta", "vi", F.col("mejor.costo").alias("_tope"))
-        state = settle(state.join(arrived, ["ruta", "vi"], "left").withColumn(
+        state = written(state.join(arrived, ["ruta", "vi"], "left").withColumn(
             "nuevo", F.col("nuevo") & (F.col("nodo") != F.col("destino")) & (F.col("_tope").isNull() | (F.col("mejor.costo") <= F.col("_tope")))).drop("_tope"))
         if state.filter("nuevo").isEmpty():
             break
@@ -204,19 +204,19 @@ def trace_back(labels: DataFrame) -> DataFrame:
     the longest pointers down, so rounds go with the logarithm of its steps.
     """
     keys = ["ruta", "variante"]
-    hop = settle(labels.filter("previo is not null").select(*keys, "nodo", F.col("previo").alias("salto"), "tramo_id"))
+    hop = written(labels.filter("previo is not null").select(*keys, "nodo", F.col("previo").alias("salto"), "tramo_id"))
     jumps = [hop.select(*keys, "nodo", "salto")]
     path = labels.filter("nodo = destino").select(*keys, "nodo", F.lit(0).cast("long").alias("atras"))
     while True:
         last = jumps[-1]
         further = last.join(last.select(*keys, F.col("nodo").alias("salto"), F.col("salto").alias("_lejos")), [*keys, "salto"]).select(*keys, "nodo", F.col("_lejos").alias("salto"))
-        further = settle(further)
+        further = written(further)
         if further.isEmpty():
             break
         jumps.append(further)
     for k in reversed(range(len(jumps))):
         reached = path.join(jumps[k], [*keys, "nodo"]).select(*keys, F.col("salto").alias("nodo"), (F.col("atras") + (1 << k)).alias("atras"))
-        path = settle(path.unionByName(reached))
+        path = written(path.unionByName(reached))
     return path.join(hop.select(*keys, "nodo", "tramo_id"), [*keys, "nodo"]).select(*keys, "atras", "tramo_id")
 
 
@@ -236,7 +236,7 @@ def route_variants(requests: DataFrame, edges: DataFrame, costs: dict[str, Colum
     place (h_lat, h_lon) of the node a step leads to. A node is open if the ways
     to both ends add up to no more than the budget of ``detour_budget``.
     """
-    quick = settle(shortest_paths(requests.select("ruta", "origen", "destino"), edges, {fast: costs[fast]}))
+    quick = written(shortest_paths(requests.select("ruta", "origen", "destino"), edges, {fast: costs[fast]}))
     asked = requests.join(quick.select("ruta", "largo"), "ruta").withColumn("tope", detour_budget(factor)).drop("largo", "acceso_m", "ox", "oy", "dx", "dy")
     way = haversine_m(F.col("o_lat"), F.col("o_lon"), F.col("h_lat"), F.col("h_lon")) + haversine_m(F.col("h_lat"), F.col("h_lon"), F.col("d_lat"), F.col("d_lon"))
     rest = shortest_paths(asked, edges, {k: v for k, v in costs.items() if k != fast}, way > F.col("tope"), ("h_lat", "h_lon"))
@@ -282,7 +282,7 @@ def route_totals(steps: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Dat
     d, r = F.round("largo", 2), F.round("riesgo", 6)
     at = lambda name: F.sum(F.when(F.col("nivel") == name, d).otherwise(0.0)).alias(f"metros_{name}")
     out = full.groupBy(*keys).agg(
-        F.sum(d).alias("metros"), F.sum(r * d).alias("_rm"), at("bajo"), at("medio"), at("alto"),
+        F.sum(d).alias("metros"), F.sum(r.cast("decimal(9,6)") * d.cast("decimal(18,2)")).cast("double").alias("_rm"), at("bajo"), at("medio"), at("alto"),
         F.count(F.when(F.col("nivel") == "alto", 1)).alias("tramos_altos"), F.count(F.lit(1)).alias("pasos"),
         F.sum(F.round("rojo_m", 3)).alias("rojo_m"), F.sum(F.round("naranja_m", 3)).alias("naranja_m"))
     return out.select(*keys, F.round(F.col("metros") / 1000, 3).alias("distancia_km"),

@@ -122,38 +122,54 @@ _REQ = """req AS (SELECT DISTINCT c_custkey % n AS origen, (c_custkey * 17 + 5)
 ari AS (SELECT tramo_id, u AS desde, v AS hasta, longitud_m AS largo, riesgo_score AS riesgo FROM pron UNION ALL SELECT tramo_id, v, u, longitud_m, riesgo_score FROM pron)"""
 
 
-def _best(cost: str, name: str) -> str:
-    """All-destination search from each origin, ties to the smaller exposure."""
-    return (f"st_{name} AS (SELECT desde, hasta, {cost} AS c, riesgo * largo AS e, largo AS l FROM ari), "
-            f"{name}(o, n, c, e, l) USING KEY (o, n) AS (SELECT DISTINCT origen, origen, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM req UNION "
-            f"SELECT o, n, m.c, m.e, m.l FROM (SELECT b.o, s.hasta AS n, min({{'c': b.c + s.c, 'e': b.e + s.e, 'l': b.l + s.l}}) AS m FROM {name} b JOIN st_{name} s ON s.desde = b.n GROUP BY b.o, s.hasta) q "
-            f"LEFT JOIN recurring.{name} k USING (o, n) WHERE k.c IS NULL OR {{'c': m.c, 'e': m.e, 'l': m.l}} < {{'c': k.c, 'e': k.e, 'l': k.l}})")
-
-
 _ROUTES = f"WITH RECURSIVE {INC}, {SEG}, {FORECAST}, {_REQ}"
+_EXCESS = "greatest((riesgo - 0.66::DOUBLE) / 0.34::DOUBLE, 0.0::DOUBLE)"
+_SQL_COSTS = {"rapida": "largo", "exposicion": "largo * riesgo",
+              "foco": f"largo * (riesgo + {_EXCESS} * {_EXCESS} * 2.0::DOUBLE + CASE WHEN riesgo >= 0.66::DOUBLE THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END)",
+              **{f"beta_{b:03d}": f"largo * (1.0::DOUBLE + {b}.0::DOUBLE * riesgo)" for b in (1, 3, 5, 10, 20, 50, 100)}}
+_ZERO = "{'c': 0.0::DOUBLE, 'e': 0.0::DOUBLE, 'l': 0.0::DOUBLE, 'p': NULL::BIGINT, 't': NULL::VARCHAR}"
+_GROWN = "min({'c': b.m.c + s.c, 'e': b.m.e + s.riesgo * s.largo, 'l': b.m.l + s.largo, 'p': b.n, 't': s.tramo_id})"
+_FAST = f"""rut AS (SELECT origen || '>' || destino AS ruta, origen, destino FROM req),
+pv AS (SELECT ari.*, v, c FROM ari, LATERAL (VALUES {", ".join(f"('{k}', {c})" for k, c in _SQL_COSTS.items())}) x(v, c)),
+l0(o, n, m) USING KEY (o, n) AS (SELECT DISTINCT origen, origen, {_ZERO} FROM req UNION SELECT q.o, q.n, q.m FROM (
+ SELECT b.o, s.hasta AS n, {_GROWN} AS m FROM l0 b JOIN pv s ON s.v = 'rapida' AND s.desde = b.n GROUP BY b.o, s.hasta) q LEFT JOIN recurring.l0 k USING (o, n) WHERE k.m IS NULL OR q.m < k.m),
+tope AS (SELECT ruta, origen, destino, 1.5 * m.l + 1.0 AS tope FROM rut JOIN l0 ON o = origen AND n = destino),
+nod AS (SELECT u AS nodo FROM seg UNION SELECT v FROM seg),
+abre AS MATERIALIZED (SELECT ruta, nodo FROM tope, nod WHERE {haversine(lat('origen'), lon('origen'), lat('nodo'), lon('nodo'))} + {haversine(lat('nodo'), lon('nodo'), lat('destino'), lon('destino'))} <= tope)"""
+# Every other variant searches the nodes of the ellipse only; then the path is walked back from the destination.
+_LABELS = f"""{_FAST}, l1(ruta, v, n, m) USING KEY (ruta, v, n) AS (SELECT ruta, v, origen, {_ZERO} FROM rut, (SELECT DISTINCT v FROM pv WHERE v <> 'rapida') UNION SELECT q.ruta, q.v, q.n, q.m FROM (
+ SELECT b.ruta, b.v, s.hasta AS n, {_GROWN} AS m FROM l1 b JOIN pv s ON s.v = b.v AND s.desde = b.n JOIN abre a ON a.ruta = b.ruta AND a.nodo = s.hasta GROUP BY b.ruta, b.v, s.hasta) q
+ LEFT JOIN recurring.l1 k USING (ruta, v, n) WHERE k.m IS NULL OR q.m < k.m),
+lab AS MATERIALIZED (SELECT ruta, 'rapida' AS v, n, m FROM rut JOIN l0 ON o = origen UNION ALL SELECT ruta, v, n, m FROM l1),
+fin AS (SELECT ruta, v AS variante, m.c AS costo, m.e AS expo, m.l AS largo FROM lab JOIN rut USING (ruta) WHERE n = destino)"""
+_WALK = f"""{_LABELS}, camino(ruta, v, n, atras) AS (SELECT ruta, v, n, 0 FROM lab JOIN rut USING (ruta) WHERE n = destino UNION ALL SELECT ruta, v, m.p, atras + 1 FROM camino JOIN lab USING (ruta, v, n) WHERE m.p IS NOT NULL),
+paso AS MATERIALIZED (SELECT ruta, v AS variante, atras, m.t AS tramo_id, round(longitud_m, 2) AS d, round(riesgo_score, 6) AS r, u, pron.v AS w FROM camino JOIN lab USING (ruta, v, n) JOIN pron ON pron.tramo_id = m.t WHERE m.p IS NOT NULL),
+tot AS (SELECT ruta, variante, round(sum(d) / 1000, 3) AS distancia_km, round(sum(d) / (25000 / 60.0::DOUBLE), 1) AS tiempo_min, round(sum(r::DECIMAL(9,6) * d::DECIMAL(18,2))::DOUBLE / 1000, 6) AS riesgo_total, round(sum(r::DECIMAL(9,6) * d::DECIMAL(18,2))::DOUBLE / sum(d), 6) AS riesgo_promedio,
+ round(coalesce(sum(d) FILTER (r >= 0.66), 0), 2) AS metros_alto, string_agg(tramo_id, '>' ORDER BY atras DESC) AS firma FROM paso GROUP BY ruta, variante)"""
+_SAVED = "CASE WHEN {a} <= 1e-12 THEN 0.0 ELSE round(greatest(({a} - {b}) / {a} * 100, 0.0), 2) END"
+
+
+def _shared_sql(other: str) -> str:
+    return (f"comun AS (SELECT a.ruta, count(*) AS tramos_compartidos, round(sum(a.d), 2) AS metros_compartidos FROM paso a WHERE a.variante = 'rapida' AND "
+            f"EXISTS (SELECT 1 FROM paso b WHERE b.ruta = a.ruta AND b.variante = '{other}' AND b.tramo_id = a.tramo_id) GROUP BY a.ruta)")
 
 
 @query("G08_shortest_paths", "ruta:s costo:d3 expo:d3 largo:d3", f"""
-{_ROUTES}, {_best('largo', 'bl')} SELECT origen || '>' || destino AS ruta, c AS costo, e AS expo, l AS largo FROM req JOIN bl ON bl.o = req.origen AND bl.n = req.destino""")
+{_ROUTES}, {_FAST} SELECT ruta, m.c AS costo, m.e AS expo, m.l AS largo FROM rut JOIN l0 ON o = origen AND n = destino""")
 def _(t):
     return _paths(t).filter("variante = 'rapida'")
 
 
-@query("G09_cost_variants", "ruta:s variante:s costo:d3", f"""
-{_ROUTES}, {_best('largo * riesgo', 'be')}, {_best('largo * (1 + 10.0 * riesgo)', 'b10')}, {_best('largo * (1 + 100.0 * riesgo)', 'b100')},
-r AS (SELECT o, n, c, 'exposicion' AS v FROM be UNION ALL SELECT o, n, c, 'beta_010' FROM b10 UNION ALL SELECT o, n, c, 'beta_100' FROM b100)
-SELECT origen || '>' || destino AS ruta, v AS variante, c AS costo FROM req JOIN r ON r.o = req.origen AND r.n = req.destino""")
+@query("G09_cost_variants", "ruta:s variante:s costo:d3", f"{_ROUTES}, {_LABELS} SELECT ruta, variante, costo FROM fin")
 def _(t):
-    return _paths(t).filter("variante IN ('exposicion', 'beta_010', 'beta_100')")
+    return _paths(t)
 
 
 def _node_xy(t):
     return spatial.with_xy(t.nodes(), lon="lon", lat="lat")
 
 
-@query("G07_candidate_nodes", "ruta:s nodos:l suma:l", f"""
-{_ROUTES}, {_best('largo', 'bl')}, nod AS (SELECT u AS nodo FROM seg UNION SELECT v FROM seg), b AS (SELECT origen, destino, 1.5 * l + 1.0 AS tope FROM req JOIN bl ON bl.o = req.origen AND bl.n = req.destino)
-SELECT origen || '>' || destino AS ruta, count(*) AS nodos, sum(nodo) AS suma FROM b, nod WHERE {haversine(lat('origen'), lon('origen'), lat('nodo'), lon('nodo'))} + {haversine(lat('nodo'), lon('nodo'), lat('destino'), lon('destino'))} <= tope GROUP BY origen, destino""")
+@query("G07_candidate_nodes", "ruta:s nodos:l suma:l", f"{_ROUTES}, {_FAST} SELECT ruta, count(*) AS nodos, sum(nodo) AS suma FROM abre GROUP BY ruta")
 def _(t):
     found = _candidates(t)
     return found.groupBy("ruta").agg(F.count(F.lit(1)).alias("nodos"), F.sum("nodo").alias("suma"))
@@ -171,10 +187,9 @@ def _totals(t):
 
 
 @query("A23_route_totals", "ruta:s variante:s distancia_km:d tiempo_min:d riesgo_total:d riesgo_promedio:d", f"""
-{_ROUTES}, {_best('largo', 'bl')}, {_best('largo * (1 + 10.0 * riesgo)', 'b10')}, r AS (SELECT *, 'rapida' AS v FROM bl UNION ALL SELECT *, 'beta_010' FROM b10)
-SELECT origen || '>' || destino AS ruta, v AS variante, round(l / 1000, 3) AS distancia_km, round(l / (25000 / 60.0::DOUBLE), 1) AS tiempo_min, round(e / 1000, 6) AS riesgo_total, round(e / l, 6) AS riesgo_promedio FROM req JOIN r ON r.o = req.origen AND r.n = req.destino""")
+{_ROUTES}, {_WALK} SELECT ruta, variante, distancia_km, tiempo_min, riesgo_total, riesgo_promedio FROM tot""")
 def _(t):
-    return _totals(t).filter("variante IN ('rapida', 'beta_010')")
+    return _totals(t)
 
 
 def _candidate_table(t):
@@ -182,13 +197,23 @@ def _candidate_table(t):
     return _totals(t).join(sig, list(_KEYS)).withColumn("rojo_ev", F.col("rojo_m")).withColumn("naranja_ev", F.col("naranja_m"))
 
 
-@query("G11_route_choice", "ruta:s variante:s distancia_km:d riesgo_total:d reduccion:d mismo_recorrido_final:l rechazo_desvio_excesivo:l rechazo_mismo_recorrido:l rechazo_mejora_insuficiente:l")
+@query("G11_route_choice", "ruta:s variante:s distancia_km:d riesgo_total:d reduccion:d mismo_recorrido_final:l rechazo_desvio_excesivo:l rechazo_mismo_recorrido:l rechazo_mejora_insuficiente:l", f"""
+{_ROUTES}, {_WALK}, base AS (SELECT ruta, distancia_km AS bk, riesgo_total AS br, firma AS bf FROM tot WHERE variante = 'rapida'),
+c AS (SELECT tot.*, bk, br, bf, {_SAVED.format(a='br', b='riesgo_total')} AS reduccion FROM tot JOIN base USING (ruta) WHERE variante <> 'rapida'),
+j AS (SELECT *, CASE WHEN distancia_km > bk * 1.5 + 1e-9 THEN 'desvio' WHEN firma = bf THEN 'mismo' WHEN reduccion < 0.5 THEN 'poco' END AS motivo FROM c),
+mejor AS (SELECT * FROM j WHERE motivo IS NULL QUALIFY row_number() OVER (PARTITION BY ruta ORDER BY metros_alto, -reduccion, distancia_km, variante) = 1),
+cuenta AS (SELECT ruta, count(*) FILTER (motivo = 'desvio') AS x, count(*) FILTER (motivo = 'mismo') AS y, count(*) FILTER (motivo = 'poco') AS z FROM j GROUP BY ruta)
+SELECT base.ruta, coalesce(variante, 'recorrido_base') AS variante, coalesce(distancia_km, base.bk) AS distancia_km, coalesce(riesgo_total, base.br) AS riesgo_total, coalesce(reduccion, 0.0) AS reduccion,
+ (variante IS NULL)::INTEGER AS mismo_recorrido_final, coalesce(x, 0) AS rechazo_desvio_excesivo, coalesce(y, 0) AS rechazo_mismo_recorrido, coalesce(z, 0) AS rechazo_mejora_insuficiente
+ FROM base LEFT JOIN mejor USING (ruta) LEFT JOIN cuenta USING (ruta)""")
 def _(t):
     rows = _candidate_table(t)
     return net.choose_route(rows.filter("variante <> 'rapida'"), rows.filter("variante = 'rapida'"), with_field=False)
 
 
-@query("G12_risk_reduction", "ruta:s reduccion:d compartidos:l metros:d")
+@query("G12_risk_reduction", "ruta:s reduccion:d compartidos:l metros:d", f"""
+{_ROUTES}, {_WALK}, {_shared_sql('beta_010')} SELECT a.ruta, {_SAVED.format(a='a.riesgo_total', b='b.riesgo_total')} AS reduccion, coalesce(tramos_compartidos, 0) AS compartidos, coalesce(metros_compartidos, 0) AS metros
+ FROM tot a JOIN tot b ON a.ruta = b.ruta AND a.variante = 'rapida' AND b.variante = 'beta_010' LEFT JOIN comun ON comun.ruta = a.ruta""")
 def _(t):
     totals, paths = _totals(t), _paths(t)
     fast = totals.filter("variante = 'rapida'").select("ruta", F.col("riesgo_total").alias("a"))
@@ -198,13 +223,13 @@ def _(t):
     return joined.select("ruta", risk.risk_reduction(F.col("a"), F.col("b")).alias("reduccion"), F.coalesce("tramos_compartidos", F.lit(0)).alias("compartidos"), F.coalesce("metros_compartidos", F.lit(0.0)).alias("metros"))
 
 
-@query("U03_shared_segments", "ruta:s tramos_compartidos:l metros_compartidos:d")
+@query("U03_shared_segments", "ruta:s tramos_compartidos:l metros_compartidos:d", f"{_ROUTES}, {_WALK}, {_shared_sql('exposicion')} SELECT ruta, tramos_compartidos, metros_compartidos FROM comun")
 def _(t):
     paths = _paths(t)
     return net.shared_metres(paths.filter("variante = 'rapida'"), paths.filter("variante = 'exposicion'"), _edges(t))
 
 
-@query("U05_distinct_routes", "ruta:s distintas:l")
+@query("U05_distinct_routes", "ruta:s distintas:l", f"{_ROUTES}, {_WALK} SELECT ruta, count(DISTINCT firma) AS distintas FROM tot GROUP BY ruta")
 def _(t):
     return net.distinct_routes(_paths(t)).groupBy("ruta").agg(F.count(F.lit(1)).alias("distintas"))
 
@@ -240,7 +265,13 @@ def _(t):
     return net.ladder_policy(paths)
 
 
-@query("G14_trip_results", "od:l ruta:s variante:s distancia_km:d delta_km:d delta_min:d cambio_exposicion:d cortes:l")
+@query("G14_trip_results", "od:l ruta:s variante:s distancia_km:d delta_km:d delta_min:d cambio_exposicion:d cortes:l", f"""
+{_ROUTES}, {_WALK}, k AS (SELECT ruta, variante, u, w, lag(u) OVER q AS pu, lag(w) OVER q AS pw FROM paso WINDOW q AS (PARTITION BY ruta, variante ORDER BY atras DESC)),
+corte AS (SELECT ruta, variante, count(*) FILTER (pu IS NOT NULL AND u <> pu AND u <> pw AND w <> pu AND w <> pw) AS cortes FROM k GROUP BY ruta, variante),
+viaje AS (SELECT c_custkey AS od, (c_custkey % n) || '>' || ((c_custkey * 17 + 5) % n) AS ruta FROM customer, (SELECT count(*) AS n FROM supplier))
+SELECT od, a.ruta, a.variante, a.distancia_km, round(a.distancia_km - b.distancia_km, 3) AS delta_km, round(a.tiempo_min - b.tiempo_min, 1) AS delta_min,
+ round(CASE WHEN b.riesgo_total > 0 THEN (a.riesgo_total - b.riesgo_total) / b.riesgo_total ELSE 0.0 END * 100, 4) AS cambio_exposicion, cortes
+ FROM viaje JOIN tot a USING (ruta) JOIN tot b ON b.ruta = a.ruta AND b.variante = 'rapida' JOIN corte ON corte.ruta = a.ruta AND corte.variante = a.variante WHERE a.variante IN ('beta_010', 'exposicion')""")
 def _(t):
     totals, paths = _totals(t), _paths(t)
     breaks = net.continuity_breaks(paths, _edges(t), _KEYS)
@@ -251,7 +282,10 @@ def _(t):
     return t.trips().withColumn("ruta", F.concat_ws(">", "origen", "destino")).join(rows, "ruta").select("od", *rows.columns)
 
 
-@query("A29_incidents_around_route", "ruta:s delitos:l")
+@query("A29_incidents_around_route", "ruta:s delitos:l", f"""
+{_ROUTES}, {_WALK}, caja AS (SELECT ruta, min(least(lat_u, lat_c, lat_v)) - 0.002::DOUBLE AS s, max(greatest(lat_u, lat_c, lat_v)) + 0.002::DOUBLE AS n, min(least(lon_u, lon_c, lon_v)) - 0.002::DOUBLE AS o, max(greatest(lon_u, lon_c, lon_v)) + 0.002::DOUBLE AS e
+ FROM paso JOIN seg USING (tramo_id) WHERE variante = 'rapida' GROUP BY ruta)
+SELECT ruta, count(fila) AS delitos FROM caja LEFT JOIN inc ON geo AND inc.latitud BETWEEN s AND n AND inc.longitud BETWEEN o AND e GROUP BY ruta""")
 def _(t):
     steps = net.explode_route(_paths(t).filter("variante = 'rapida'").select("ruta", "tramos")).join(t.segments().select("tramo_id", "puntos"), "tramo_id")
     box = steps.select("ruta", F.explode("puntos").alias("p")).groupBy("ruta").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,15 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the stored rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table beside the checkpoints and continue from it.
+
+    A checkpoint keeps the constraints of the plan behind it; in loops that join
+    a table with itself they double each round and planning takes over. A
+    written table has none.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
