@@ -76,12 +76,37 @@ def test_oracle_agrees_on_the_small_tables(spark, name):
     assert got and got == sorted(tuple(map(str, r)) for r in con.execute(entry.oracle_sql()[name]).fetchall())
 
 
-def test_model_queries_use_the_published_settings(spark):
-    import inspect
-
+def test_model_queries_use_the_published_settings():
     from tramorisk.operators import models
     from tramorisk.plans import catalog_models as cm
 
     assert {cm._RF, cm._RF_WINDOWS, cm._RF_MONTHLY} <= set(models.FOREST_SPECS) and {cm._GBT, cm._GBT_MONTHLY, cm._HURDLE, cm._ORDINAL} <= set(models.BOOSTED_SPECS)
-    assert cm._SPLIT.train[0] == 3 and len(cm.window_candidates()) == 16 and len(cm._SPANS) == 5
-    assert not any(small in inspect.getsource(cm) for small in ("capped(60)", "rows=6_000", "minimum=60", "2_000, 20_000"))
+    assert cm._SPLIT.train[0] == 3 and list(cm._SPANS.values()) == [3, 6, 12, 24, None]
+
+
+def test_a_leak_is_seen_in_every_month(spark):
+    from pyspark.sql import Window as W, functions as F
+
+    from tramorisk.plans import jobs
+
+    cube = spark.range(5).select(F.concat(F.lit("t#"), "id").alias("tramo_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("mes_idx"), F.lit(0).alias("turno_idx")).withColumn("n", F.col("mes_idx") + 1)
+    order = W.partitionBy("tramo_id").orderBy("mes_idx")
+    clean = lambda df: df.select("tramo_id", "mes_idx", "turno_idx", F.col("n").alias("riesgo"), F.lag("n").over(order).alias("a"))
+    leaky = lambda df: df.select("tramo_id", "mes_idx", "turno_idx", F.lag("n").over(order).alias("a"), F.lead("n", 2).over(order).alias("b"))
+    count = lambda build: {r["mes_idx"]: (r["filas"], r["cambiadas"]) for r in jobs.changed_by_future(cube, build, ["n"], 6).collect()}
+    assert count(clean) == {m: (5, 0) for m in range(6)}
+    assert count(leaky) == {m: (5, 5 if m < 4 else 0) for m in range(6)}
+
+
+def test_dense_panel_moves_nothing_above_the_explode(spark):
+    from tramorisk.operators import windows
+    from tramorisk.plans.registry import Tables
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = windows.shift_history(Tables(spark, SF).dense_cube())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    assert not [x for x in lines[:next(i for i, x in enumerate(lines) if "Generate explode" in x)] if "Exchange" in x]

@@ -51,16 +51,20 @@ def dense(sparse: DataFrame, segments: DataFrame, calendar: Calendar, shifts: bo
           keep: Sequence[str] = ("longitud_m",), measures: Sequence[str] | None = None) -> DataFrame:
     """Every segment x month (x shift) cell, zero where nothing happened.
 
-    Months and shifts are generated from each segment row, so no product join
-    is planned; the result keeps the segments' key for one join.
+    ``sparse`` has at most one row for each cell. The cells of a segment travel
+    as one row (months x shifts entries at most), meet the segment in one join by
+    its key and are laid out inside the row, so nothing above the explode moves.
     """
     keys = ["tramo_id", "mes_idx"] + (["turno_idx"] if shifts else [])
     measures = list(measures or [c for c in sparse.columns if c not in keys])
-    grid = segments.select("tramo_id", *keep, F.explode(F.sequence(F.lit(0), F.lit(calendar.size - 1))).alias("mes_idx"))
-    if shifts:
-        grid = grid.withColumn("turno_idx", F.explode(F.sequence(F.lit(0), F.lit(len(SHIFTS) - 1))))
-    filled = grid.join(sparse.select(*keys, *measures), keys, "left")
-    return filled.fillna(0, measures)
+    each = len(SHIFTS) if shifts else 1
+    place = F.col("mes_idx").cast("int") * each + (F.col("turno_idx").cast("int") if shifts else F.lit(0))
+    inside = sparse.filter(F.col("mes_idx").between(0, calendar.size - 1) & (F.col("turno_idx").between(0, each - 1) if shifts else F.lit(True)))
+    packed = inside.groupBy("tramo_id").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("i"), F.struct(*measures).alias("v")))).alias("_celdas"))
+    rows = segments.select("tramo_id", *keep).repartition("tramo_id").join(packed, "tramo_id", "left")
+    grid = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(calendar.size * each - 1)))).withColumn("_v", F.try_element_at("_celdas", F.col("_i")))
+    where = [F.floor(F.col("_i") / each).cast("int").alias("mes_idx")] + ([(F.col("_i") % each).alias("turno_idx")] if shifts else [])
+    return grid.select("tramo_id", *keep, *where, *[F.col("_v")[m].alias(m) for m in measures]).fillna(0, measures)
 
 
 def coverage(incidents: DataFrame, located: str = "geo") -> DataFrame:

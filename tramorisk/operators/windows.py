@@ -181,24 +181,35 @@ def month_activity(panel: DataFrame, high_from: float, lags: Sequence[int] = (1,
                          *[F.lag("_alt", k).over(order).alias(f"altos_global_lag{k}") for k in lags])
 
 
+def _around(features: DataFrame, neighbors: DataFrame, columns: Sequence[str], keys: Sequence[str], carried: str) -> DataFrame:
+    """Rows of all neighbours beside each segment: ``tramo_id``, ``carried``, keys and columns, clustered by segment.
+
+    A segment's months travel as one row, once to its neighbours and once to the
+    segment that asks, and are unpacked only there; the sums above need no
+    further shuffle.
+    """
+    packed = features.select("tramo_id", *keys, *columns).groupBy(F.col("tramo_id").alias("vecino_id")).agg(F.collect_list(F.struct(*keys, *columns)).alias("_m"))
+    pairs = neighbors.select("tramo_id", "vecino_id", carried).join(packed, "vecino_id").repartition("tramo_id")
+    return pairs.select("tramo_id", carried, F.explode("_m").alias("_v")).select("tramo_id", carried, "_v.*")
+
+
 def neighbor_means(features: DataFrame, neighbors: DataFrame, columns: dict[str, str], ranks: Sequence[int],
                    keys: Sequence[str] = ("mes_idx",)) -> DataFrame:
     """Mean of neighbours' values over the nearest ``ranks``.
 
     ``columns`` maps an output stem to an input column of ``features``.
     """
-    values = features.select(F.col("tramo_id").alias("vecino_id"), *keys, *set(columns.values()))
-    pairs = neighbors.filter(F.col("puesto") <= max(ranks)).join(values, "vecino_id")
+    near = neighbors.filter(F.col("puesto") <= max(ranks))
+    rows = _around(features, near, sorted(set(columns.values())), keys, "puesto")
     aggs = [F.avg(F.when(F.col("puesto") <= k, F.col(c))).alias(f"vecinos{k}_{stem}")
             for k in ranks for stem, c in columns.items()]
-    return pairs.groupBy("tramo_id", *keys).agg(*aggs)
+    return rows.groupBy("tramo_id", *keys).agg(*aggs)
 
 
 def neighbor_sums(features: DataFrame, neighbors: DataFrame, columns: Sequence[str],
                   keys: Sequence[str] = ("mes_idx", "turno_idx")) -> DataFrame:
     """Distance-weighted sums of neighbours' history columns."""
-    values = features.select(F.col("tramo_id").alias("vecino_id"), *keys, *columns)
-    return neighbors.join(values, "vecino_id").groupBy("tramo_id", *keys).agg(
+    return _around(features, neighbors, columns, keys, "w").groupBy("tramo_id", *keys).agg(
         *[F.sum(F.col("w") * F.col(c)).alias(f"vecinos_{c}") for c in columns])
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tramorisk.functions import risk
 from tramorisk.functions.calendar import shift_of_hour
 from tramorisk.operators import ordered, panel, sampling, surface, windows
+from tramorisk.plans import jobs
 from tramorisk.plans.oracle import (COVER, CUBE, DENSE, DENSE_MONTHS, FORECAST, INC, KX, KY, MEASURES, MONTHLY, PROBA, SEG, level)
 from tramorisk.plans.registry import query
 
@@ -215,14 +216,9 @@ def _(t):
     return eligible.groupBy("particion").agg(F.count(F.lit(1)).alias("meses"), F.min("mes_idx").alias("primero"), F.max("mes_idx").alias("ultimo"))
 
 
-@query("E04_causality", "mes_idx:l cambiadas:l", f"WITH {INC} SELECT 40 AS mes_idx, 0 AS cambiadas FROM inc0 LIMIT 1")
+@query("E04_causality", "mes_idx:l filas:l cambiadas:l", f"WITH {INC}, {SEG} SELECT m AS mes_idx, (SELECT count(*) * 4 FROM seg) AS filas, 0 AS cambiadas FROM range(84) x(m)")
 def _(t):
-    cube, cut = t.dense_cube(), 40
-    future = cube.withColumn("n", F.when(F.col("mes_idx") >= cut, F.col("n") + 9).otherwise(F.col("n"))).withColumn(
-        "peso", F.when(F.col("mes_idx") >= cut, F.col("peso") * 3 + 1).otherwise(F.col("peso")))
-    build = lambda c: windows.observed_windows(c, t.months()).filter(F.col("mes_idx") == cut).drop("riesgo")
-    changed = build(cube).exceptAll(build(future))
-    return changed.agg(F.lit(cut).alias("mes_idx"), F.count(F.lit(1)).alias("cambiadas"))
+    return jobs.changed_by_future(t.dense_cube(), lambda cube: windows.observed_windows(cube, t.months()), ["n", "peso", "grave", "robo", "hurto", "extorsion", "homicidio"], t.calendar.size)
 
 
 @query("E05_rolling_origins", "origen:l ventana:s filas:l delitos:l", f"""
@@ -325,9 +321,9 @@ f AS (SELECT y, pow((SELECT sum(n) FROM z) / (3.0::DOUBLE * nc), {bal}) AS f FRO
 k AS (SELECT *, nz / least(nz, l)::DOUBLE * f AS w FROM r, lim WHERE rn <= l)"""
 
 
-@query("T08_class_month_sample", "tramo_id:s mes_idx:l turno_idx:l y:l peso:d", f"WITH {INC}, {SEG}, {_LABELS.replace('FROM denso)', 'FROM denso WHERE mes_idx BETWEEN 40 AND 51)')}, {_CM.format(cap=60, rows=1800, bal=0.5)} SELECT tramo_id, mes_idx, turno_idx, y, w / avg(w) OVER () AS peso FROM k")
+@query("T08_class_month_sample", "tramo_id:s mes_idx:l turno_idx:l y:l peso:d", f"WITH {INC}, {SEG}, {_LABELS}, {_CM.format(cap=60, rows=1800, bal=0.5)} SELECT tramo_id, mes_idx, turno_idx, y, w / avg(w) OVER () AS peso FROM k")
 def _(t):
-    return sampling.class_month_sample(_labelled(t).filter(F.col("mes_idx").between(40, 51)).drop("peso"), [F.col("tramo_id"), F.col("turno_idx")], cap=60, max_rows=1800, balance=0.5)
+    return sampling.class_month_sample(_labelled(t).drop("peso"), [F.col("tramo_id"), F.col("turno_idx")], cap=60, max_rows=1800, balance=0.5)
 
 
 @query("T09_class_month_caps", "mes_idx:l y:l n:l", f"WITH {INC}, {SEG}, {_LABELS} SELECT mes_idx, y, least(count(*), 120) AS n FROM et GROUP BY mes_idx, y")

@@ -172,15 +172,20 @@ def refit_and_forecast(rows: DataFrame, features: Sequence[str], spec: models.Mo
     return scored
 
 
-def retrain_monthly(rows: DataFrame, features: Sequence[str], spec: models.ModelSpec, origins: Sequence[int], spans: dict[str, int | None],
-                    sampler: Sampler) -> DataFrame:
-    """Metrics of a refit per origin and window, each scored on its own month."""
-    out = []
-    for origin in origins:
-        for name, size in spans.items():
-            first = max(3, origin - size) if size else 3
-            train = settle(sampler(months(rows, (first, origin - 1))))
-            scored = models.fit(spec, train, features, weight="peso_muestra").score(rows.filter(F.col("mes_idx") == origin))
-            scored = settle(scored.select("tramo_id", "mes_idx", "y", "p0", "p1", "p2"))
-            out.append(arm_metrics(name, scored, by_argmax()).withColumn("origen", F.lit(origin)))
-    return settle(union_all(out))
+def changed_by_future(cube: DataFrame, build: Callable[[DataFrame], DataFrame], measures: Sequence[str], months: int, target: str = "riesgo") -> DataFrame:
+    """For every month the rows whose features change if that month and all later ones are altered; one pass over all cuts.
+
+    Each segment is repeated once for every cut, with every measure altered from
+    the cut on, and the features of the cut's own month are compared with
+    the unaltered ones. ``target`` is the one column that may change.
+    """
+    keys = ["tramo_id", "mes_idx", "turno_idx"]
+    digest = lambda df: df.select(*keys, F.xxhash64(*[c for c in df.columns if c not in (*keys, target)]).alias("_h"))
+    late = F.col("mes_idx") >= F.col("_corte")
+    names = [m for m in measures if m in cube.columns]
+    altered = cube.withColumn("_corte", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))).select(
+        F.concat_ws("#", "tramo_id", "_corte").alias("tramo_id"), *[F.when(late, F.col(c) * 3 + 7).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in cube.columns if c != "tramo_id"])
+    parts = F.split("tramo_id", "#")
+    at_cut = build(altered).filter(F.col("mes_idx") == F.element_at(parts, -1).cast("int")).withColumn("tramo_id", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "#"))
+    both = digest(build(cube)).join(digest(at_cut).withColumnRenamed("_h", "_g"), keys, "left")
+    return both.groupBy("mes_idx").agg(F.count(F.lit(1)).alias("filas"), F.count(F.when(~F.col("_h").eqNullSafe(F.col("_g")), 1)).alias("cambiadas"))
