@@ -2,6 +2,7 @@ import heapq
 import itertools
 import math
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,16 @@ def test_variants_stay_inside_the_detour_ellipse(spark):
     cost = {"rapida": F.col("largo"), "exposicion": F.col("largo") * F.col("riesgo")}
     got = {r["variante"]: r["tramos"] for r in net.route_variants(req, net.directed_edges(seg).join(at, "hasta"), cost, "rapida").collect()}
     assert got == {"rapida": ["recto"], "exposicion": ["cerca", "llega"]}
+
+
+def test_neighbours_in_one_crowded_cell(spark):
+    """Many places within a metre of each other and many points on one spot: ranks equal a plain search."""
+    rng = random.Random(11)
+    at = [(f"p{i:05d}", rng.random(), rng.random()) for i in range(3000)] + [(f"q{i:05d}", 0.5, 0.5) for i in range(500)] + [("lejos", 4000.0, 0.0)]
+    got = defaultdict(list)
+    for r in spatial.nearest_neighbors(spark.createDataFrame(at, "tramo_id string, x double, y double"), 4).collect():
+        got[r["tramo_id"]].append((r["puesto"], r["vecino_id"]))
+    for name, x, y in [at[0], at[1999], at[3100], at[-1]]:
+        near = sorted((math.hypot(x - a, y - b), n) for n, a, b in at if n != name)[:4]
+        assert [n for _, n in sorted(got[name])] == [n for _, n in near]
+    assert len(got) == len(at)

@@ -140,7 +140,9 @@ def nearest_neighbors(points: DataFrame, k: int, max_m: float | None = None, sta
     pending, done = places.select("x", "y"), None
     while True:
         radius = min(radius, limit)
-        near = near_points(pending, offered, radius)
+        # Every place offers a member at least, so the nearest k + 1 places hold the nearest k + 1 members; the literal limit is pushed below the shuffle.
+        ring = W.partitionBy("x", "y").orderBy("dist_m", F.get("_ids", F.lit(0)))
+        near = near_points(pending, offered, radius).withColumn("_rn", F.row_number().over(ring)).filter(F.col("_rn") <= k + 1)
         reached = near.groupBy("x", "y").agg(
             F.sum(F.size("_ids")).alias("_n"),
             F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("_ids", lambda i: F.struct(F.col("dist_m").alias("d"), i.alias("v")))))), 1, k + 1).alias("_v"))
