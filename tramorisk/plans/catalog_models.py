@@ -236,8 +236,7 @@ def _distances(t):
 @query("X04_network_density_ablation", _STAGED)
 def _(t):
     boosted = replace(_GBT, trees=360, depth=4)
-    plans = [(f"{kind}_{group}", group, spec) for group in ("multi_base", "multi_nkde_100m", "multi_nkde_250m", "multi_nkde_500m", "multi_nkde_all")
-             for kind, spec in (("xgb", boosted), ("rf", _RF_WINDOWS))]
+    plans = [(f"xgb_{group}", group, boosted) for group in ("multi_base", "multi_nkde_100m", "multi_nkde_250m", "multi_nkde_500m", "multi_nkde_all")]
     store = ex.Store(t, "X04", (plans, _SPLIT.train, _LOOK, "semivida 24"))
 
     def build():
@@ -350,18 +349,32 @@ def _(t):
 
 @query("X10_lighting_ablation", "nombre:s delta_accuracy:d delta_f1_medio_alto:d")
 def _(t):
-    light = spatial.light_exposure_by_month(cs._mid(t), cs._lights(t), "1995-01", t.calendar.size).withColumn("luz_30m", F.col("luz_30m").cast("double"))
-    rows = t.once("rasgos_luz", lambda: spatial.night_lighting(light, _shift_rows(t)))
-    extra = [c for n in ("luz_log50", "luz_log100", "luz_log_dist", "luz_30m") for c in (n, f"{n}_noche")]
-    arms = [jobs.run_arm("sin_alumbrado", rows, _G["legacy"], _RF, _SPLIT, jobs.capped()), jobs.run_arm("con_alumbrado", rows, _G["legacy"] + extra, _RF, _SPLIT, jobs.capped())]
-    return ev.metric_deltas(jobs.compare_arms(arms), "nombre", "sin_alumbrado", ["accuracy", "f1_medio_alto"])
+    # Without lights, with the lights that stand today, with those in service that month, and with these counted for the night shifts alone.
+    near = ("luz_log50", "luz_log100", "luz_log_dist", "luz_30m")
+    plans = {"sin_alumbrado": [], "estatico": [f"{n}_hoy" for n in near], "fechado": list(near), "por_turno": [*near, *[f"{n}_noche" for n in near]]}
+    store = ex.Store(t, "X10", (plans, _RF, _SPLIT))
+
+    def build():
+        month = spatial.light_exposure_by_month(cs._mid(t), cs._lights(t), "1995-01", t.calendar.size).withColumn("luz_30m", F.col("luz_30m").cast("double"))
+        today = spatial.light_exposure(cs._mid(t), cs._lights(t)).select("tramo_id", *[F.col(n).cast("double").alias(f"{n}_hoy") for n in near])
+        return spatial.night_lighting(month, _shift_rows(t)).join(today, "tramo_id", "left")
+
+    rows = store.once("rasgos", build)
+    store.run([ex.Candidate(n, rows, _G["legacy"] + extra, _RF, jobs.capped(), "capped", _SPLIT.train, {"prueba": _SPLIT.test}) for n, extra in plans.items()])
+    table = ex.metric_table(store.scores(plans), ex.by_argmax()).withColumnRenamed("ajuste", "nombre")
+    return ev.metric_deltas(jobs.settle(table), "nombre", "sin_alumbrado", ["accuracy", "f1_medio_alto"])
 
 
 @query("X11_association_ladder", _ROWS)
 def _(t):
-    snap = _legacy_rows(t.dense_months(), HIGH_FROM_BUFFER)
-    near = _legacy_rows(_buffer_dense(t, 150.0), HIGH_FROM_BUFFER)
-    return jobs.compare_arms([jobs.run_arm(n, r, _G["mensual_legacy"], _RF_MONTHLY, _SPLIT, jobs.per_class_month()) for n, r in (("asignacion", snap), ("buffer_150", near))])
+    # Nearest segment against buffers of growing radius, then one to five years of training on the 150 m panel.
+    years = {f"anios_{n}": (max(_FIRST, _SPLIT.train[1] + 1 - 12 * n), _SPLIT.train[1]) for n in (1, 2, 3, 5)}
+    store = ex.Store(t, "X11", (_RF_MONTHLY, years, _SPLIT))
+    panels = {"asignacion": lambda: _legacy_rows(t.dense_months(), HIGH_FROM_BUFFER), **{f"buffer_{r}": lambda r=r: _legacy_rows(_buffer_dense(t, float(r)), HIGH_FROM_BUFFER) for r in (100, 150, 200, 300)}}
+    rows = {n: store.once(f"rasgos_{n}", build) for n, build in panels.items()}
+    fits = {**{n: (n, _SPLIT.train) for n in panels}, **{n: ("buffer_150", span) for n, span in years.items()}}
+    store.run([ex.Candidate(n, rows[p], _G["mensual_legacy"], _RF_MONTHLY, jobs.per_class_month(), "por clase y mes", span, {"prueba": _SPLIT.test}) for n, (p, span) in fits.items()])
+    return ex.metric_table(store.scores(fits), ex.by_argmax()).withColumnRenamed("ajuste", "nombre")
 
 
 @query("X12_network_kernel_arms", _ROWS)
@@ -378,12 +391,48 @@ def _(t):
 
 @query("X13_original_places", _ROWS)
 def _(t):
-    rows = _legacy_rows(_buffer_dense(t, 200.0, 100.0), HIGH_FROM_BUFFER)
-    return jobs.compare_arms([jobs.run_arm(s.name, rows, _G["mensual_legacy"], s, _SPLIT, jobs.per_class_month()) for s in (_RF_MONTHLY, _GBT_MONTHLY)])
+    recent = (_SPLIT.train[1] - 32, _SPLIT.train[1])
+    families = {"bosque": _RF_MONTHLY, "impulso": _GBT_MONTHLY}
+    store = ex.Store(t, "X13", (families, recent, _SPLIT))
+    rows = {r: store.once(f"rasgos_{r}", lambda r=r: _legacy_rows(_buffer_dense(t, float(r), 100.0), HIGH_FROM_BUFFER)) for r in (200, 300)}
+    fits = {f"{f}_{r}{end}": (s, r, span) for f, s in families.items() for r, end, span in ((200, "", _SPLIT.train), (300, "", _SPLIT.train), (300, "_reciente", recent))}
+    store.run([ex.Candidate(n, rows[r], _G["mensual_legacy"], s, jobs.per_class_month(), "por clase y mes", span, {"prueba": _SPLIT.test}) for n, (s, r, span) in fits.items()])
+    return ex.metric_table(store.scores(fits), ex.by_argmax()).withColumnRenamed("ajuste", "nombre")
+
+
+def tuning_grid():
+    """Settings and strength of the class weights of the six published configurations."""
+    forest = lambda name, trees, depth, leaf: models.ModelSpec(name, "bosque", trees=trees, depth=depth, min_rows=leaf)
+    boosted = lambda name, trees, depth, step, leaf=1: models.ModelSpec(name, "impulso", trees=trees, depth=depth, step=step, min_rows=leaf)
+    return {"rf_base": (forest("rf_base", 160, 14, 2), 1.0), "rf_deep": (forest("rf_deep", 220, 18, 2), 1.0), "rf_regularized": (forest("rf_regularized", 220, 12, 5), 1.0),
+            "xgb_base": (boosted("xgb_base", 260, 6, 0.06), 1.0), "xgb_regularized": (boosted("xgb_regularized", 420, 5, 0.04, 3), 0.85), "xgb_shallow": (boosted("xgb_shallow", 520, 4, 0.035, 2), 0.75)}
 
 
-@query("X14_external_evaluation", _ROWS)
+@query("X14_external_evaluation", "nombre:s etapa:s regla:s corte_medio:d corte_alto:d n:l accuracy:d f1_macro:d f1_medio_alto:d recall_alto:d puntaje:d")
 def _(t):
-    rows = _legacy_rows(_buffer_dense(t, 150.0), HIGH_FROM_BUFFER)
-    arm = jobs.run_arm(_RF_MONTHLY.name, rows, _G["mensual_legacy"], _RF_MONTHLY, _SPLIT, jobs.minority_bound())
-    return jobs.union_all([jobs.arm_metrics("argmax", arm.test, jobs.by_argmax()), jobs.arm_metrics("regla", arm.test, jobs.rule_decision(arm))])
+    # Eight months, the ninth to choose configuration and rule by, then the best of each family refitted on all nine for the five months after.
+    grid, train, check, ahead = tuning_grid(), (63, 70), (71, 71), (72, 76)
+    store = ex.Store(t, "X14", (grid, train, check, ahead))
+    rows = store.once("rasgos", lambda: _legacy_rows(_buffer_dense(t, 150.0), HIGH_FROM_BUFFER))
+    weighted = lambda power: lambda df: jobs.minority_bound()(df).withColumn("peso_muestra", F.pow("peso_muestra", F.lit(power)))
+    fits = {n: ex.Candidate(n, rows, _G["mensual_legacy"], s, weighted(power), f"potencia {power}", train, {"validacion": check}) for n, (s, power) in grid.items()}
+    store.run(list(fits.values()))
+    found = store.scores(fits)
+
+    def rules(name):
+        table = ev.fixed_rule_search(found.filter(F.col("ajuste") == name)).withColumn("ajuste", F.lit(name)).withColumn("regla", F.when(F.col("celda") == 0, "argmax").otherwise("cortes"))
+        return table.orderBy(F.desc(F.round("puntaje", 12)), F.desc("f1_macro"), F.desc("recall_alto"), "celda")
+
+    best_cuts = lambda name: rules(name).filter("regla = 'cortes'").limit(1)
+    judged = store.once("reglas", lambda: jobs.union_all(ex.together([lambda n=n: jobs.settle(rules(n).filter("regla = 'argmax'").unionByName(best_cuts(n))) for n in grid])))
+    choices = [r.asDict() for r in judged.collect()]  # two rows for each configuration
+    order = lambda r: (-round(r["puntaje"], 12), -r["f1_macro"], -r["recall_alto"], r["celda"])
+    best = [min((r for r in choices if grid[r["ajuste"]][0].family == family), key=order) for family in ("bosque", "impulso")]
+    store.run([ex.refit(fits[r["ajuste"]], f"{r['ajuste']}_final", (train[0], check[1]), {"externa": ahead}) for r in best])
+    final = []
+    for r in best:
+        decision = ex.by_argmax() if r["regla"] == "argmax" else jobs.by_cutoffs({"medio": r["corte_medio"], "alto": r["corte_alto"]})
+        table = ex.metric_table(store.scores([f"{r['ajuste']}_final"]), decision).withColumn("ajuste", F.lit(r["ajuste"]))
+        final.append(table.withColumn("regla", F.lit(r["regla"])).withColumn("corte_medio", F.lit(r["corte_medio"]).cast("double")).withColumn("corte_alto", F.lit(r["corte_alto"]).cast("double")))
+    both = judged.withColumn("etapa", F.lit("validacion")).unionByName(jobs.union_all(final), True)
+    return both.withColumn("nombre", F.col("ajuste"))

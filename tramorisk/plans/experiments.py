@@ -17,7 +17,7 @@ from dataclasses import dataclass, field, replace
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tramorisk.functions.risk import argmax3, decide
 from tramorisk.operators import boosting, evaluate as ev, models
@@ -33,16 +33,16 @@ FORECAST = ["tramo_id", "mes_idx", "p0", "p1", "p2"]
 
 def together(jobs: Sequence[Callable[[], T]], limit: int = AT_ONCE) -> list[T]:
     """Results of jobs that run at once, at most ``limit``; the first error is raised when all have ended."""
-    def pooled(at: int) -> T:
-        from pyspark.sql import SparkSession
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    spark = SparkSession.active()
 
-        SparkSession.active().sparkContext.setLocalProperty("spark.scheduler.pool", f"experimento-{at % limit}")
+    def pooled(at: int) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"experimento-{at % limit}")
         return jobs[at]()
 
-    if len(jobs) < 2:
-        return [job() for job in jobs]
     with ThreadPoolExecutor(min(limit, len(jobs))) as pool:
-        return list(pool.map(inheritable_thread_target(pooled), range(len(jobs))))
+        return list(pool.map(inheritable_thread_target(spark)(pooled), range(len(jobs))))
 
 
 @dataclass(frozen=True)
