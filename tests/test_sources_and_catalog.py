@@ -110,3 +110,16 @@ def test_dense_panel_moves_nothing_above_the_explode(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     lines = plan.split("\n")
     assert not [x for x in lines[:next(i for i, x in enumerate(lines) if "Generate explode" in x)] if "Exchange" in x]
+
+
+def test_yearly_files_lose_no_line(spark, tmp_path):
+    from tramorisk.sources import readers
+
+    head = "id;FECHA_HORA_HECHO;TURNO"
+    (tmp_path / "a.csv").write_text("\ufeff" + head + "\n1;2019/01/05 10:00:00;noche\n2;2018/01/05 10:00:00;noche\n3;2019/02/05 10:00:00;noche;de;mas\n4;ayer;tarde\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text(head.replace(";", ",") + "\n5,2020/12/31 23:59:59,tarde\n6,2020/01/01 00:00:00\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text(head + "\n", encoding="utf-8")
+    rows, rejected = readers.read_years(spark, {2019: str(tmp_path / "a.csv"), 2020: str(tmp_path / "b.csv"), 2021: str(tmp_path / "c.csv")})
+    assert sorted((r["anio"], r["id"]) for r in rows.collect()) == [(2019, "1"), (2020, "5")]
+    assert sorted((r["anio"], r["motivo"]) for r in rejected.collect()) == [(2019, "malformada"), (2019, "otro anio"), (2019, "sin fecha"), (2020, "malformada")]
+    assert rejected.filter("motivo = 'malformada' and anio = 2019").first()["linea"].startswith("3;2019/02/05")

@@ -98,7 +98,7 @@ def _(t):
 
 @query("M07_sequence_network", "tramo_id:s mes_idx:l y:l p0:d p1:d p2:d")
 def _(t):
-    seq = windows.sequences(t.dense_months(), ["frecuencia", "suma_pesos"]).join(_context(t).select("tramo_id", "mes_idx", "y", "mes_sin", "mes_cos"), ["tramo_id", "mes_idx"])
+    seq = windows.sequences(t.dense_months(), list(windows.MONTHLY_MEASURES)).join(_context(t).select("tramo_id", "mes_idx", "y", "mes_sin", "mes_cos"), ["tramo_id", "mes_idx"])
     train = sampling.cap_per_class(jobs.months(seq, _SPLIT.train), ["mes_idx"], 450, sampling.hash_order(keys=("tramo_id", "mes_idx")))
     return models.sequence_network(train, jobs.months(seq, _SPLIT.test), "secuencia", ["mes_sin", "mes_cos"]).select("tramo_id", "mes_idx", "y", "p0", "p1", "p2")
 

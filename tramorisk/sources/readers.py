@@ -9,6 +9,8 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tramorisk.session import settle
+
 
 def delimiter_of(spark: SparkSession, path: str) -> str:
     """``;`` if the first line holds more of them than commas."""
@@ -24,13 +26,31 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str] | None
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
-def read_years(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    """One delimited source per year, united with its year."""
-    frames = [read_delimited(spark, p).withColumn("anio", F.lit(y)) for y, p in sorted(paths.items())]
+def read_years(spark: SparkSession, paths: dict[int, str], moment: str = "FECHA_HORA_HECHO", layout: str = "yyyy/MM/dd HH:mm:ss") -> tuple[DataFrame, DataFrame]:
+    """One delimited source per year: its rows with ``anio``, and the lines that are no rows of it.
+
+    Rejected lines come as ``anio``, ``motivo`` and ``linea``: a line with too many
+    or too few fields, one without a readable moment, one of another year.
+    Every line read is in one of the two tables.
+    """
+    frames = []
+    for year, path in sorted(paths.items()):
+        sep = delimiter_of(spark, path)
+        head = spark.read.text(path).first()
+        names = head[0].lstrip("\ufeff").split(sep) if head else [moment]
+        schema = ", ".join(f"`{n}` string" for n in [*names, "_linea"])
+        rows = spark.read.csv(path, sep=sep, header=True, schema=schema, encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord="_linea")
+        frames.append(rows.withColumn("anio", F.lit(year)))
     out = frames[0]
     for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+        out = out.unionByName(frame, True)
+    out = settle(out)  # whole lines are parsed once; a reader of a few columns would not see that a line is malformed
+    own = F.year(F.try_to_timestamp(F.trim(moment), F.lit(layout)))
+    reason = F.when(F.col("_linea").isNotNull(), "malformada").when(own.isNull(), "sin fecha").when(own != F.col("anio"), "otro anio")
+    judged = out.withColumn("motivo", reason)
+    names = [c for c in out.columns if c not in ("_linea", "anio")]
+    rejected = judged.filter("motivo is not null").select("anio", "motivo", F.coalesce("_linea", F.concat_ws(";", *names)).alias("linea"))
+    return judged.filter("motivo is null").drop("_linea", "motivo"), rejected
 
 
 def tagged_union(frames: dict[str, DataFrame]) -> DataFrame:
