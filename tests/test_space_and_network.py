@@ -219,3 +219,16 @@ def test_neighbours_in_one_crowded_cell(spark):
         near = sorted((math.hypot(x - a, y - b), n) for n, a, b in at if n != name)[:4]
         assert [n for _, n in sorted(got[name])] == [n for _, n in near]
     assert len(got) == len(at)
+
+
+def test_choice_with_the_field_goes_by_avoidable_zones(spark):
+    """Metres in a zone that holds an end do not count; the candidate with the fewest others wins, also if it is longer."""
+    steps = spark.createDataFrame([("r", "rapida", "a"), ("r", "b1", "b"), ("r", "b2", "c"), ("r", "b2", "d")], "ruta string, variante string, tramo_id string")
+    hits = spark.createDataFrame([("a", "z1", "rojo", 40.0), ("b", "z1", "rojo", 25.0), ("c", "z2", "rojo", 90.0), ("d", "z3", "naranja", 5.0)], "tramo_id string, zona string, color string, metros double")
+    exempt = spark.createDataFrame([("r", "z2"), ("otra", "z1")], "ruta string, zona string")
+    avoid = net.avoidable_metres(steps, hits, exempt, ("ruta", "variante"))
+    assert sorted(tuple(r) for r in avoid.collect()) == [("r", "b1", 25.0, 0.0), ("r", "b2", 0.0, 5.0), ("r", "rapida", 40.0, 0.0)]
+    rows = avoid.join(spark.createDataFrame([("rapida", 1.0, 9.0, "f0"), ("b1", 1.1, 1.0, "f1"), ("b2", 1.4, 5.0, "f2"), ("lejos", 1.6, 0.1, "f3")], "variante string, distancia_km double, riesgo_total double, firma string"), "variante", "right")
+    rows = rows.fillna({"ruta": "r", "rojo_ev": 0.0, "naranja_ev": 0.0}).withColumn("metros_alto", F.lit(0.0)).withColumn("rojo_m", F.col("rojo_ev")).withColumn("naranja_m", F.col("naranja_ev"))
+    chosen = net.choose_route(rows.filter("variante <> 'rapida'"), rows.filter("variante = 'rapida'"), with_field=True).first()
+    assert chosen["variante"] == "b2" and chosen["rechazo_desvio_excesivo"] == 1

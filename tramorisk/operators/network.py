@@ -319,6 +319,18 @@ def continuity_breaks(routes: DataFrame, edges: DataFrame, keys: Sequence[str])
     return steps.withColumn("_b", broken.cast("int")).groupBy(*keys).agg(F.sum("_b").alias("cortes"))
 
 
+def avoidable_metres(steps: DataFrame, hits: DataFrame, exempt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Red and orange metres of each route in zones that do not hold one of its ends.
+
+    ``steps``: keys (with ruta) and tramo_id; ``hits``: tramo_id, zona, color,
+    metros; ``exempt``: ruta, zona.
+    """
+    inside = steps.join(hits.select("tramo_id", "zona", "color", "metros"), "tramo_id").join(exempt.select("ruta", "zona").distinct(), ["ruta", "zona"], "left_anti")
+    of = lambda colour, name: F.round(F.sum(F.when(F.col("color") == colour, F.col("metros")).otherwise(0.0)), 3).alias(name)
+    found = inside.groupBy(*keys).agg(of("rojo", "rojo_ev"), of("naranja", "naranja_ev"))
+    return steps.select(*keys).distinct().join(found, list(keys), "left").fillna(0.0, ["rojo_ev", "naranja_ev"])
+
+
 def choose_route(candidates: DataFrame, reference: DataFrame, with_field: bool) -> DataFrame:
     """Chosen candidate of each request, or its reference route.
 

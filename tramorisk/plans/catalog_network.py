@@ -211,6 +211,24 @@ def _(t):
     return net.choose_route(rows.filter("variante <> 'rapida'"), rows.filter("variante = 'rapida'"), with_field=False)
 
 
+@query("G11_route_choice_field", "ruta:s variante:s distancia_km:d riesgo_total:d reduccion:d mismo_recorrido_final:l rechazo_desvio_excesivo:l rechazo_mismo_recorrido:l rechazo_mejora_insuficiente:l")
+def _(t):
+    # With the field on, edges cost their metres in coloured zones and the choice goes by zones that can be avoided.
+    edges = field_edges(t)
+    places = t.nodes().select(F.col("nodo").alias("hasta"), F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))
+    costs = {"rapida": F.col("largo")} | {f"beta_{b:03d}": risk.field_cost(F.col("largo"), F.col("riesgo"), F.col("rojo_m"), F.col("naranja_m"), b) for b in (1, 3, 5, 10, 20, 50, 100)}
+    paths = t.once("rutas_campo", lambda: net.route_variants(_asked(t), net.directed_edges(edges).join(places, "hasta"), costs, "rapida"))
+    steps = net.explode_route(paths.select("ruta", "variante", "tramos"))
+    lines = spatial.with_xy(spatial.with_pieces(t.forecasts()))
+    discs = surface.zones(foci(t))
+    ends = _requests(t).select("ruta", F.explode(F.array("origen", "destino")).alias("nodo")).join(t.nodes(), "nodo")
+    free = surface.exempt_zones(spatial.with_xy(ends, lon="lon", lat="lat"), discs)
+    avoid = net.avoidable_metres(steps.select(*_KEYS, "tramo_id"), surface.segments_in_zones(lines, discs), free, _KEYS)
+    rows = net.route_totals(steps, edges, _KEYS).join(avoid, list(_KEYS)).join(paths.select(*_KEYS, net.route_signature(F.col("tramos")).alias("firma")), list(_KEYS))
+    rows = t.once("totales_campo", lambda: rows)
+    return net.choose_route(rows.filter("variante <> 'rapida'"), rows.filter("variante = 'rapida'"), with_field=True)
+
+
 @query("G12_risk_reduction", "ruta:s reduccion:d compartidos:l metros:d", f"""
 {_ROUTES}, {_WALK}, {_shared_sql('beta_010')} SELECT a.ruta, {_SAVED.format(a='a.riesgo_total', b='b.riesgo_total')} AS reduccion, coalesce(tramos_compartidos, 0) AS compartidos, coalesce(metros_compartidos, 0) AS metros
  FROM tot a JOIN tot b ON a.ruta = b.ruta AND a.variante = 'rapida' AND b.variante = 'beta_010' LEFT JOIN comun ON comun.ruta = a.ruta""")
