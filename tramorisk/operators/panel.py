@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tramorisk.functions.calendar import SHIFTS, Calendar
+from tramorisk.session import spread
 
 CATEGORIES = ("robo", "hurto", "extorsion", "homicidio")
 CUBE_MEASURES = ("n", "peso", "grave", *CATEGORIES)
@@ -61,10 +62,12 @@ def dense(sparse: DataFrame, segments: DataFrame, calendar: Calendar, shifts: bo
     place = F.col("mes_idx").cast("int") * each + (F.col("turno_idx").cast("int") if shifts else F.lit(0))
     inside = sparse.filter(F.col("mes_idx").between(0, calendar.size - 1) & (F.col("turno_idx").between(0, each - 1) if shifts else F.lit(True)))
     packed = inside.groupBy("tramo_id").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("i"), F.struct(*measures).alias("v")))).alias("_celdas"))
-    rows = segments.select("tramo_id", *keep).repartition("tramo_id").join(packed, "tramo_id", "left")
-    grid = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(calendar.size * each - 1)))).withColumn("_v", F.try_element_at("_celdas", F.col("_i")))
-    where = [F.floor(F.col("_i") / each).cast("int").alias("mes_idx")] + ([(F.col("_i") % each).alias("turno_idx")] if shifts else [])
-    return grid.select("tramo_id", *keep, *where, *[F.col("_v")[m].alias(m) for m in measures]).fillna(0, measures)
+    rows = spread(segments.select("tramo_id", *keep), "tramo_id").join(packed, "tramo_id", "left")
+    # Looked up before the explode, so that the exploded rows do not carry the map.
+    cells = F.transform(F.sequence(F.lit(0), F.lit(calendar.size * each - 1)), lambda i: F.struct(i.alias("i"), F.try_element_at("_celdas", i).alias("v")))
+    grid = rows.select("tramo_id", *keep, F.explode(cells).alias("_c"))
+    where = [F.floor(F.col("_c.i") / each).cast("int").alias("mes_idx")] + ([(F.col("_c.i") % each).alias("turno_idx")] if shifts else [])
+    return grid.select("tramo_id", *keep, *where, *[F.col("_c.v")[m].alias(m) for m in measures]).fillna(0, measures)
 
 
 def coverage(incidents: DataFrame, located: str = "geo") -> DataFrame:

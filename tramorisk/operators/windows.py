@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tramorisk.functions.calendar import cyclic
 from tramorisk.functions.risk import length_factor
 from tramorisk.operators.panel import CUBE_MEASURES, MONTHLY_MEASURES
+from tramorisk.session import spread
 
 WINDOW_FIELDS = (
     "frecuencia_turno", "gravedad_turno", "frecuencia_total", "gravedad_total", "graves_turno", "robos_turno",
@@ -189,7 +190,7 @@ def _around(features: DataFrame, neighbors: DataFrame, columns: Sequence[str], k
     further shuffle.
     """
     packed = features.select("tramo_id", *keys, *columns).groupBy(F.col("tramo_id").alias("vecino_id")).agg(F.collect_list(F.struct(*keys, *columns)).alias("_m"))
-    pairs = neighbors.select("tramo_id", "vecino_id", carried).join(packed, "vecino_id").repartition("tramo_id")
+    pairs = spread(neighbors.select("tramo_id", "vecino_id", carried).join(packed, "vecino_id"), "tramo_id")
     return pairs.select("tramo_id", carried, F.explode("_m").alias("_v")).select("tramo_id", carried, "_v.*")
 
 

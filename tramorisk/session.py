@@ -58,3 +58,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Cluster packed rows by ``keys`` over as many tasks as a shuffle has.
+
+    The rows are small before they are unpacked, so adaptive execution would
+    merge them into a few tasks; a stated number is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
