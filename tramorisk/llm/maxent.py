@@ -10,9 +10,12 @@ that the leaves grow about as their root does, as a vocabulary does.
 Tokens are dealt by the word before to models, whose number grows with the
 training tokens; a model holds ``WIDE_SLOTS`` slots per feature and digit, learns
 from all its training tokens and answers with one sum per text. A crowded word
-(and the start of a text) has so many tokens that they are dealt over all models
-by text. Beneath the first digit lies a small model shared by all: tasks update it on
-their texts and Spark averages the updates; a round takes in every training text.
+(or the start of a text) stands before too many tokens for one task: crowds of such
+words are models whose tokens are dealt by text over shards. Shards learn apart, their
+updates are averaged slot by slot, and all shards are scored by the one result, so the
+id never decides a probability. Beneath the first digit lies a small model shared by
+all: tasks update it on their texts and Spark averages the updates; a round takes in
+every training text. All weights are drawn to zero (``DECAY``).
 
 The last factor is the maximum-entropy solution with word features only: (c + 1) /
 (N_leaf + V_leaf + 1), where one place per leaf is for unknown words, so the
@@ -41,11 +44,15 @@ from tramorisk.llm.store import id_hash, power_of_two, stored
 from tramorisk.llm.textbytes import SPACED, STEP, byte_codes, groups, mix, owners, word_hashes, words
 
 CLASSES, SLOTS, FEATURES = 16, 1 << 13, 4
-WIDE_SLOTS, MODEL_TOKENS, LEAST_MODELS = 1 << 16, 1 << 20, 2
+WIDE_BITS, CROWD_BITS, MODEL_TOKENS, LEAST_MODELS = 16, 14, 1 << 20, 2
+WIDE_SLOTS = 1 << WIDE_BITS
+CROWD, SHARD, MERGED, COPIES, MOST_CROWDED = 16, 4, 16, 256, 1 << 22  # sizes of crowds and shards are multiples of a model's tokens
 CODES = byte_codes(SPACED)
 DIGIT = CLASSES.bit_length() - 1
 END = mix(np.array([1], dtype=np.uint64))[0] & ~np.uint64(CLASSES - 1)  # class 0
-ROUNDS, RATE, MINIBATCH, MODEL_BATCH = 1, 0.5, 1 << 15, 1 << 11
+ROUNDS, RATE, MINIBATCH, MODEL_BATCH = 1, 0.7, 1 << 15, 1 << 11
+PRIOR, DECAY = 1.0, 0.05
+START = np.uint64(1)  # stands for the word before the first one
 BUCKET_BYTES, LEAST_BUCKETS, PACKED, BYTES_PER_WORD = 24 << 20, 32, 9, 8
 SHARDS = 16
 
@@ -67,8 +74,8 @@ def tokens(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return out, wide
 
 
-def hashed_context(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature hashes of each token: word before, two words before, and skips over one and over two words; the word before; and whether there is none."""
+def hashed_context(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes of each token: word before, two words before, and skips over one and over two words; and the word before."""
     n, far = len(h), np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
     before = []
     for k in (1, 2, 3):
@@ -76,7 +83,7 @@ def hashed_context(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         moved[k:] = h[:n - k] if n > k else moved[k:]
         before.append(np.where(far >= k, moved, np.uint64(k)))
     raw = [before[0], before[0] * STEP + before[1], before[1], before[2]]
-    return np.stack([mix(x + np.uint64(k)) for k, x in enumerate(raw)]), before[0], far == 0
+    return np.stack([mix(x + np.uint64(k)) for k, x in enumerate(raw)]), before[0]
 
 
 def context(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -119,7 +126,7 @@ def learn(slots: np.ndarray, target: np.ndarray, weights: np.ndarray, speed: np.
             step = np.add.reduceat(z[order], first, axis=0)
             at = row[order][first]
             speed[at] += length
-            weights[at] += step * (RATE / np.sqrt(speed[at] * length))[:, None].astype(np.float32)
+            weights[at] += (step - DECAY * weights[at]) * (RATE / np.sqrt(speed[at] * length))[:, None].astype(np.float32)
 
 
 def update(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -203,7 +210,7 @@ def paths(h: np.ndarray, levels: int) -> np.ndarray:
     return (h & np.uint64(CLASSES - 1)) << rest | h >> (np.uint64(64) - rest)
 
 
-def answer(table: pa.Table, levels: int) -> pa.Table:
+def answer(table: pa.Table, levels: int, crowded_from: int) -> pa.Table:
     """Per text (kind 0): sums of number * log10(c + 1) and of number * log10(N_leaf + V_leaf + 1), tokens and known tokens;
     per class (1): tokens and distinct tokens of the training texts; crowded words (2) with their tokens."""
     keys, trains, lengths = joined(table.column("keys"), "<i8"), joined(table.column("train"), "u1"), joined(table.column("lengths"), "<u4").astype(np.int64)
@@ -221,7 +228,7 @@ def answer(table: pa.Table, levels: int) -> pa.Table:
     names, place = np.unique(keys, return_inverse=True)  # copies of a row and its cells in one bucket are summed here
     per_text = lambda x: np.bincount(place, np.bincount(cell, x, len(keys)), len(names))
     group = (word & np.uint64(CLASSES - 1)).astype(np.int64)
-    hot = every >= MODEL_TOKENS // 4
+    hot = every >= crowded_from
     none, some = np.zeros(CLASSES), np.zeros(int(hot.sum()))
     column = lambda texts_, classes, crowded, kind: pa.array(np.concatenate([texts_, classes, crowded]).astype(kind))
     return pa.table({
@@ -234,49 +241,106 @@ def answer(table: pa.Table, levels: int) -> pa.Table:
         "distinct": column(np.zeros(len(names)), np.bincount(group[count > 0], minlength=CLASSES), some, np.int64)})
 
 
-def deal(batches: Iterator[pa.RecordBatch], models: int, levels: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Tokens of each text with their features and paths, packed by model: by the word before, and by text too where that word is crowded."""
+class Crowds:
+    """Which words stand before too many tokens for one task, and the shards that share their tokens.
+
+    Crowded words are hashed to crowds; a crowd is one model, and its tokens are dealt by text over shards.
+    """
+
+    def __init__(self, words_: np.ndarray, counts: np.ndarray, models: int, model_tokens: int):
+        order = np.argsort(words_)
+        self.words = words_[order]
+        number = power_of_two(2, counts.sum() / (CROWD * model_tokens))
+        self.crowd = (mix(self.words + np.uint64(9)) >> np.uint64(64 - number.bit_length() + 1)).astype(np.int64)
+        shards = np.maximum(1, np.ceil(np.bincount(self.crowd, counts[order], number) / (SHARD * model_tokens))).astype(np.int64)
+        self.shards, self.first = shards, models + np.cumsum(shards) - shards
+
+    def find(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is crowded, and its crowd (of no meaning where it is not)."""
+        if not len(self.words):
+            return np.zeros(len(before), dtype=bool), np.zeros(len(before), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, before), len(self.words) - 1)
+        return self.words[at] == before, self.crowd[at]
+
+
+DEALT = "unit int, crowd int, keys binary, train binary, lengths binary, features binary, paths binary"
+
+
+def path_type(levels: int) -> str:
+    return "<u4" if levels * DIGIT <= 32 else "<u8"
+
+
+def deal(batches: Iterator[pa.RecordBatch], models: int, levels: int, crowds: Crowds, crowded: bool) -> Iterator[pa.RecordBatch]:
+    """Tokens of each text with their features and paths, packed by unit: the model of the word before, or (``crowded``) a shard of its crowd by text."""
     shift = np.uint64(64 - models.bit_length() + 1)
     for batch in batches:
         for rows, buf, starts, ends in groups(batch, "text"):
             keys = rows.column("key").to_numpy(zero_copy_only=False)
             trains = np.array(rows.column("train").to_pylist(), dtype=np.uint8)
             h, bounds = tokens(buf, starts, ends)
-            owner = owners(bounds)
-            features, before, bare = hashed_context(h, bounds)
-            crowded = bare if not len(hot) else bare | (hot[np.minimum(np.searchsorted(hot, before), len(hot) - 1)] == before)
-            model = (mix(np.where(crowded, before * STEP + keys[owner].view(np.uint64), before) + np.uint64(9)) >> shift).astype(np.int32)
-            order = np.argsort(model.astype(np.uint16) if models <= 1 << 16 else model, kind="stable")
-            start, length = runs((model.astype(np.int64) << 32 | owner)[order])
-            at, per = runs(model[order][start])
+            features, before = hashed_context(h, bounds)
+            hot, crowd = crowds.find(before)
+            mine = np.flatnonzero(hot == crowded)
+            owner, before, crowd = owners(bounds)[mine], before[mine], crowd[mine]
+            if crowded:
+                unit = (crowds.first[crowd] + (mix(keys[owner].view(np.uint64)) % crowds.shards[crowd].astype(np.uint64)).astype(np.int64)).astype(np.int32)
+            else:
+                unit = (mix(before + np.uint64(9)) >> shift).astype(np.int32)
+            order = np.argsort(unit, kind="stable")
+            start, length = runs((unit.astype(np.int64) << 32 | owner)[order])
+            at, per = runs(unit[order][start])
             ends_ = np.concatenate([[0], np.cumsum(length)])
             elements = ends_[at + per] - ends_[at]
-            narrow = (features >> np.uint64(48)).astype("<u2").T[order]
-            cells = owner[order][start]
+            narrow = (features[:, mine] >> np.uint64(48)).astype("<u2").T[order]
+            cells, heads = owner[order][start], order[start][at]
             yield pa.RecordBatch.from_arrays([
-                pa.array(model[order][start][at], pa.int32()), binaries(keys[cells], per), binaries(trains[cells], per), binaries(length.astype(np.uint32), per),
-                binaries(narrow.ravel(), elements * FEATURES), binaries(paths(h, levels)[order].astype("<u4" if levels * DIGIT <= 32 else "<u8"), elements)],
-                names=["model", "keys", "train", "lengths", "features", "paths"])
-
+                pa.array(unit[heads], pa.int32()), pa.array(crowd[heads].astype(np.int32), pa.int32()), binaries(keys[cells], per), binaries(trains[cells], per),
+                binaries(length.astype(np.uint32), per), binaries(narrow.ravel(), elements * FEATURES), binaries(paths(h, levels)[mine][order].astype(path_type(levels)), elements)],
+                names=["unit", "crowd", "keys", "train", "lengths", "features", "paths"])
 
-def digit_logs(features: np.ndarray, prefix: np.ndarray, digit: np.ndarray, known: np.ndarray, shared: np.ndarray | None) -> np.ndarray:
-    """Natural log of the probability of each token's ``digit`` after its ``prefix``, learned from the ``known`` tokens of one model."""
-    names, place = np.unique(prefix, return_inverse=True)
-    counts = np.bincount(place[known] * CLASSES + digit[known], minlength=len(names) * CLASSES).reshape(-1, CLASSES) + 0.5
-    usual = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    range_ = np.arange(FEATURES)[:, None]
-    wide = features.T.astype(np.uint64)
-    slots = (wide if shared is not None else mix(wide | prefix << np.uint64(16)) >> np.uint64(48)).astype(np.int64) + range_ * WIDE_SLOTS
-    narrow = WIDE_SLOTS // SLOTS
 
-    def start(rows):
-        return usual[place[rows]] if shared is None else class_logits((features[rows].T // narrow).astype(np.int64) + range_ * SLOTS, shared)
-
-    weights, speed = np.zeros((FEATURES * WIDE_SLOTS + 1, CLASSES), dtype=np.float32), np.ones(FEATURES * WIDE_SLOTS + 1)
+def unpacked(table: pa.Table, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, features, path and whether it trains, of each token of one unit; texts in the order of their keys, so that a rerun learns in the same order."""
+    keys, lengths = joined(table.column("keys"), "<i8"), joined(table.column("lengths"), "<u4").astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    begin, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return (np.repeat(keys[order], size), joined(table.column("features"), "<u2").reshape(-1, FEATURES)[place],
+            joined(table.column("paths"), path_type(levels)).astype(np.uint64)[place], np.repeat(joined(table.column("train"), "u1")[order], size).astype(bool))
+
+
+def digit_rows(features: np.ndarray, path: np.ndarray, level: int, levels: int, seen: np.ndarray, numbers: np.ndarray, shared: np.ndarray, bits: int):
+    """Digits of one level, their feature slots (2^bits for each feature) and the logits that learning starts from:
+    the shared model's for the first digit, else the log frequencies of the digits behind the same prefix in the training paths ``seen``."""
+    below = np.uint64(DIGIT * (levels - level - 1))
+    low, upper = np.uint64(CLASSES - 1), below + np.uint64(DIGIT)
+    digit, prefix = (path >> below & low).astype(np.int64), path >> upper
+    wide, range_ = features.T.astype(np.uint64), np.arange(FEATURES)[:, None]
+    slots = ((mix(wide | prefix << np.uint64(16)) >> np.uint64(48) if level else wide) >> np.uint64(16 - bits)).astype(np.int64) + (range_ << bits)
+    if not level:
+        narrow = WIDE_SLOTS // SLOTS
+        return digit, slots, lambda rows: class_logits((features[rows].T // narrow).astype(np.int64) + range_ * SLOTS, shared)
+    names, place = np.unique(seen >> upper, return_inverse=True)
+    counts = np.bincount(place * CLASSES + (seen >> below & low).astype(np.int64), numbers, (len(names) + 1) * CLASSES).reshape(-1, CLASSES) + 0.5
+    usual = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)  # the last row is for prefixes not seen
+    at = np.searchsorted(names, prefix)
+    at[np.append(names, 0)[at] != prefix] = len(names)
+    at = np.minimum(at, len(names))
+    return digit, slots, lambda rows: usual[at[rows]]
+
+
+def fitted(digit: np.ndarray, slots: np.ndarray, start, known: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and the numbers of times their slots were met, after one pass over the training tokens."""
+    weights, speed = np.zeros(((FEATURES << bits) + 1, CLASSES), dtype=np.float32), np.full((FEATURES << bits) + 1, PRIOR)
     rows = np.flatnonzero(known)
     for a in range(0, len(rows), MINIBATCH):
         some = rows[a:a + MINIBATCH]
         learn(slots[:, some], digit[some], weights, speed, start(some), MODEL_BATCH)
+    return weights, speed - PRIOR
+
+
+def digit_logs(digit: np.ndarray, slots: np.ndarray, start, weights: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each token's digit."""
     log = np.empty(len(digit))
     for a in range(0, len(digit), MINIBATCH):
         some = np.arange(a, min(a + MINIBATCH, len(digit)))
@@ -286,44 +350,124 @@ def digit_logs(features: np.ndarray, prefix: np.ndarray, digit: np.ndarray, know
     return log
 
 
+def text_logs(keys: np.ndarray, log: np.ndarray) -> pa.Table:
+    first, _ = runs(keys)
+    return pa.table({"key": pa.array(keys[first]), "log": pa.array(np.add.reduceat(log, first) / np.log(10.0) if len(first) else log)})
+
+
 def path_logs(table: pa.Table, shared: np.ndarray, levels: int) -> pa.Table:
     """One model: learn from its training tokens, and answer with the log10 of the path factors per text."""
-    keys, lengths = joined(table.column("keys"), "<i8"), joined(table.column("lengths"), "<u4").astype(np.int64)
-    trains = joined(table.column("train"), "u1")
-    # Texts in the order of their keys, so that a rerun learns in the same order.
-    order = np.argsort(keys, kind="stable")
-    begin, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    features = joined(table.column("features"), "<u2").reshape(-1, FEATURES)[place]
-    path = joined(table.column("paths"), "<u4" if levels * DIGIT <= 32 else "<u8").astype(np.uint64)[place]
-    known, log = np.repeat(trains[order], size).astype(bool), np.zeros(len(path))
+    keys, features, path, known = unpacked(table, levels)
+    seen, numbers = np.unique(path[known], return_counts=True)
+    log = np.zeros(len(path))
     for level in range(levels):
-        prefix = path >> np.uint64(DIGIT * (levels - level))
-        digit = (path >> np.uint64(DIGIT * (levels - level - 1)) & np.uint64(CLASSES - 1)).astype(np.int64)
-        log += digit_logs(features, prefix, digit, known, shared if level == 0 else None)
-    first, number = runs(np.repeat(keys[order], size))
-    return pa.table({"key": pa.array(np.repeat(keys[order], size)[first]), "log": pa.array(np.add.reduceat(log, first) / np.log(10.0))})
-
-
-def score_documents(docs: DataFrame, text: str = "text", row: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
+        digit, slots, start = digit_rows(features, path, level, levels, seen, numbers, shared, WIDE_BITS)
+        log += digit_logs(digit, slots, start, fitted(digit, slots, start, known, WIDE_BITS)[0])
+    return text_logs(keys, log)
+
+
+PIECES = "crowd int, level int, block long, names binary, seen binary, weights binary"
+
+
+def pieces(crowd: int, level: int, block: int, names: np.ndarray, seen: np.ndarray, weights: np.ndarray) -> list:
+    return [crowd, level, block, names.astype("<u8" if level < 0 else "<u4").tobytes(), seen.astype("<f8").tobytes(), weights.astype("<f4").tobytes()]
+
+
+def piece_table(rows: list[list]) -> pa.Table:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, types, strict=True)], names=["crowd", "level", "block", "names", "seen", "weights"])
+
+
+def shard_updates(table: pa.Table, crowds: Crowds, shared: np.ndarray, levels: int) -> pa.Table:
+    """What one shard of a crowd learns: per level the slots it met, how often, and their weights; and at level -1 its training paths and their numbers."""
+    crowd = table.column("crowd")[0].as_py()
+    block = table.column("unit")[0].as_py() - int(crowds.first[crowd])
+    _, features, path, known = unpacked(table, levels)
+    seen, numbers = np.unique(path[known], return_counts=True)
+    rows = [pieces(crowd, -1, block, seen, numbers, np.zeros(0))] if len(seen) else []
+    for level in range(levels if len(seen) else 0):
+        digit, slots, start = digit_rows(features, path, level, levels, seen, numbers, shared, CROWD_BITS)
+        weights, met = fitted(digit, slots, start, known, CROWD_BITS)
+        at = np.flatnonzero(met)
+        rows.append(pieces(crowd, level, block, at, met[at], weights[at]))
+    return piece_table(rows)
+
+
+def merged(table: pa.Table) -> pa.Table:
+    """At most ``MERGED`` pieces of one crowd and level as one: numbers are summed, and each slot's weights are averaged by how often its shards met it."""
+    table = table.sort_by("block")
+    level = table.column("level")[0].as_py()
+    names, seen = joined(table.column("names"), "<u8" if level < 0 else "<u4"), joined(table.column("seen"), "<f8")
+    known, place = np.unique(names, return_inverse=True)
+    total = np.bincount(place, seen, len(known))
+    if level < 0:
+        mean = np.zeros(0)
+    else:
+        mean, parts = np.zeros((len(known), CLASSES)), joined(table.column("weights"), "<f4").reshape(-1, CLASSES)
+        for k in range(CLASSES):
+            mean[:, k] = np.bincount(place, seen * parts[:, k], len(known)) / total
+    return piece_table([pieces(table.column("crowd")[0].as_py(), level, table.column("block")[0].as_py() // MERGED, known, total, mean)])
+
+
+def shard_logs(table: pa.Table, learned: pa.Table, shared: np.ndarray, levels: int) -> pa.Table:
+    """The log10 of the path factors per text of one shard, by the merged model of its crowd."""
+    keys, features, path, _ = unpacked(table, levels)
+    at = {level: i for i, level in enumerate(learned.column("level").to_pylist())}
+    get = lambda level, column, kind: np.frombuffer(learned.column(column)[at[level]].as_py(), kind) if level in at else np.zeros(0, kind)
+    seen, numbers = get(-1, "names", "<u8"), get(-1, "seen", "<f8")
+    log = np.zeros(len(path))
+    for level in range(levels):
+        weights = np.zeros(((FEATURES << CROWD_BITS) + 1, CLASSES), dtype=np.float32)
+        weights[get(level, "names", "<u4")] = get(level, "weights", "<f4").reshape(-1, CLASSES)
+        digit, slots, start = digit_rows(features, path, level, levels, seen, numbers, shared, CROWD_BITS)
+        log += digit_logs(digit, slots, start, weights)
+    return text_logs(keys, log)
+
+
+def crowd_logs(dealt: DataFrame, crowds, shared, levels: int) -> DataFrame:
+    """Path factors behind crowded words: shards learn, their updates are merged ``MERGED`` at a time, and every shard is scored by the one result.
+
+    A crowd's weights reach its shards in two steps, so that no task writes all copies of them.
+    """
+    dealt = stored(dealt)
+    learned = stored(dealt.groupBy("unit").applyInArrow(lambda t: shard_updates(t, crowds.value, shared.value, levels), PIECES))
+    pieces_left = int(crowds.value.shards.max())
+    while pieces_left > 1:
+        learned = stored(learned.groupBy("crowd", "level", F.expr(f"block div {MERGED}").alias("_to")).applyInArrow(merged, PIECES))
+        pieces_left = -(-pieces_left // MERGED)
+    units = dealt.select("crowd", F.col("unit").alias("to"), F.pmod("unit", F.lit(COPIES)).alias("_block")).distinct()
+    copies = units.select("crowd", "_block").distinct().join(learned.drop("block"), "crowd").repartition("crowd", "_block")
+    sent = units.join(copies, ["crowd", "_block"]).select("to", "level", "names", "seen", "weights")
+    return dealt.groupBy("unit").cogroup(sent.groupBy("to")).applyInArrow(lambda a, b: shard_logs(a, b, shared.value, levels), "key long, log double")
+
+
+def score_documents(docs: DataFrame, text: str = "text", row: str = "doc_id", rounds: int = ROUNDS, model_tokens: int = MODEL_TOKENS) -> DataFrame:
+    """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (to nine decimals,
+    so that equal texts have equal scores whatever the order of their partial sums)."""
     held = id_hash(row) % 7 == 2
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(row).alias("doc_id"), body.alias("text"), (~held).alias("train"), F.xxhash64(row, body).alias("key"))
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, texts = keyed.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    total = total or 0
     buckets = power_of_two(LEAST_BUCKETS, total / BYTES_PER_WORD * PACKED / BUCKET_BYTES)
     levels = depth(total / BYTES_PER_WORD, buckets)
+    # A word of a text takes two bytes at least, so at most MOST_CROWDED words (32 MB) are crowded.
+    crowded_from = max(model_tokens // 4, (total // 2 + 2 * texts) // MOST_CROWDED)
     sent = keyed.select("key", "train", "text").mapInArrow(lambda b: send(b, buckets), "bucket int, keys binary, train binary, lengths binary, words binary, numbers binary")
-    parts = stored(sent.groupBy("bucket").applyInArrow(lambda t: answer(t, levels), "key long, kind int, s double, norm double, tokens long, known long, distinct long"))
+    parts = stored(sent.groupBy("bucket").applyInArrow(lambda t: answer(t, levels, crowded_from), "key long, kind int, s double, norm double, tokens long, known long, distinct long"))
     classes = {r["key"]: (r["n"], r["v"]) for r in parts.filter("kind = 1").groupBy("key").agg(F.sum("known").alias("n"), F.sum("distinct").alias("v")).collect()}
     n, v = sum(x[0] for x in classes.values()), sum(x[1] for x in classes.values())
     weights = train(keyed.filter("train"), np.array([classes.get(k, (0, 0))[0] for k in range(CLASSES)]), rounds)
-    # At most one crowded word for every MODEL_TOKENS / 4 tokens.
-    hot = np.sort(np.array([r["key"] for r in parts.filter("kind = 2").select("key").collect()], dtype=np.int64).view(np.uint64))
-    models, context_ = power_of_two(LEAST_MODELS, n / MODEL_TOKENS), docs.sparkSession.sparkContext
-    shared, crowded = context_.broadcast(weights), context_.broadcast(hot)
-    dealt = keyed.select("key", "train", "text").mapInArrow(lambda b: deal(b, models, levels, crowded.value), "model int, keys binary, train binary, lengths binary, features binary, paths binary")
-    logs = dealt.groupBy("model").applyInArrow(lambda t: path_logs(t, shared.value, levels), "key long, log double").groupBy("key").agg(F.sum("log").alias("log"))
+    hot = [(r["key"], r["tokens"]) for r in parts.filter("kind = 2").select("key", "tokens").collect()]
+    hot += [(int(START), texts)] if texts >= crowded_from else []
+    models, context_ = power_of_two(LEAST_MODELS, n / model_tokens), docs.sparkSession.sparkContext
+    crowds = Crowds(np.array([h[0] for h in hot], dtype=np.int64).view(np.uint64), np.array([h[1] for h in hot], dtype=np.int64), models, model_tokens)
+    shared, shipped = context_.broadcast(weights), context_.broadcast(crowds)
+    dealt = lambda crowded: keyed.select("key", "train", "text").mapInArrow(lambda b: deal(b, models, levels, shipped.value, crowded), DEALT)
+    logs = dealt(False).groupBy("unit").applyInArrow(lambda t: path_logs(t, shared.value, levels), "key long, log double")
+    if hot:
+        logs = logs.unionByName(crowd_logs(dealt(True), shipped, shared, levels))
+    logs = logs.groupBy("key").agg(F.sum("log").alias("log"))
     sums = parts.filter("kind = 0").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("s", "norm", "tokens", "known")])
     # Copies of one row share a key and the sums of all of them.
     times = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
@@ -331,4 +475,4 @@ def score_documents(docs: DataFrame, text: str = "text", row: str = "doc_id", ro
     s, tokens_ = F.col("s") / F.col("times"), (F.col("tokens") / F.col("times")).cast("long")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), tokens_.alias("n_tokens"), (F.col("known") / F.col("times")).cast("long").alias("n_known"),
                       F.lit(int(n)).cast("long").alias("train_tokens"), (s - tokens_ * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-                      (s + (F.col("log") - F.col("norm")) / F.col("times")).alias("score"))
+                      F.round(s + (F.col("log") - F.col("norm")) / F.col("times"), 9).alias("score"))
