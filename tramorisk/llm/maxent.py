@@ -92,10 +92,11 @@ def context(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def class_logits(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    z = weights[slots[0]]
+    z = np.take(weights, slots[0], axis=0, mode="clip")  # slots are in range; clipping spares the copy that checking takes
     for s in slots[1:]:
-        z = z + weights[s]
-    return z + weights[-1]
+        z += np.take(weights, s, axis=0, mode="clip")
+    z += weights[-1]
+    return z
 
 
 def new_weights(class_counts: np.ndarray) -> np.ndarray:
@@ -123,10 +124,14 @@ def learn(slots: np.ndarray, target: np.ndarray, weights: np.ndarray, speed: np.
         for row in part:
             order = np.argsort(row.astype(np.uint16), kind="stable")  # a feature's slots are in one range of at most 16 bits, which sort fastest
             first, length = runs(row[order])
-            step = np.add.reduceat(z[order], first, axis=0)
+            step = np.add.reduceat(np.take(z, order, axis=0, mode="clip"), first, axis=0)
             at = row[order][first]
-            speed[at] += length
-            weights[at] += (step - DECAY * weights[at]) * (RATE / np.sqrt(speed[at] * length))[:, None].astype(np.float32)
+            now, often = np.take(weights, at, axis=0, mode="clip"), speed[at] + length
+            speed[at] = often
+            step -= np.float32(DECAY) * now
+            step *= (RATE / np.sqrt(often * length))[:, None].astype(np.float32)
+            now += step
+            weights[at] = now
 
 
 def update(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -310,41 +315,49 @@ def unpacked(table: pa.Table, levels: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def digit_rows(features: np.ndarray, path: np.ndarray, level: int, levels: int, seen: np.ndarray, numbers: np.ndarray, shared: np.ndarray, bits: int):
-    """Digits of one level, their feature slots (2^bits for each feature) and the logits that learning starts from:
+    """Digits of one level, and for rows of it their feature slots (2^bits for each feature) and the logits that learning starts from:
     the shared model's for the first digit, else the log frequencies of the digits behind the same prefix in the training paths ``seen``."""
     below = np.uint64(DIGIT * (levels - level - 1))
     low, upper = np.uint64(CLASSES - 1), below + np.uint64(DIGIT)
-    digit, prefix = (path >> below & low).astype(np.int64), path >> upper
-    wide, range_ = features.T.astype(np.uint64), np.arange(FEATURES)[:, None]
-    slots = ((mix(wide | prefix << np.uint64(16)) >> np.uint64(48) if level else wide) >> np.uint64(16 - bits)).astype(np.int64) + (range_ << bits)
+    digit, range_ = (path >> below & low).astype(np.uint8), np.arange(FEATURES)[:, None]
+
+    def slots(rows):
+        wide = features[rows].T.astype(np.uint64)
+        wide = mix(wide | path[rows] >> upper << np.uint64(16)) >> np.uint64(48) if level else wide
+        return (wide >> np.uint64(16 - bits)).astype(np.int64) + (range_ << bits)
+
     if not level:
         narrow = WIDE_SLOTS // SLOTS
         return digit, slots, lambda rows: class_logits((features[rows].T // narrow).astype(np.int64) + range_ * SLOTS, shared)
     names, place = np.unique(seen >> upper, return_inverse=True)
     counts = np.bincount(place * CLASSES + (seen >> below & low).astype(np.int64), numbers, (len(names) + 1) * CLASSES).reshape(-1, CLASSES) + 0.5
     usual = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)  # the last row is for prefixes not seen
-    at = np.searchsorted(names, prefix)
-    at[np.append(names, 0)[at] != prefix] = len(names)
-    at = np.minimum(at, len(names))
-    return digit, slots, lambda rows: usual[at[rows]]
+
+    def start(rows):
+        prefix = path[rows] >> upper
+        at = np.searchsorted(names, prefix)
+        at[np.append(names, np.uint64(0))[at] != prefix] = len(names)
+        return np.take(usual, at, axis=0, mode="clip")
+
+    return digit, slots, start
 
 
-def fitted(digit: np.ndarray, slots: np.ndarray, start, known: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def fitted(digit: np.ndarray, slots, start, known: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and the numbers of times their slots were met, after one pass over the training tokens."""
     weights, speed = np.zeros(((FEATURES << bits) + 1, CLASSES), dtype=np.float32), np.full((FEATURES << bits) + 1, PRIOR)
     rows = np.flatnonzero(known)
     for a in range(0, len(rows), MINIBATCH):
         some = rows[a:a + MINIBATCH]
-        learn(slots[:, some], digit[some], weights, speed, start(some), MODEL_BATCH)
+        learn(slots(some), digit[some], weights, speed, start(some), MODEL_BATCH)
     return weights, speed - PRIOR
 
 
-def digit_logs(digit: np.ndarray, slots: np.ndarray, start, weights: np.ndarray) -> np.ndarray:
+def digit_logs(digit: np.ndarray, slots, start, weights: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each token's digit."""
     log = np.empty(len(digit))
     for a in range(0, len(digit), MINIBATCH):
         some = np.arange(a, min(a + MINIBATCH, len(digit)))
-        z = class_logits(slots[:, some], weights) + start(some)
+        z = class_logits(slots(some), weights) + start(some)
         top = z.max(axis=1)
         log[some] = z[np.arange(len(z)), digit[some]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
     return log
