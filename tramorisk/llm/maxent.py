@@ -124,7 +124,13 @@ def learn(slots: np.ndarray, target: np.ndarray, weights: np.ndarray, speed: np.
         for row in part:
             order = np.argsort(row.astype(np.uint16), kind="stable")  # a feature's slots are in one range of at most 16 bits, which sort fastest
             first, length = runs(row[order])
-            step = np.add.reduceat(np.take(z, order, axis=0, mode="clip"), first, axis=0)
+            step = np.take(z, order[first], axis=0, mode="clip")
+            many = np.flatnonzero(length > 1)  # most slots of the longer features are met once, and need no sum
+            if len(many):
+                size = length[many]
+                begin = np.cumsum(size) - size
+                inside = np.repeat(first[many] - begin, size) + np.arange(int(size.sum()))
+                step[many] = np.add.reduceat(np.take(z, order[inside], axis=0, mode="clip"), begin, axis=0)
             at = row[order][first]
             now, often = np.take(weights, at, axis=0, mode="clip"), speed[at] + length
             speed[at] = often
