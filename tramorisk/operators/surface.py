@@ -10,22 +10,23 @@ from tramorisk.functions import geo
 from tramorisk.functions.risk import level, safe_cost, field_cost
 from tramorisk.operators.ordered import exact_quantiles, quantile_values, salted_join
 from tramorisk.operators.spatial import near_points, point_cells, polyline_cells
-from tramorisk.session import settle
+from tramorisk.session import settle, spread
 
 # Fixed values of the shared field.
 SAMPLE_STEP_M, ROAD_STEP_M = 20.0, 10.0
 CELL_M, RADIUS_M, SEPARATION_M = 100.0, 250.0, 450.0
 MIN_SCORE, FLOOR, OPACITY, MIN_INFLUENCE, KERNEL = 0.66, 0.6, 2.0, 0.025, 4.5
 RED_SCORE, ORANGE_SCORE, CLEARANCE_M = 0.80, 0.66, 20.0
+BROADCAST_RINGS = 500_000
 
 
 def road_samples(segments: DataFrame, step_m: float = SAMPLE_STEP_M, keep: tuple[str, ...] = ()) -> DataFrame:
     """Evenly spaced points of each polyline; ``metros`` is the share of each."""
-    sized = segments.select("tramo_id", *keep, "piezas", geo.polyline_length(F.col("piezas")).alias("largo_m"))
+    sized = spread(segments, "tramo_id").select("tramo_id", *keep, "piezas", geo.polyline_length(F.col("piezas")).alias("largo_m"))
     n = F.greatest(F.lit(1), F.ceil(F.col("largo_m") / step_m)).cast("int")
-    spread = sized.withColumn("_n", n).withColumn("muestra", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    cut = sized.withColumn("_n", n).withColumn("muestra", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     at = geo.point_along(F.col("piezas"), (F.col("muestra") + 0.5) / F.col("_n"))
-    return spread.withColumn("_p", at).select("tramo_id", *keep, "muestra", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"),
+    return cut.withColumn("_p", at).select("tramo_id", *keep, "muestra", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"),
                                               (F.col("largo_m") / F.col("_n")).alias("metros"))
 
 
@@ -70,9 +71,14 @@ def strength(score: Column) -> Column:
 def field_at(points: DataFrame, hotspots: DataFrame, keys: list[str]) -> DataFrame:
     """Field score of each point: the strongest influence wins, ties to the larger score.
 
-    ``points``: keys, x, y. ``hotspots``: x, y, pico.
+    ``points``: keys, x, y. ``hotspots``: x, y, pico. Hotspots are fewer, so
+    they take the ring of cells and points stay in their own. Sizes are
+    counted: planners guess samples by the files of their segments and would
+    broadcast them.
     """
-    near = near_points(points.select(*keys, "x", "y"), hotspots.select("x", "y", "pico"), RADIUS_M)
+    few = hotspots.select("x", "y", "pico")
+    hint = "broadcast" if few.count() * 9 <= BROADCAST_RINGS else "merge"
+    near = near_points(few, points.select(*keys, "x", "y"), RADIUS_M, hint)
     kernel = F.exp(F.col("dist_m") * F.col("dist_m") * (-KERNEL / (RADIUS_M * RADIUS_M)))
     seen = near.withColumn("_i", strength(F.col("pico")) * kernel).filter(F.col("_i") > MIN_INFLUENCE)
     best = seen.groupBy(*keys).agg(F.max(F.struct("_i", (F.col("pico") * F.sqrt(kernel)).alias("_s"))).alias("_m"))
