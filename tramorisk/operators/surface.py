@@ -10,7 +10,7 @@ from tramorisk.functions import geo
 from tramorisk.functions.risk import level, safe_cost, field_cost
 from tramorisk.operators.ordered import exact_quantiles, quantile_values, salted_join
 from tramorisk.operators.spatial import near_points, point_cells, polyline_cells
-from tramorisk.session import settle, spread
+from tramorisk.session import spread, written
 
 # Fixed values of the shared field.
 SAMPLE_STEP_M, ROAD_STEP_M = 20.0, 10.0
@@ -42,22 +42,24 @@ def separated_peaks(peaks: DataFrame, separation: float = SEPARATION_M) -> DataF
 
     Each round keeps the cells that beat every open cell nearby and drops
     their neighbours; the outcome equals the one-by-one choice. A cell has a
-    bounded number of neighbours, as cells lie on a 100 m grid.
+    bounded number of neighbours, as cells lie on a 100 m grid. The cells are
+    written first, so their scores are computed once and not in every round.
     """
+    peaks = written(peaks)
     near = near_points(peaks.select("cx", "cy", "x", "y", "pico"),
                        peaks.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("pico").alias("npico"), "x", "y"), separation)
     near = near.filter((F.col("dist_m") < separation) & ((F.col("cx") != F.col("ncx")) | (F.col("cy") != F.col("ncy"))))
     better = F.struct(-F.col("npico"), "ncx", "ncy") < F.struct(-F.col("pico"), "cx", "cy")
-    links = settle(near.select("cx", "cy", "ncx", "ncy", better.alias("_mejor")))
+    links = written(near.select("cx", "cy", "ncx", "ncy", better.alias("_mejor")))
     state = peaks.select("cx", "cy", F.lit("abierta").alias("estado"))
     while True:
         open_ = state.filter("estado = 'abierta'").select("cx", "cy")
         live = links.join(open_, ["cx", "cy"], "left_semi").join(open_.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy")), ["ncx", "ncy"], "left_semi")
         beaten = live.filter("_mejor").select("cx", "cy").distinct()
-        winners = settle(open_.join(beaten, ["cx", "cy"], "left_anti"))
+        winners = written(open_.join(beaten, ["cx", "cy"], "left_anti"))
         losers = live.join(winners, ["cx", "cy"], "left_semi").select(F.col("ncx").alias("cx"), F.col("ncy").alias("cy")).distinct()
         marks = winners.withColumn("_m", F.lit("elegida")).unionByName(losers.withColumn("_m", F.lit("descartada")))
-        state = settle(state.join(marks, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("_m", "estado").alias("estado")))
+        state = written(state.join(marks, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("_m", "estado").alias("estado")))
         if state.filter("estado = 'abierta'").limit(1).count() == 0:
             break
     return peaks.join(state.filter("estado = 'elegida'").select("cx", "cy"), ["cx", "cy"], "left_semi")
