@@ -112,3 +112,51 @@ def test_empty_split_is_an_error(spark):
     eligible = spark.createDataFrame([(3, "2024-04", "train")], "mes_idx int, periodo string, particion string")
     with pytest.raises(ValueError, match="validation"):
         require_splits(eligible, ["train", "validation"])
+
+
+@pytest.mark.parametrize("hot_rows", [2, 500_000])
+def test_hot_deck_matches_a_plain_search(spark, hot_rows):
+    from tramorisk.operators import impute
+
+    columns = ["anio", "distrito", "mes", "turno", "tipo", "subtipo"]
+    row = lambda i: (i % 2, [None, "", "a", "b", "c"][i * 7 % 5], i % 3, None if i % 11 == 0 else i * 5 % 4, i * 3 % 2, "xyz"[i % 13 % 3])
+    located, lost = [(f"d{i:03d}", *row(i), -12.0 - i / 1e4, -77.0 + i / 1e4) for i in range(120) if i % 2 == 0 or i % 5], [(f"m{i:03d}", *row(i * 3 + 1), i * 17) for i in range(90)]
+    lost += [(f"n{i}", i % 2, "abc"[i % 3], i % 4, i % 6, i % 5, "w", i * 29) for i in range(40)] + [("m900", 7, "a", 1, 1, 1, "x", 3), lost[0]]
+    kinds = "fila string, anio int, distrito string, mes int, turno int, tipo int, subtipo string"
+    donors = spark.createDataFrame(located, f"{kinds}, latitud double, longitud double")
+    missing = spark.createDataFrame(lost, f"{kinds}, k int")
+    text = lambda r, cols: tuple("" if r[1 + columns.index(c)] is None else str(r[1 + columns.index(c)]) for c in cols)
+    want = set()
+    for m in lost:
+        for name, cols in impute.DONOR_LEVELS:
+            pool = sorted(d for d in located if text(d, cols) == text(m, cols))
+            if pool and m[2]:
+                d = pool[m[-1] % len(pool)]
+                want.add((m[0], name, d[0], d[-2], d[-1]))
+                break
+    for found in (impute.hot_deck(missing, donors, F.col("k"), "fila", hot_rows), impute.hot_deck(missing, donors.withColumn("orden", F.col("fila")), F.col("k"), hot_rows=hot_rows)):
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert len({w[1] for w in want}) > 3
+
+
+def test_a_donor_travels_for_the_pools_in_use_only(spark):
+    from tramorisk.operators import impute
+
+    kinds = "fila string, anio int, distrito string, mes int, turno int, tipo int, subtipo string"
+    donors = spark.createDataFrame([(f"d{i}", 1, "a", i % 12, i % 4, i % 3, "x") for i in range(60)], kinds)
+    missing = spark.createDataFrame([("m", 1, "a", 0, 0, 0, "x")], kinds)
+    cells = impute._cell_levels(impute._text_keys(missing, ["fila"]), impute._text_keys(donors, ["fila"]))
+    marked = cells.select("_k_mes", F.explode("_dan").alias("c")).filter("size(c._usados) > 0").select("_k_mes", "c._k_turno", "c._k_tipo", "c._usados").collect()
+    assert [tuple(r) for r in marked] == [("0", "0", "0", [0])]
+
+
+def test_only_rows_without_a_place_meet_the_donors(spark):
+    from tramorisk.operators import impute
+
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("b", None, 2.0), ("c", None, None), ("d", None, None), (None, 1.0, 1.0)], "fila string, latitud double, longitud double")
+    recovered = spark.createDataFrame([("b", 3.0, 4.0), ("a", 9.0, 9.0)], "fila string, lat_rec double, lon_rec double")
+    simulated = spark.createDataFrame([("b", 5.0, 6.0), ("c", 7.0, 8.0)], "fila string, lat_sim double, lon_sim double")
+    filled = impute.overlay(rows, recovered, simulated)
+    assert {tuple(r) for r in filled.collect()} == {("a", 1.0, 2.0, "OBSERVADA"), (None, 1.0, 1.0, "OBSERVADA"), ("b", 3.0, 4.0, "MISMA_DENUNCIA"), ("c", 7.0, 8.0, "SIMULADA"), ("d", None, None, "SIN_UBI")}
+    assert "Union" in filled._jdf.queryExecution().optimizedPlan().toString()
