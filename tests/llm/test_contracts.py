@@ -292,3 +292,27 @@ def test_quality(spark, awkward, empty):
     assert len(odd) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in odd)
     assert {r["score"] for r in additive.quality_report(awkward, labels.limit(0)).collect()} == {0.5}
     assert additive.quality_report(empty, labels).count() == 0
+
+
+def test_sorted_suffixes_travel_as_steps():
+    import zlib
+
+    draw = np.random.default_rng(3)
+    for buckets in (32, 64):
+        values = np.unique(draw.integers(0, 1 << 64, 200_000, dtype=np.uint64, endpoint=False))
+        values = np.unique(np.append(values, [np.uint64(0), np.uint64((1 << 64) - 1)]))
+        values = values[(values >> np.uint64(59)) != 7]  # an empty bucket
+        bounds, edges = suffixes.bucket_bounds(values, buckets), suffixes.bucket_edges(buckets)
+        pieces = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        sent = [suffixes.packed(p, e) for p, e in zip(pieces, edges, strict=True)]
+        assert all(np.array_equal(suffixes.unpacked(d, e), p) for d, e, p in zip(sent, edges, pieces, strict=True))
+        assert sum(len(zlib.compress(d, 1)) for d in sent) < 0.85 * sum(len(zlib.compress(p.tobytes(), 1)) for p in pieces)
+
+
+def test_repeated_rows_stay_copies_of_one_text(spark):
+    text = "".join(chr(97 + i * i % 23) + str(i) for i in range(150))
+    rows = [(1, "x" + text), (1, "x" + text), (2, text + "y"), (None, text), (None, text), (3, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r["doc_id"], r["n_removed"]) for r in suffixes.repeated_spans(docs).collect()}
+    assert kept == {(1, len(text) + 1), (2, len(text)), (None, len(text)), (3, 0)}
+    assert suffixes.repeated_spans(docs).count() == len(rows)

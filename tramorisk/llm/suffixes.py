@@ -188,10 +188,25 @@ class Block:
         return at, h, h[order][first], many
 
 
+def bucket_edges(buckets: int) -> np.ndarray:
+    """Least value of each bucket."""
+    return np.arange(buckets, dtype=np.uint64) << np.uint64(64 - buckets.bit_length() + 1)
+
+
 def bucket_bounds(values: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted values; the leading bits name the bucket."""
-    edges = np.arange(buckets, dtype=np.uint64) << np.uint64(64 - buckets.bit_length() + 1)
-    return np.append(np.searchsorted(values, edges), len(values))
+    return np.append(np.searchsorted(values, bucket_edges(buckets)), len(values))
+
+
+def packed(values: np.ndarray, edge: np.uint64) -> bytes:
+    """Ascending values from ``edge`` on as steps, byte by byte place: the upper bytes of steps are zeros and compress to nothing."""
+    steps = np.diff(values, prepend=edge).astype("<u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, edge: np.uint64) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64) + edge
 
 
 def send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -199,15 +214,19 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
         for i in range(batch.num_rows):
             block = Block(batch, i)
             _, _, values, many = block.suffixes(buckets)
-            size = np.diff(bucket_bounds(values, buckets))
+            bounds = bucket_bounds(values, buckets)
+            size = np.diff(bounds)
+            steps = [packed(values[a:b], edge) for a, b, edge in zip(bounds[:-1], bounds[1:], bucket_edges(buckets), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, block.id)),
-                binaries(values, size), binaries(many.astype(np.uint8), size)], names=["bucket", "block", "suffixes", "many"])
+                pa.array(steps, pa.binary()), binaries(many.astype(np.uint8), size)], names=["bucket", "block", "suffixes", "many"])
 
 
-def answer(table: pa.Table) -> pa.Table:
+def answer(table: pa.Table, buckets: int) -> pa.Table:
     """One bucket of suffixes, sorted: for each block, a bit for each of its suffixes that stands anywhere else."""
-    values, many, size = joined(table.column("suffixes"), "<u8"), joined(table.column("many"), "u1"), row_counts(table.column("suffixes"), 8)
+    edge = bucket_edges(buckets)[table.column("bucket")[0].as_py()]
+    values = np.concatenate([unpacked(x.as_buffer(), edge) for x in table.column("suffixes")])
+    many, size = joined(table.column("many"), "u1"), row_counts(table.column("suffixes"), 8)
     order = np.argsort(values)
     first, length = runs(values[order])
     twice = (length > 1) | (np.maximum.reduceat(many[order], first) > 0) if len(first) else np.zeros(0, bool)
@@ -268,14 +287,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", row: str = "doc_id") ->
     wanted = samples.filter(F.size("parts") > 0).select("key", "parts").join(copies, "key")
     # Key and row together are spread evenly, however many copies a text has.
     bodies = keyed.filter(F.octet_length("text") >= LENGTH).select("key", "row", "text").mapInArrow(compressed, "key long, row long, body binary")
-    tied = bodies.join(wanted, ["key", "row"]).select("key", "copies", "body", "parts").mapInArrow(
+    # Repeated rows have one key and row: they become one where the join has put them, without a shuffle of the texts.
+    once = bodies.join(wanted, ["key", "row"]).dropDuplicates(["key", "row"])
+    tied = once.select("key", "copies", "body", "parts").mapInArrow(
         with_ties, "near long, key long, copies long, body binary, size long, runs binary")
     # Texts with a common sample become neighbours; the key cuts a crowd of them into many ranges.
-    blocks = stored(tied.dropDuplicates(["key"]).repartitionByRange("near", "key").sortWithinPartitions("near", "key").mapInArrow(as_blocks, BLOCK))
+    blocks = stored(tied.repartitionByRange("near", "key").sortWithinPartitions("near", "key").mapInArrow(as_blocks, BLOCK))
     suffixes = blocks.agg(F.sum(F.length("runs"))).first()[0] or 0
     buckets = power_of_two(LEAST_BUCKETS, total * 0.25 * 8 / BUCKET_BYTES) if suffixes else LEAST_BUCKETS
     sent = blocks.mapInArrow(lambda b: send(b, buckets), "bucket int, block long, suffixes binary, many binary")
-    bits = sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, bits binary")
+    bits = sent.groupBy("bucket").applyInArrow(lambda table: answer(table, buckets), "block long, bucket int, bits binary")
     answers = bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     found = stored(blocks.join(answers, "block").mapInArrow(lambda b: cut(b, buckets), CUT))
     copied = copies.filter("copies > 1").select("key", F.lit(True).alias("copied"))
